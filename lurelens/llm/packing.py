@@ -119,14 +119,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
 
 def _combination(gap: int, free: np.ndarray) -> tuple[int, ...]:
-    """One, two or three available lengths whose sum is the gap, longest first; empty if there are none."""
+    """One, two or three available lengths whose sum is the gap; empty if there are none.
+
+    Sums of even parts come first, since short pieces fit in more places later.
+    """
     if gap <= 0:
         return ()
     if free[gap]:
         return (gap,)
 
     def pair(total: int, most: int) -> tuple[int, ...]:
-        high = np.arange(min(total - 1, most), (total - 1) // 2, -1)
+        high = np.arange((total + 1) // 2, min(total - 1, most) + 1)
         if not len(high):
             return ()
         good = (free[high] > 0) & (free[total - high] > (high == total - high))
@@ -134,20 +137,34 @@ def _combination(gap: int, free: np.ndarray) -> tuple[int, ...]:
 
     if found := pair(gap, gap):
         return found
-    for a in np.flatnonzero(free[: gap - 1])[::-1]:
+    for a in np.flatnonzero(free[: gap - 1]):
         if 3 * a < gap:
-            break
+            continue
         if (found := pair(gap - int(a), int(a))) and all(free[x] >= (int(a), *found).count(x) for x in (a, *found)):
             return (int(a), *found)
     return ()
 
 
-def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each."""
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def packing_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Patterns of lengths and how many sequences follow each.
+
+    A length without an exact combination can wait for the best-fit pass, or
+    take at once the fullest combination that leaves at most ``slack`` unused,
+    while short pieces are still there.  Of a few slacks the plan with the
+    fewest sequences is kept: 0 is exact filling alone, -1 best fit alone.
+    """
+    plans = [_plan(histogram, capacity, slack) for slack in (0, 4, 32, capacity, -1)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, slack: int) -> Plan:
     free = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         free[length] = n
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: Plan = []
     rest: dict[int, int] = {}
     if free[capacity]:
         plan.append(((capacity,), int(free[capacity])))
@@ -155,7 +172,8 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[i
     for length in range(capacity - 1, 0, -1):
         while free[length]:
             free[length] -= 1
-            found = _combination(capacity - length, free)
+            gap = capacity - length
+            found = next(filter(None, (_combination(g, free) for g in range(gap, max(0, gap - slack - 1), -1))), ())
             free[length] += 1
             if not found:
                 rest[length] = int(free[length])
@@ -166,7 +184,7 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[i
             for x in pattern:
                 free[x] -= times
             plan.append((pattern, times))
-    gaps: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    gaps: dict[int, Plan] = {}
     for length in sorted(rest, reverse=True):
         left = rest[length]
         while left:
@@ -189,7 +207,7 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[i
     return plan + [x for own in gaps.values() for x in own]
 
 
-def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
+def _slots(plan: Plan) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, rank after the last, sequence of the first rank, offset)."""
     used: dict[int, int] = {}
     rows, sequence = [], 0
