@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules
+from . import decontaminate, jaccard_join, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
+from .scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,10 +21,45 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends documents as small shards, compacts them, and reads the newest version back."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{Scratch(spark, 'shards').path}", target_bytes=32 << 20)
+    store.append(sharding.arrivals(docs, ("doc_id",), 20), "arrival")
+    store.compact_fully()
+    found = store.read(docs.schema)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("text_bytes"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"))
+
+
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +68,46 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op9_quality_rules, op10_decontamination)}
-
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_size_tiered_shards,
+        op3_deleted_interpolation,
+        op4_ordinal_quality,
+        op5_license_scan,
+        op6_jaccard_join,
+        op7_best_fit_packing,
+        op8_suffix_dedup,
+        op9_quality_rules,
+        op10_decontamination,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+        m AS (SELECT h, max(page_id) AS chosen FROM d WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, url, n AS payload_bytes, d.h AS payload_digest,
+               CASE WHEN chosen IS NOT NULL AND chosen <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN chosen <> page_id THEN chosen END AS refers_to
+        FROM d JOIN (SELECT page_id, url FROM pages) u USING (page_id) LEFT JOIN m ON d.h = m.h AND d.n >= 1000""",
+    "op2_size_tiered_shards": """
+        SELECT doc_id, lang, source, n_chars, octet_length(encode(coalesce(text, ''))) AS text_bytes, md5(coalesce(text, '')) AS text_md5
+        FROM documents""",
+    "op6_jaccard_join": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END) AS g
+            FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""",
+}
