@@ -149,8 +149,8 @@ def robust_fit(stats: DataFrame, scratch: Scratch, alpha: float = 0.6, steps: in
     return fit
 
 
-def judge(docs: DataFrame, least_words: int = 50, cutoff: float = 36.0, least_rows: int = 40, alpha: float = 0.6, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row per document with its statistics, ``base_failed``, ``distance2`` and ``kept``."""
+def _judged(docs: DataFrame, carry: tuple[str, ...], least_words: int = 50, cutoff: float = 36.0, least_rows: int = 40, alpha: float = 0.6, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The carried columns as ``_row`` with statistics, ``base_failed``, ``distance2`` and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
     # Only what is needed goes on, under names of its own, so other columns cannot clash.
     own = docs.select(F.struct(*carry).alias("_row"), F.struct(*group_cols).alias("_by"), F.col(text_col).alias("_text"))
@@ -167,10 +167,15 @@ def judge(docs: DataFrame, least_words: int = 50, cutoff: float = 36.0, least_ro
     fit = robust_fit(stats.filter(~F.col("base_failed")).select("_group", *STATS), scratch, alpha)
     judged = _distance(stats, fit).withColumn("distance2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
-    return judged.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    return judged.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row per document: its id, the statistics, ``base_failed``, ``distance2`` and ``kept``."""
+    judged = _judged(docs, (id_col,), **options)
+    return judged.select("_row.*", *judged.columns[1:])
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    judged = judge(docs, carry=tuple(docs.columns), **options)
-    return judged.filter("kept").select(*docs.columns)
+    return _judged(docs, tuple(docs.columns), **options).filter("kept").select("_row.*")
