@@ -8,11 +8,13 @@ partner occurs in them at least T minus the number of lists left out.  The
 lists left out, which are the long ones, are only probed: the sets that
 reached the bound are compared by binary search.
 
-Lists are merged in hash ranges, each a bounded number of entries.  A list
-longer than ``long_list``, such as that of a passage in a large group of
-copies, is never turned into all its pairs: its members are first compared
-with the member that has most such lists, and pairs are then made only across
-the components found, under the same occurrence bound.
+Lists are merged in hash ranges, each a bounded number of entries.  Which
+shingles are frequent is counted first, over all texts; bit tables of a fixed
+size tell the tasks.  A list longer than ``long_list``, such as that of a passage
+in a large group of copies, is never turned into all its pairs: its members are
+first compared with the member that has most such lists, and of the rest only
+pairs in different components that meet the occurrence bound are made, from a
+count of common long lists within blocks of ``block`` members.
 
 Nulls and edge cases: texts with fewer words than a shingle have their whole
 sequence as one; null, empty and blank texts have no shingles, link with
@@ -36,9 +38,9 @@ from .scratch import Scratch
 from .text import Words, mix, shingle_sets, slices
 
 #: Entries a hash range holds at most, about; entries a task gathers before it hands them on.
-RANGE_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
-#: Shingles in the table of frequent ones. It only orders lists; any choice gives the same result.
-FREQUENT = 200_000
+RANGE_ENTRIES, FLUSH_ENTRIES, FLUSH_COUNTS = 400_000, 500_000, 2_000_000
+#: Texts beyond which a shingle is frequent, and very frequent. They only order lists; any choice gives the same result.
+FREQUENT, VERY_FREQUENT = 32, 1024
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -61,30 +63,83 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
 
-def _first_pass(shingle: int):
-    """Rows of documents (kind 0: id, size, class) and of shingles frequent in a batch (kind 1: shingle as class, count as size)."""
-
+def _size_and_class(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
-            rows = 0
             for part in slices(batch):
                 sets = _sets(part, shingle)
-                names = [_class_of(x) if len(x) else 0 for x in sets]
-                seen |= dict(zip(names, sets, strict=True))
-                rows += len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64())], ["kind", "doc_id", "n", "class"])
-            every = np.sort(np.concatenate([np.zeros(0, np.uint64), *seen.values()]))
-            borders = _runs(every)
-            counts = np.diff(borders)
-            often = np.flatnonzero(counts >= max(4, rows // 500))
-            n = len(often)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts[often]), _signed(every[borders[often]])], ["kind", "doc_id", "n", "class"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class_of(x) if len(x) else 0 for x in sets], pa.int64())], ["doc_id", "n", "class"])
+
+    return run
+
+
+def _ranged(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """The hash range of keys of so many bits."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _shortened(shingle: int, bits: int, ranges: int):
+    """All shingles of a task's different sets, shortened to ``bits``, sorted and packed as differences by hash range."""
+
+    def pack(sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(sets) >> np.uint64(64 - bits))
+        place = _ranged(keys, bits, ranges)
+        borders = _runs(place)
+        blobs = []
+        for a, z in zip(borders[:-1], borders[1:], strict=True):
+            steps = np.diff(keys[a:z])
+            kind = "<u2" if steps.max(initial=0) < 2**16 else "<u4" if steps.max() < 2**32 else "<u8"
+            blobs.append(keys[a : a + 1].tobytes() + kind[-1].encode() + steps.astype(kind).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(place[borders[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        entries = 0
+        for batch in batches:
+            for part in slices(batch):
+                for own in _sets(part, shingle):
+                    if len(own) and (name := _class_of(own)) not in held:
+                        held[name] = own
+                        entries += len(own)
+                if entries >= FLUSH_COUNTS:
+                    yield pack(list(held.values()))
+                    held, entries = {}, 0
+        if held:
+            yield pack(list(held.values()))
 
     return run
 
 
-def _entries(shingle: int, percent: int, ranges: int, frequent):
+def _frequent(table: pa.Table) -> pa.Table:
+    """Shortened shingles of a hash range that more than ``FREQUENT`` sets hold, with their level."""
+    parts = []
+    for x in table.column("keys").to_pylist():
+        steps = np.frombuffer(x, f"<u{x[8:9].decode()}", offset=9).astype(np.uint64)
+        parts.append(np.cumsum(np.append(np.frombuffer(x, "<u8", 1), steps), dtype=np.uint64))
+    keys = np.sort(np.concatenate(parts))
+    borders = _runs(keys)
+    counts = np.diff(borders)
+    often = np.flatnonzero(counts > FREQUENT)
+    return pa.Table.from_arrays([pa.array(keys[borders[often]].astype(np.int64)), pa.array(np.where(counts[often] > VERY_FREQUENT, 2, 1).astype(np.int32))], ["key", "level"])
+
+
+class BitTable:
+    """A set of longs as a bit table of fixed size, 16 MB at most: no false negatives."""
+
+    def __init__(self, keys: DataFrame, column: str, total: int):
+        self.size = 1 << min(27, max(20, int(total * 32).bit_length()))
+        place = F.pmod(column, F.lit(self.size)) + 1
+        rows = keys.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        self.bytes = np.zeros(self.size // 8, np.uint8)
+        for r in rows:
+            self.bytes[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(self.size - 1)
+        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _entries(shingle: int, percent: int, ranges: int, bits: int, tables):
     """Entries of the short lists, packed by hash range."""
 
     def pack(sets: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
@@ -92,14 +147,14 @@ def _entries(shingle: int, percent: int, ranges: int, frequent):
         keys = np.concatenate([x for x, _ in sets.values()])
         names = np.repeat(np.fromiter(sets, np.int64, len(sets)), sizes)
         wholes = np.repeat(np.array([n for _, n in sets.values()], np.int32), sizes)
-        place = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        place = _ranged(keys, 64, ranges)
         order = np.argsort(place, kind="stable")
         borders = _runs(place[order])
         cut = lambda x: pa.array([x[order[a:z]].tobytes() for a, z in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(place[order][borders[:-1]].astype(np.int32)), cut(keys), cut(names), cut(wholes)], ["range", "keys", "classes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = frequent.value
+        frequent, very = tables.value
         held: dict[int, tuple[np.ndarray, int]] = {}
         entries = 0
         for batch in batches:
@@ -109,12 +164,9 @@ def _entries(shingle: int, percent: int, ranges: int, frequent):
                     if not len(own) or name in held:
                         continue
                     short = len(own) - -(-percent * len(own) // 100) + 1
-                    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                    common = known[at] == own if len(known) else np.zeros(len(own), bool)
-                    rare = own[~common]
-                    if len(rare) < short:
-                        rare = np.append(rare, own[common][np.argsort(rank[at[common]], kind="stable")])
-                    held[name] = (rare[:short], len(own))
+                    cut = own >> np.uint64(64 - bits)
+                    order = np.argsort(frequent.holds(cut).astype(np.int8) + very.holds(cut), kind="stable")
+                    held[name] = (own[order[:short]], len(own))
                     entries += short
                 if entries >= FLUSH_ENTRIES:
                     yield pack(held)
@@ -158,23 +210,51 @@ def _merge(percent: int, long_list: int):
     return run
 
 
-def _bits(ids: DataFrame, total: int) -> tuple[np.ndarray, int]:
-    """A bit table of fixed size over hashed classes, 16 MB at most: no false negatives."""
-    size = 1 << min(27, max(20, int(total * 32).bit_length()))
-    place = F.pmod("class", F.lit(size)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    table = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(table) - (r["k"] - 1) * 4096]
-    return np.unpackbits(table, bitorder="little").view(bool), size
+def _members(percent: int):
+    """Pairs of a long list (or of two blocks of it) in different components that meet the bound by their common long lists.
 
+    A pair comes out only where its smallest common list is looked at, so it comes out once.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        here = table.column("list")[0].as_py()
+        names, sizes, roots, blocks = (table.column(c).to_numpy() for c in ("class", "n", "root", "block"))
+        lists = table.column("lists").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        offsets = np.asarray(lists.offsets)
+        known, at = np.unique(np.asarray(lists.values)[offsets[0] : offsets[-1]], return_inverse=True)
+        has = np.zeros((len(names), len(known)), np.float32)
+        has[np.repeat(np.arange(len(names)), np.diff(offsets)), at] = 1
+        own = blocks.min()
+        two = bool((blocks != own).any())
+        rest = -(-percent * sizes // 100) - 1
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(blocks == own):
+            good = (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            good &= (blocks != own) if two else (names > names[i])
+            if not good.any():
+                continue
+            least = -(-percent * (sizes + sizes[i]) // (100 + percent)) - np.maximum(rest, rest[i])
+            for j in np.flatnonzero(good)[has[good] @ has[i] >= np.maximum(least[good], 1)]:
+                if known[int((has[i] * has[j]).argmax())] == here:
+                    found.append((min(names[i], names[j]), max(names[i], names[j])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _fetch(shingle: int, wanted):
+    """The sets whose class may be wanted."""
 
-def _fetch(shingle: int, wanted, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        table = wanted.value
         for batch in batches:
             for part in slices(batch):
-                sets = {name: x for x in _sets(part, shingle) if len(x) and bits[(name := _class_of(x)) % size]}
+                named = {_class_of(x): x for x in _sets(part, shingle) if len(x)}
+                hit = table.holds(np.fromiter(named, np.int64, len(named)).view(np.uint64))
+                sets = {k: x for (k, x), h in zip(named.items(), hit, strict=True) if h}
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([x.tobytes() for x in sets.values()], pa.binary())], ["class", "keys"])
 
     return run
@@ -202,7 +282,7 @@ def _bound(percent: int, na: Column, nb: Column) -> Column:
     return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(rest(na), rest(nb))
 
 
-def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int = 64, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, for every row.
 
     Two texts link when 100 * intersection >= ``percent`` * union.
@@ -210,17 +290,19 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = scratch.save(frame.mapInArrow(_first_pass(shingle), "kind int, doc_id long, n long, class long"), "first")
-    sized = first.filter("kind = 0").select("doc_id", "n", "class")
-    total = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).alias("entries")).first()
-    counted = first.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(long_list // 4, total["rows"] // 2000))
-    often = counted.orderBy(F.desc("n"), "class").limit(FREQUENT).toPandas()
-    known = often["class"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], np.argsort(np.argsort(-np.arange(len(known))))[order]))
+    sized = scratch.save(frame.mapInArrow(_size_and_class(shingle), "doc_id long, n long, class long"), "sized")
+    short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    total = sized.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.coalesce(F.sum(short), F.lit(0)).alias("entries")).first()
+
+    bits = min(64, max(33, int(total["shingles"]).bit_length() + 6))
+    ranges = max(8, -(-int(total["shingles"]) // (4 * RANGE_ENTRIES)))
+    shortened = frame.mapInArrow(_shortened(shingle, bits, ranges), "range int, keys binary")
+    frequent = scratch.save(shortened.groupBy("range").applyInArrow(_frequent, "key long, level int"), "frequent")
+    very = frequent.filter("level = 2")
+    tables = spark.sparkContext.broadcast((BitTable(frequent, "key", frequent.count()), BitTable(very, "key", very.count())))
 
     ranges = max(8, -(-int(total["entries"]) // RANGE_ENTRIES))
-    entries = frame.mapInArrow(_entries(shingle, percent, ranges, frequent), "range int, keys binary, classes binary, sizes binary")
+    entries = frame.mapInArrow(_entries(shingle, percent, ranges, bits, tables), "range int, keys binary, classes binary, sizes binary")
     merged = entries.groupBy("range").applyInArrow(_merge(percent, long_list), "kind int, a long, b long, na long, nb long, c long")
     merged = scratch.save(merged, "merged")
 
@@ -243,8 +325,8 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
     trial = scratch.save(ordered(best.union(spokes)), "trial")
 
     wanted = scratch.save(sides.select(F.col("a").alias("class")).union(long.select("class")).distinct(), "wanted")
-    bits, size = _bits(wanted, wanted.count())
-    sets = frame.mapInArrow(_fetch(shingle, spark.sparkContext.broadcast(bits), size), "class long, keys binary")
+    table = spark.sparkContext.broadcast(BitTable(wanted, "class", wanted.count()))
+    sets = frame.mapInArrow(_fetch(shingle, table), "class long, keys binary")
     sets = scratch.save(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("keys").alias("keys")), "sets")
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
@@ -257,13 +339,17 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
     named = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = pairs.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").filter(apart).select("a", "b")
-    rooted = members.join(roots, members["class"] == roots["node"], "left").select("list", "class", "n", "lists", F.coalesce("root", "class").alias("root"))
-    mixed = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("list")
-    rooted = scratch.save(rooted.join(mixed, "list", "left_semi"), "rooted")
-    x, y = rooted.alias("x"), rooted.alias("y")
-    near = (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    near &= F.least("x.lists", "y.lists") >= _bound(percent, F.col("x.n"), F.col("y.n"))
-    across = x.join(y, (F.col("x.list") == F.col("y.list")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    rooted = members.join(roots, members["class"] == roots["node"], "left").select("list", "class", "n", F.coalesce("root", "class").alias("root"))
+    mixed = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
+    rooted = scratch.save(rooted.join(mixed.select("list", "size"), "list"), "rooted")
+    # A class has at most as many long lists as its text is long.
+    of_class = rooted.groupBy("class").agg(F.sort_array(F.collect_list("list")).alias("lists"))
+    # Lists of more than a block are dealt out as pairs of blocks, each a group of its own.
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
+    dealt = rooted.join(of_class, "class").select("list", "class", "n", "root", "lists", own.alias("block"), F.explode(others).alias("part"))
+    across = dealt.groupBy("list", "part").applyInArrow(_members(percent), "a long, b long")
     rest = ordered(rest.union(across)).join(trial, ["a", "b"], "left_anti")
     links = links.union(verified(rest, "more-links"))
     roots = components(links, scratch, "components")
@@ -271,9 +357,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
     classes = sized.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, F.col("class") == F.col("node"), "left")
     classes = scratch.save(classes.select("class", "least", F.coalesce("root", "class").alias("root")), "classes")
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(lowest, "root").select("class", "component_id")
+    ids = classes.join(lowest, "root").select("class", "component_id")
     empty = sized.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sized.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+    return sized.filter("n > 0").join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
