@@ -55,9 +55,10 @@ def stitch_urls(text: Column) -> Column:
 def heal_urls(text: Column) -> Column:
     """``stitch_urls``, then spaces after colons, protocols, slashes and hyphens of hosts.
 
-    Every step needs a slash, a hyphen, a colon or ``www.``, so other texts skip the chain.
+    No step can apply without one of the marks that are looked for first, so most texts skip the chain.
     """
-    return F.when(text.rlike(r"[-/:]|www\."), _steps(stitch_urls(text), fixed.HEAL_STEPS)).otherwise(text)
+    marks = r"(?i)-[ \t\n]|/[ \t]|[ \t]/|https?://|www\.|:[a-z0-9\-]"
+    return F.when(text.rlike(marks), _steps(stitch_urls(text), fixed.HEAL_STEPS)).otherwise(text)
 
 
 def repair_url(url: Column) -> Column:
@@ -87,35 +88,42 @@ def url_netlocs(urls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(whole, lambda u: F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1)), lambda h: h != "")))
 
 
-def _distinct(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+def _distinct(text: Column, hint: str, pattern: str, group: int = 0) -> Column:
+    """All distinct matches, sorted; texts without the hint, a cheaper pattern that every match holds, are not searched."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<string>"))
 
 
 def upi_ids(text: Column) -> Column:
-    return _distinct(text, fixed.UPI_ID)
+    return _distinct(text, "@", fixed.UPI_ID)
 
 
 def phone_numbers(text: Column) -> Column:
-    return _distinct(text, fixed.PHONE)
+    return _distinct(text, r"[6-9]\p{Nd}{9}", fixed.PHONE)
 
 
 def otp_candidates(text: Column, phones: Column) -> Column:
     """Numbers of four to six digits that are not part of a phone number."""
-    return F.filter(_distinct(text, fixed.CODE), lambda n: ~F.exists(phones, lambda p: p.contains(n)))
+    return F.filter(_distinct(text, r"\p{Nd}{4}", fixed.CODE), lambda n: ~F.exists(phones, lambda p: p.contains(n)))
 
 
 def amounts(text: Column) -> Column:
-    return _distinct(text, fixed.AMOUNT, 1)
+    return _distinct(text, r"\p{Nd}", fixed.AMOUNT, 1)
 
 
 def bank_names(text: Column) -> Column:
     """Institutions named as whole words, in the order of the list."""
-    upper = F.upper(text)
-    return F.array_compact(F.array(*(F.when(upper.rlike(fixed.EDGE + b + fixed.EDGE), b) for b in fixed.BANK_NAMES)))
+
+    def named(upper: Column) -> Column:
+        found = F.array_compact(F.array(*(F.when(upper.contains(b) & upper.rlike(fixed.EDGE + b + fixed.EDGE), b) for b in fixed.BANK_NAMES)))
+        return F.when(any_of(upper, fixed.BANK_NAMES), found).otherwise(F.array().cast("array<string>"))
+
+    return once(F.upper(text), named)
 
 
 def redacted(text: Column) -> Column:
-    return F.regexp_replace(text, fixed.NATIONAL_ID, fixed.NATIONAL_ID_MASK.replace("[", "\\[").replace("]", "\\]"))
+    hint = rf"\p{{Nd}}{{4}}{fixed.SPACE}\p{{Nd}}{{4}}{fixed.SPACE}"
+    return F.when(text.rlike(hint), F.regexp_replace(text, fixed.NATIONAL_ID, fixed.NATIONAL_ID_MASK.replace("[", "\\[").replace("]", "\\]"))).otherwise(text)
 
 
 def has_devanagari(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ def score_messages(messages: DataFrame, intel_tables: Snapshots, as_of: Column)
     """Messages (msg_id, text) with all tracks, score and explanations.
 
     Only the URLs go through the snapshot joins; texts are shuffled once, by msg_id, in the fan-in.
+    Four branches read what was detected, so it is kept on the executors' disks once computed; lost parts are
+    computed again, and ``spark.catalog.clearCache()`` frees them.
     """
-    detected = detect(messages)
+    detected = detect(messages).persist(StorageLevel.DISK_ONLY)
     urls = intel.explode_urls(detected.select("msg_id", "urls"))
     url_rows = intel.url_evidence(urls, intel_tables.reputation)
     domain_rows = intel.domain_evidence(urls, intel_tables.whois, intel_tables.certs, as_of)
