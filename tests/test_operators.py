@@ -186,3 +186,16 @@ def test_streams(spark, tmp_path):
     query = scans.append_stream(stream.select("msg_id", "risk_score"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert {(r.msg_id, r.risk_score) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("0", 45), ("1", 9)}
+
+
+def test_reuse_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    day = lambda h: f"2026-01-0{1 + h // 24}T{h % 24:02d}:00:00"
+    rows = [{"hash": "k", "request_id": i, "ts": day(h)} for i, h in enumerate([0, 20, 30, 50])]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    stream = spark.readStream.schema("hash string, request_id long, ts timestamp").json(str(tmp_path / "in"))
+    query = scans.append_stream(scans.reuse_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(120)
+    got = {r.request_id: r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True}
