@@ -88,13 +88,16 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    """Counts as one byte each where they fit."""
-    kind = "<u1" if x.max(initial=0) < 256 else "<u4" if x.max() < 2**32 else "<u8"
-    return kind[-1].encode() + x.astype(kind).tobytes()
+    """Counts as one byte each; those of 255 and more follow in full."""
+    large = x[x >= 255]
+    return len(x).to_bytes(8, "little") + np.minimum(x, 255).astype("<u1").tobytes() + large.astype("<u8").tobytes()
 
 
 def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
+    n = int.from_bytes(data[:8], "little")
+    x = np.frombuffer(data, "<u1", n, 8).astype(np.int64)
+    x[x == 255] = np.frombuffer(data, "<u8", offset=8 + n).astype(np.int64)
+    return x
 
 
 def _ask(bits: int, ranges: int):
