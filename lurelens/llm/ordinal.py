@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .text import Words, grams, mix, slices
 
-BITS, SAMPLE_ROWS, ROUNDS = 18, 8000, 120
+BITS, SAMPLE_ROWS, ROUNDS, PENALTY = 18, 20_000, 120, 0.05
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -82,8 +82,14 @@ class OrdinalModel:
         return np.diff(np.append(0.0, np.cumsum(self.weights[keys], dtype=np.float64))[offsets])
 
 
-def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
-    """Maximum likelihood with weight decay by full-batch adaptive gradient steps."""
+def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, penalty: float = PENALTY) -> OrdinalModel:
+    """Maximum likelihood with an absolute penalty on the weights, by full-batch adaptive gradient steps.
+
+    After each step weights shrink towards 0 by ``penalty`` over the root of the
+    number of rows, times their own step length, so words that tell nothing
+    about the grade end with none.
+    """
+    sparsity = penalty / np.sqrt(max(len(grades), 1))
     counts = np.bincount(grades, minlength=levels) + 1.0
     above = np.cumsum(counts[::-1])[::-1][1:] / counts.sum()
     start = -np.log(above / (1 - above))
@@ -92,7 +98,7 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int,
     free = np.append(start[0], np.log(np.maximum(np.diff(start), 1e-3)))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(free), np.zeros_like(free)]
     order = lambda p: np.cumsum(np.append(p[0], np.exp(p[1:])))
-    balance = (len(grades) / (levels * counts))[grades]
+    balance = np.sqrt(len(grades) / (levels * counts))[grades]
     for t in range(1, rounds + 1 if len(grades) else 1):
         cuts = order(free)
         scores = np.bincount(rows, weights[keys], len(grades))
@@ -109,14 +115,17 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int,
         g_cut = g_cut[1:levels]
         tail = np.cumsum(g_cut[::-1])[::-1]
         g_free = np.append(tail[0], tail[1:] * np.exp(free[1:]))
-        g_weights = np.bincount(keys, g_score[rows], len(weights)) + decay * weights
+        g_weights = np.bincount(keys, g_score[rows], len(weights))
         for k, (value, grad) in enumerate(((weights, g_weights), (free, g_free))):
             first, second = state[2 * k], state[2 * k + 1]
             first *= 0.9
             first += 0.1 * grad
             second *= 0.99
             second += 0.01 * grad**2
-            value -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+            length = rate / (np.sqrt(second / (1 - 0.99**t)) + 1e-4)
+            value -= length * first / (1 - 0.9**t)
+            if k == 0:
+                value[:] = np.sign(value) * np.maximum(np.abs(value) - length * sparsity, 0)
     return OrdinalModel(weights.astype(np.float32), order(free), bits)
 
 
