@@ -38,7 +38,7 @@ from .scratch import Scratch
 from .text import Words, mix, slices
 
 #: Text of a block; keys of a hash range; tokens a task gathers before it asks.
-BLOCK_BYTES, RANGE_KEYS, FLUSH_TOKENS = 16 << 20, 600_000, 3_000_000
+BLOCK_BYTES, RANGE_KEYS, FLUSH_TOKENS = 12 << 20, 400_000, 2_000_000
 #: The end of a text, which also is the context of its first token.
 _END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _LEFT, _RIGHT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
