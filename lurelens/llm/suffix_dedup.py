@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .text import Words, grams, slices
 
-LEAST_WORDS, GRAM, HOT = 50, 20, 20_000
+LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 20_000, 32
 
 
 def _smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -225,7 +225,10 @@ def _by_counts(suffixes: DataFrame) -> DataFrame:
     flat = suffixes.select("doc", "gram", F.explode(windows).alias("w")).select("doc", "gram", "w.*")
     counts = flat.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first")).alias("least")).filter("n > 1")
     lead = F.struct("doc", "first") == F.col("least")
-    return flat.join(counts, ["gram", "window"]).select("doc", "first", F.col("first").alias("last"), lead.alias("lead"))
+    # A window can be in a third of all documents, so its rows are dealt over salts, each with the window's count.
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    flat = flat.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return flat.join(counts, ["gram", "window", "salt"]).select("doc", "first", F.col("first").alias("last"), lead.alias("lead"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
