@@ -1,21 +1,23 @@
 """Size-tiered compaction of immutable shards under a versioned manifest, with DataFrame functions only.
 
-Arrivals are appended as small shards.  Compaction groups the live shards into
-tiers whose sizes differ by less than ``fanout`` times; a tier with at least
-``fanout`` shards is merged into files of about ``target_bytes`` and its shards
-retire.  Every change is a new manifest version, written beside the others and
+A shard is one file.  Arrivals are appended as small shards, more of them as
+the input grows.  Compaction groups the live shards into tiers whose sizes
+differ by less than ``fanout`` times; a tier with at least ``fanout`` shards is
+merged into files of about ``target_bytes`` and its shards retire.  Shards of
+half the target and more are done; fewer than ``fanout`` of a tier stay small.  Every change is a new manifest version, written beside the others and
 committed by the rename that ends a Spark write: readers take the newest
 version that has its success marker, so they see all of a change or none of it.
 A shard is never rewritten in place, and a failed or repeated write leaves at
 most an unnamed folder.
 
 Only the manifest, a row per shard, is handled by the driver; its length is
-bounded by compaction, not by the number of documents.
+bounded by the bytes over the size of an arrival, and after compaction by the
+bytes over the target, not by the number of documents.
 
 Nulls and edge cases: nulls in any column are stored as they are; repeated rows
-stay repeated; an empty arrival makes a shard without rows; an empty table makes
-an empty store; rows are dealt to arrivals by a hash of ``key_cols``, nulls
-included; extra columns are stored too, as long as their names are not those of
+stay repeated; a file without rows makes no shard; an empty table makes an
+empty store; rows are dealt to arrivals by input partition and a hash of
+``key_cols``, nulls included; extra columns are stored too, as long as their names are not those of
 the manifest's own (``shard_id`` and ``version``), which the reader adds and
 which then win.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,25 +72,17 @@ class ShardStore:
         frame.write.mode("error").json(f"{self.path}/manifests/v{base + 1:08d}")
         return base + 1
 
-    def _sizes(self, path: str) -> int:
-        return sum(f.getLen() for f in self._files(f"{path}/*.parquet"))
-
-    def _stored(self, path: str, rows: int) -> Shard:
-        return Shard(path, rows, self._sizes(path))
+    def _stored(self, folder: str, schema) -> list[Shard]:
+        """The files with rows under a folder that has just been written."""
+        frame = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        files = frame.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n"))
+        return [Shard(folder + unquote(r.file_path).rpartition(folder)[2], r.n, r.file_size) for r in files.collect()]
 
     def append(self, arrivals: DataFrame, batch_col: str) -> int:
-        """Stores one shard for each value of ``batch_col`` and commits them together."""
-        base, run = self.version(), uuid.uuid4().hex[:12]
-        folder = f"{self.path}/arrivals/{run}"
-        arrivals.write.partitionBy(batch_col).parquet(folder)
-        found = self._files(f"arrivals/{run}/{batch_col}=*")
-        counts = {str(r[0]): r[1] for r in self.spark.read.parquet(folder).groupBy(batch_col).count().collect()} if found else {}
-        fresh = []
-        for f in found:
-            name = f.getPath().getName()
-            shard = self._stored(f"arrivals/{run}/{name}", counts.get(name.partition("=")[2], 0))
-            fresh.append(shard)
-        return self.commit([*self.shards(base), *fresh], base)
+        """Stores the files of each value of ``batch_col`` as shards and commits them together."""
+        base, folder = self.version(), f"arrivals/{uuid.uuid4().hex[:12]}"
+        arrivals.write.partitionBy(batch_col).parquet(f"{self.path}/{folder}")
+        return self.commit([*self.shards(base), *self._stored(folder, arrivals.drop(batch_col).schema)], base)
 
     def tier(self, shard: Shard) -> int:
         """Shards of one tier differ in size by less than ``fanout`` times; those of half the target and more are done."""
@@ -106,12 +101,10 @@ class ShardStore:
         live = self.shards(base)
         runs = self.plan(live)
         for run in runs:
-            merged = f"merged/{uuid.uuid4().hex}"
-            size = sum(s.bytes for s in run)
-            files = max(1, round(size / self.target_bytes))
-            # Parquet rows are moved as they are; the target decides the number of files.
-            self._read(run).repartition(files).write.parquet(f"{self.path}/{merged}")
-            live = [s for s in live if s not in run] + [self._stored(merged, sum(s.rows for s in run))]
+            merged, retired = f"merged/{uuid.uuid4().hex}", {s.path for s in run}
+            frame = self._packed(run)
+            frame.write.parquet(f"{self.path}/{merged}")
+            live = [s for s in live if s.path not in retired] + self._stored(merged, frame.schema)
         if runs:
             self.commit(live, base)
         return len(runs)
@@ -122,24 +115,38 @@ class ShardStore:
             pass
         return self.version()
 
-    def _read(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{s.path}" for s in shards if s.bytes))
+    def _packed(self, run: list[Shard]) -> DataFrame:
+        """The rows of a run, in partitions of whole files of ``target_bytes`` together, so that no row is shuffled.
+
+        Two shards of a run fit a partition.  At most half as many partitions are left in any case, so merging comes to an end.
+        """
+        own = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        for key, value in (("maxPartitionBytes", self.target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            own.conf.set(f"spark.sql.files.{key}", str(value))
+        return own.read.parquet(*(f"{self.path}/{s.path}" for s in run)).coalesce(max(1, len(run) // 2))
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """All rows of a version, with ``shard_id`` and ``version``."""
         version = self.version() if version is None else version
-        shards = [s for s in self.shards(version) if s.bytes]
+        shards = self.shards(version)
         if not shards:
             return self.spark.createDataFrame([], schema).withColumns({"shard_id": F.lit(""), "version": F.lit(version)})
         frame = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in shards))
-        # A shard is named by its folder, so no list of shards has to be joined.
-        folder = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "%3D", "="), r"((?:arrivals/[^/]+|merged)/[^/]+)/[^/]+$", 1)
-        return frame.drop("shard_id", "version").withColumns({"shard_id": folder, "version": F.lit(version)})
+        # A shard is named by its file, so no list of shards has to be joined.
+        name = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "%3D", "="), r"((?:arrivals/[^/]+|merged)/[^/]+/[^/]+)$", 1)
+        return frame.drop("shard_id", "version").withColumns({"shard_id": name, "version": F.lit(version)})
+
 
+def arrivals(docs: DataFrame, key_cols: tuple[str, ...], batches: int, most_bytes: int = 8 << 20) -> DataFrame:
+    """Deals the rows of each input partition to ``arrival``s of their own, by a hash; each is about half as large as the one before, down to a sixteenth, and over again.
 
-def arrivals(docs: DataFrame, key_cols: tuple[str, ...], batches: int) -> DataFrame:
-    """Deals rows to ``arrival`` 0, 1, ... by a hash; each arrival is about half as large as the one before, down to a sixteenth, and over again."""
+    There are about ``batches`` at least, and as many more as it takes for the largest to have about ``most_bytes`` of values.
+    """
+    width = sum((F.coalesce(F.octet_length(docs[f"`{c}`"].cast("string")), F.lit(0)) for c in docs.columns), F.lit(0).cast("long"))
+    sizes = docs.select(F.spark_partition_id().alias("part"), width.alias("width")).groupBy("part").agg(F.sum("width").alias("bytes"))
+    parts, largest = sizes.agg(F.count(F.lit(1)), F.max("bytes")).first()
+    groups = max(1, math.ceil(batches // 5 / max(1, parts)), math.ceil((largest or 0) * 16 / 31 / most_bytes))
     turn = F.pmod(F.xxhash64(*key_cols), F.lit(31))
     size = F.when(turn < 16, 0).when(turn < 24, 1).when(turn < 28, 2).when(turn < 30, 3).otherwise(4)
-    group = F.pmod(F.xxhash64(F.lit(7), *key_cols), F.lit(max(1, batches // 5)))
+    group = F.spark_partition_id() * groups + F.pmod(F.xxhash64(F.lit(7), *key_cols), F.lit(groups))
     return docs.withColumn("arrival", (group * 5 + size).cast("int"))

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lurelens.llm import language_model, license_scan, ordinal, packing, quality_rules, sharding, warc
 from lurelens.llm.scratch import Scratch
@@ -98,6 +99,27 @@ def test_shards(spark):
         store.commit(store.shards(), last - 1)
 
 
+def test_all_shards_are_compacted_at_every_size(spark):
+    rng, target = random.Random(3), 40_000
+    rows = [(i, rng.randbytes(50).hex()) for i in range(16_000)]
+    small, large = (spark.createDataFrame(x, "doc_id long, text string").repartition(4) for x in (rows[:1000], rows))
+    stores = {}
+    for name, docs in (("small", small), ("large", large), ("scattered", large.repartition(120).withColumn("arrival", F.lit(0)))):
+        store = stores[name] = sharding.ShardStore(spark, Scratch(spark, f"shards-{name}").path, target_bytes=target)
+        store.append(docs if "arrival" in docs.columns else sharding.arrivals(docs, ("doc_id",), 20, target // 4), "arrival")
+        fresh = store.shards()
+        assert all(2 * s.bytes < target for s in fresh) and len({s.path.split("/")[-2] for s in fresh}) in (len(fresh), 1)
+        assert store.compact_fully() > 1
+        left = store.shards()
+        done = [s for s in left if 2 * s.bytes >= target]
+        assert all(s.bytes < 1.6 * target for s in left) and len(left) - len(done) < 4 * 8
+        assert name == "small" or sum(s.bytes for s in done) > 0.9 * sum(s.bytes for s in left)
+        want = docs.count()
+        assert sum(s.rows for s in left) == want == store.read(docs.schema).select("doc_id", "text").distinct().count()
+        assert {s.path for s in left} == {r[0] for r in store.read(docs.schema).select("shard_id").distinct().collect()}
+    assert len(stores["large"].shards(1)) > 4 * len(stores["small"].shards(1))
+
+
 def brute_model(rows):
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
     docs = [(d, fold(d), [*words(t), None]) for d, t, *_ in rows]
