@@ -34,7 +34,7 @@ from .text import ALNUM, Words, slices
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: Licenses as label | SPDX identifier (expression) | names (expression) | place on the web (expression) | keywords of the names.
-#: "-" stands for none, "_" in a keyword for a space.
+#: "-" stands for none; a space in a name is any white space, " ?" one that may be missing, so a keyword holds none.
 LICENSES = """
 agpl-3.0 | agpl-3\\.0(?:-only|-or-later|\\+)? | (?:gnu )?affero general public license,? (?:version |v)?3(?:\\.0)?|agpl ?v?3 | gnu\\.org/licenses/agpl-3\\.0 | affero agpl
 agpl-1.0 | agpl-1\\.0(?:-only|-or-later)? | affero general public license,? (?:version |v)?1(?:\\.0)? | affero\\.org/oagpl | affero
@@ -95,15 +95,15 @@ sspl-1.0 | sspl-1\\.0 | server side public license(?:,? (?:version |v)?1)? | mon
 busl-1.1 | busl-1\\.1 | business source license(?:,? (?:version )?1\\.1)? | mariadb\\.com/bsl11 | business
 elastic-2.0 | elastic-2\\.0 | elastic license(?:,? (?:version |v)?2(?:\\.0)?)? | elastic\\.co/licensing/elastic-license | elastic
 cc0-1.0 | cc0-1\\.0 | cc0(?: 1\\.0)?(?: universal)?|creative commons zero | creativecommons\\.org/publicdomain/zero/1\\.0 | cc0 creative
-cc-by-4.0 | cc-by-4\\.0 | cc[ -]by[ -]4(?:\\.0)?|creative commons attribution 4\\.0 international | creativecommons\\.org/licenses/by/4\\.0 | cc-by cc_by creative
-cc-by-3.0 | cc-by-3\\.0(?:-[a-z]{2,3})? | cc[ -]by[ -]3(?:\\.0)?|creative commons attribution 3\\.0 | creativecommons\\.org/licenses/by/3\\.0 | cc-by cc_by creative
-cc-by-sa-4.0 | cc-by-sa-4\\.0 | cc[ -]by[ -]sa[ -]4(?:\\.0)?|creative commons attribution[- ]sharealike 4\\.0 | creativecommons\\.org/licenses/by-sa/4\\.0 | cc-by cc_by creative
-cc-by-sa-3.0 | cc-by-sa-3\\.0(?:-[a-z]{2,3})? | cc[ -]by[ -]sa[ -]3(?:\\.0)?|creative commons attribution[- ]sharealike 3\\.0 | creativecommons\\.org/licenses/by-sa/3\\.0 | cc-by cc_by creative
-cc-by-nc-4.0 | cc-by-nc-4\\.0 | cc[ -]by[ -]nc[ -]4(?:\\.0)?|creative commons attribution[- ]noncommercial 4\\.0 | creativecommons\\.org/licenses/by-nc/4\\.0 | cc-by cc_by creative
-cc-by-nd-4.0 | cc-by-nd-4\\.0 | cc[ -]by[ -]nd[ -]4(?:\\.0)?|creative commons attribution[- ]noderivatives 4\\.0 | creativecommons\\.org/licenses/by-nd/4\\.0 | cc-by cc_by creative
-cc-by-nc-sa-4.0 | cc-by-nc-sa-4\\.0 | cc[ -]by[ -]nc[ -]sa[ -]4(?:\\.0)?|attribution[- ]noncommercial[- ]sharealike 4\\.0 | creativecommons\\.org/licenses/by-nc-sa/4\\.0 | cc-by cc_by attribution
-cc-by-nc-nd-4.0 | cc-by-nc-nd-4\\.0 | cc[ -]by[ -]nc[ -]nd[ -]4(?:\\.0)?|attribution[- ]noncommercial[- ]noderivatives 4\\.0 | creativecommons\\.org/licenses/by-nc-nd/4\\.0 | cc-by cc_by attribution
-cc-by | cc-by(?:-[12]\\.[05])? | cc[ -]by|creative commons attribution(?: license)? | creativecommons\\.org/licenses/by/[12]\\.[05] | cc-by cc_by creative
+cc-by-4.0 | cc-by-4\\.0 | cc[ -]by[ -]4(?:\\.0)?|creative commons attribution 4\\.0 international | creativecommons\\.org/licenses/by/4\\.0 | cc creative
+cc-by-3.0 | cc-by-3\\.0(?:-[a-z]{2,3})? | cc[ -]by[ -]3(?:\\.0)?|creative commons attribution 3\\.0 | creativecommons\\.org/licenses/by/3\\.0 | cc creative
+cc-by-sa-4.0 | cc-by-sa-4\\.0 | cc[ -]by[ -]sa[ -]4(?:\\.0)?|creative commons attribution[- ]sharealike 4\\.0 | creativecommons\\.org/licenses/by-sa/4\\.0 | cc creative
+cc-by-sa-3.0 | cc-by-sa-3\\.0(?:-[a-z]{2,3})? | cc[ -]by[ -]sa[ -]3(?:\\.0)?|creative commons attribution[- ]sharealike 3\\.0 | creativecommons\\.org/licenses/by-sa/3\\.0 | cc creative
+cc-by-nc-4.0 | cc-by-nc-4\\.0 | cc[ -]by[ -]nc[ -]4(?:\\.0)?|creative commons attribution[- ]noncommercial 4\\.0 | creativecommons\\.org/licenses/by-nc/4\\.0 | cc creative
+cc-by-nd-4.0 | cc-by-nd-4\\.0 | cc[ -]by[ -]nd[ -]4(?:\\.0)?|creative commons attribution[- ]noderivatives 4\\.0 | creativecommons\\.org/licenses/by-nd/4\\.0 | cc creative
+cc-by-nc-sa-4.0 | cc-by-nc-sa-4\\.0 | cc[ -]by[ -]nc[ -]sa[ -]4(?:\\.0)?|attribution[- ]noncommercial[- ]sharealike 4\\.0 | creativecommons\\.org/licenses/by-nc-sa/4\\.0 | cc attribution
+cc-by-nc-nd-4.0 | cc-by-nc-nd-4\\.0 | cc[ -]by[ -]nc[ -]nd[ -]4(?:\\.0)?|attribution[- ]noncommercial[- ]noderivatives 4\\.0 | creativecommons\\.org/licenses/by-nc-nd/4\\.0 | cc attribution
+cc-by | cc-by(?:-[12]\\.[05])? | cc[ -]by|creative commons attribution(?: license)? | creativecommons\\.org/licenses/by/[12]\\.[05] | cc creative
 odbl-1.0 | odbl-1\\.0 | open (?:data commons open )?database license | opendatacommons\\.org/licenses/odbl | database
 odc-by-1.0 | odc-by-1\\.0 | open data commons attribution license | opendatacommons\\.org/licenses/by | commons
 pddl-1.0 | pddl-1\\.0 | public domain dedication (?:and|&) license | opendatacommons\\.org/licenses/pddl | dedication
@@ -137,9 +137,9 @@ def rules(table: str = LICENSES) -> list[Rule]:
     """
     found = []
     lines = [[x.strip() for x in line.split(" | ")] for line in table.splitlines()]
-    gap = lambda names: names.replace(" ", r"\s+")
+    gap = lambda names: re.sub(r"\[(?: -|- )\]", r"(?:\\s+|-)", names).replace("[^ ]", r"\S").replace(" ?", r"\s*").replace(" ", r"\s+")
     for order, (label, tag, names, place, words) in enumerate(lines):
-        rank, own = len(lines) - order, tuple(w.replace("_", " ") for w in words.split())
+        rank, own = len(lines) - order, tuple(words.split())
         forms = (
             ("tag", 3000, rf"spdx-license-identifier:\s*\(?{_FREE[0]}(?:{tag}){_FREE[1]}", ("spdx-license-identifier",)),
             ("grant", 2000, rf"(?:licensed|released|distributed|available|published|covered|shared|provided)\s+under\s+(?:the\s+(?:terms\s+of\s+)?(?:the\s+)?|an?\s+)?(?:{gap(names)}){_FREE[1]}", own),

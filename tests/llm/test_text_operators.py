@@ -233,6 +233,47 @@ def test_licenses(spark):
     assert len(license_scan.rules()) > 250
 
 
+def spellings(tree):
+    """Plain texts of an expression: every alternative, with and without each optional part."""
+    outs = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(arg)]
+        elif op in ("NOT_LITERAL", "ANY"):
+            new = ["*"]
+        elif op == "IN":
+            new = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif op == "BRANCH":
+            new = [x for branch in arg[1] for x in spellings(branch)]
+        elif op == "SUBPATTERN":
+            new = spellings(arg[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            new = [x * n for n in {arg[0], min(arg[1], arg[0] + 1)} for x in spellings(arg[2])]
+        outs = [a + b for a in outs for b in dict.fromkeys(new)]
+    return outs
+
+
+def test_every_spelling_of_a_license_matches():
+    lines = {x[0]: x for x in ([y.strip() for y in line.split(" | ")] for line in license_scan.LICENSES.splitlines())}
+    own, scanner, seen = license_scan.rules(), license_scan.scanner(), 0
+    before = {"tag": "spdx-license-identifier: ", "grant": "released under the ", "place": "https://www.", "name": "see "}
+    for rule in own:
+        _, tag, names, place, _ = lines[rule.label]
+        for plain in spellings(re._parser.parse({"tag": tag, "place": place.lower()}.get(rule.kind, names))):
+            for text in {before[rule.kind] + plain, before[rule.kind] + (plain if rule.kind in ("tag", "place") else plain.replace(" ", "\r\n"))}:
+                assert rule.pattern.search(text) and any(k in text for k in rule.keywords), (rule.label, rule.kind, text)
+                assert scanner.detections(text), text
+                seen += 1
+    assert seen > 1000
+    labels = lambda t: [d[2].label for d in scanner.detections(t)]
+    for short, label in (("gpl{}v3", "gpl-3.0"), ("gpl{}v2", "gpl-2.0"), ("lgpl{}v3", "lgpl-3.0"), ("lgpl{}v2.1", "lgpl-2.1"), ("agpl{}v3", "agpl-3.0"), ("agpl{}3", "agpl-3.0")):
+        for space in ("", " ", "\n"):
+            assert labels(f"released under {short.format(space)}.") == labels(f"({short.format(space)})") == [label]
+    assert labels("cc\nby-sa 4.0") == ["cc-by-sa-4.0"] and labels("an account of success") == []
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
