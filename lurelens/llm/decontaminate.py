@@ -8,9 +8,15 @@ against all documents.  Around each hit the item is laid over the document and
 compared word by word: the best run, where a match counts 1 and a replaced word
 costs ``penalty``, must hold ``least_words`` matches.
 
-Nulls and edge cases: null or empty texts on either side match nothing; items
-with fewer than ``least_words`` words match only if all their words stand in
-one run; a null id is carried; repeated rows on either side give repeated
+An item of which ``percent`` are no more than ``least_words`` words must have
+that share of its words in place, wherever the replaced ones are, and one
+shorter than the shortest seed all of them.  It is cut into one more piece than
+words may be replaced, so one piece stands whole, and pieces are looked up like
+seeds.
+
+Nulls and edge cases: null or empty texts on either side match nothing; the
+part of an item that a document's beginning or end cuts off counts as replaced;
+a null id is carried; repeated rows on either side give repeated
 rows; either table may be empty; other columns are ignored.
 """
 
@@ -25,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import ALNUM, Words, mix, slices
+from .text import ALNUM, Words, grams, mix, slices
 
 #: Fixed masks over windows of words: 1 looks at a word, 0 ignores it.
 MASKS = ("111111", "11010111", "110010111", "1110100101", "101100011001", "1011010011")
-LEAST_WORDS, PENALTY, BLOCK_BYTES = 13, 2, 8 << 20
+LEAST_WORDS, PENALTY, PERCENT, BLOCK_BYTES = 13, 2, 80, 8 << 20
 _WEIGHTS = np.random.default_rng(99).integers(0, 2**63, (len(MASKS), 16), dtype=np.uint64) | np.uint64(1)
 _FILTER_BITS = 22
 
@@ -55,40 +61,75 @@ def _inside(rows: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 class Seeds:
-    """The benchmark's words and, sorted, its seeds with the item and word each begins at."""
+    """The benchmark's words and, sorted, the seeds of long items and the pieces of short ones with the item and word each begins at."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], least_words: int = LEAST_WORDS, percent: int = PERCENT):
         words = Words(pa.array(texts, pa.string()), ALNUM)
         self.hashes, self.rows = words.hashes(), words.rows
+        self.lengths = np.diff(self.rows)
+        share, few = -(-self.lengths * percent // 100), self.lengths < min(map(len, MASKS))
+        self.demand = np.minimum(np.where(few, self.lengths, share), least_words)
+        self.short = few | (share <= least_words)
+        self.items = np.searchsorted(self.rows, np.arange(len(self.hashes)), "right") - 1
         keys, places = [], []
         for k, mask in enumerate(MASKS):
             at = np.flatnonzero(_inside(self.rows, len(self.hashes), len(mask)))
+            at = at[~self.short[self.items[at]]]
             keys.append(_seeds(self.hashes, k)[at])
             places.append(at)
-        keys, places = np.concatenate(keys), np.concatenate(places)
+        self.seeds = self._sorted(np.concatenate(keys), np.concatenate(places))
+        pieces: dict[int, list[int]] = {}
+        for item in np.flatnonzero(self.short & (self.lengths > 0)):
+            length, parts = int(self.lengths[item]), int(self.lengths[item] - self.demand[item]) + 1
+            cuts = [length * k // parts for k in range(parts + 1)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                pieces.setdefault(end - begin, []).append(int(self.rows[item]) + begin)
+        self.pieces = {n: self._sorted(grams(self.hashes, n)[at], np.array(at)) for n, at in pieces.items()}
+
+    def _sorted(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], places[order]
-        self.items = np.searchsorted(self.rows, np.arange(len(self.hashes)), "right") - 1
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+        known = np.zeros(1 << _FILTER_BITS, bool)
+        known[keys >> np.uint64(64 - _FILTER_BITS)] = True
+        return keys[order], places[order], known
+
+    def _met(self, keys: np.ndarray, width: int, rows: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """(row, item, shift) for each window of ``width`` words of a row whose key is in the table."""
+        own, places, known = table
+        at = np.flatnonzero(known[keys >> np.uint64(64 - _FILTER_BITS)]) if len(keys) else np.zeros(0, np.int64)
+        row = np.searchsorted(rows, at, "right") - 1
+        whole = at + width <= rows[row + 1]
+        at, row = at[whole], row[whole]
+        low, high = np.searchsorted(own, keys[at], "left"), np.searchsorted(own, keys[at], "right")
+        n = high - low
+        each = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        place = places[each]
+        item = self.items[place]
+        shift = np.repeat(at - rows[row], n) - (place - self.rows[item])
+        return np.stack([np.repeat(row, n), item, shift], 1)
 
     def hits(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, shift): word w of the item may lie on word w + shift of the row."""
-        found = []
-        for k, mask in enumerate(MASKS):
-            keys = _seeds(hashes, k)
-            at = np.flatnonzero(self.filter[keys >> np.uint64(64 - _FILTER_BITS)]) if len(keys) else np.zeros(0, np.int64)
-            row = np.searchsorted(rows, at, "right") - 1
-            whole = at + len(mask) <= rows[row + 1]
-            at, row = at[whole], row[whole]
-            low, high = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
-            n = high - low
-            each = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            place = self.places[each]
-            item = self.items[place]
-            shift = np.repeat(at - rows[row], n) - (place - self.rows[item])
-            found.append(np.stack([np.repeat(row, n), item, shift], 1))
-        return np.unique(np.concatenate(found), axis=0)
+        """Distinct (row, item, shift) of long items: word w of the item may lie on word w + shift of the row."""
+        if not len(self.seeds[0]):
+            return np.zeros((0, 3), np.int64)
+        return np.unique(np.concatenate([self._met(_seeds(hashes, k), len(mask), rows, self.seeds) for k, mask in enumerate(MASKS)]), axis=0)
+
+    def short_matches(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(row, item, matches, first word, word after the last) of the short items that have their share of words in place; the best last."""
+        found = [self._met(grams(hashes, n), n, rows, table) for n, table in self.pieces.items() if len(hashes) >= n]
+        if not found:
+            return np.zeros((0, 5), np.int64)
+        row, item, shift = np.unique(np.concatenate(found), axis=0).T
+        size, length = rows[row + 1] - rows[row], self.lengths[item]
+        matched, first, end = np.zeros(len(row), np.int64), np.full(len(row), -1, np.int64), np.zeros(len(row), np.int64)
+        for j in range(int(length.max(initial=0))):
+            at = shift + j
+            same = np.flatnonzero((j < length) & (at >= 0) & (at < size))
+            same = same[hashes[(rows[row] + at)[same]] == self.hashes[self.rows[item[same]] + j]]
+            matched[same] += 1
+            first[same] = np.where(first[same] < 0, at[same], first[same])
+            end[same] = at[same] + 1
+        out = np.stack([row, item, matched, first, end], 1)[matched >= self.demand[item]]
+        return out[np.lexsort((-out[:, 3], out[:, 2]))]
 
     def overlap(self, own: np.ndarray, item: int, shift: int, penalty: int) -> tuple[int, int, int]:
         """Most matches in a run worth at least one match for each ``penalty``: matches, first word, word after the last."""
@@ -102,7 +143,7 @@ class Seeds:
         return int(same[begin:end].sum()), a + begin, a + end
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, penalty: int = PENALTY, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, penalty: int = PENALTY, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, matched words, the item's words, and the run's words in the document."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -112,21 +153,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAS
     def block(k: int) -> DataFrame:
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
         held = own.collect()  # within block_bytes, but for chance
-        ids, seeds = [r["item_id"] for r in held], docs.sparkSession.sparkContext.broadcast(Seeds([r["text"] for r in held]))
+        ids, seeds = [r["item_id"] for r in held], docs.sparkSession.sparkContext.broadcast(Seeds([r["text"] for r in held], least_words, percent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = seeds.value
-            lengths = np.diff(known.rows)
             for batch in batches:
                 for part in slices(batch):
                     words = Words(part.column(1), ALNUM)
                     hashes, best = words.hashes(), {}
-                    for row, item, shift in known.hits(hashes, words.rows) if len(hashes) and len(known.keys) else ():
+                    for row, item, matched, a, z in known.short_matches(hashes, words.rows):
+                        best[row, item] = (matched, -a, z)
+                    for row, item, shift in known.hits(hashes, words.rows):
                         matched, a, z = known.overlap(hashes[words.rows[row] : words.rows[row + 1]], item, shift, penalty)
-                        if matched >= min(least_words, lengths[item]) and (matched, -a) > best.get((row, item), (0, 0, 0))[:2]:
+                        if matched >= least_words and (matched, -a) > best.get((row, item), (0, 0, 0))[:2]:
                             best[row, item] = (matched, -a, z)
                     ids_of = part.column(0).to_pylist()
-                    out = [(ids_of[row], ids[item], m, int(lengths[item]), -a, z) for (row, item), (m, a, z) in best.items()]
+                    out = [(ids_of[row], ids[item], m, int(known.lengths[item]), -a, z) for (row, item), (m, a, z) in best.items()]
                     cols = list(zip(*out, strict=True)) or [[]] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word"])
 

@@ -166,3 +166,36 @@ def test_decontamination(spark):
     assert kept == {d[0] for d in docs} - {d for d, _ in want}
     assert decontaminate.find_overlaps(df, bench.limit(0)).collect() == []
     assert decontaminate.find_overlaps(df.limit(0), bench).collect() == []
+
+
+def test_short_items_and_their_edited_copies_are_found(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(300)]
+    line = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [[f"only{n}x{k}" if n == 1 else w for w in line(n)] for n in range(1, 17) for k in range(2)]
+    least = lambda n: n if n < 6 else min(13, -(-n * 4 // 5))
+    docs, planted = [], set()
+    for k, item in enumerate(items):
+        for replaced in range(len(item) - least(len(item)) + 2):
+            own = list(item)
+            for at in rng.sample(range(len(own)), min(replaced, len(own))):
+                own[at] = "changed"
+            if len(item) - replaced >= least(len(item)):
+                planted.add((len(docs), k))
+            docs.append((len(docs), " ".join(line(rng.randrange(0, 20)) + own + line(rng.randrange(0, 20))), "z"))
+    want = {}
+    for d, text, _ in docs:
+        w = words(text)
+        for k, item in enumerate(items):
+            runs = []
+            for shift in range(-len(item), len(w)):
+                same = [shift + j for j in range(len(item)) if 0 <= shift + j < len(w) and w[shift + j] == item[j]]
+                if len(same) >= least(len(item)):
+                    runs.append((len(same), -same[0], same[-1] + 1))
+            if runs:
+                m, a, z = max(runs)
+                want[d, k] = (m, len(item), -a, z)
+    assert planted <= set(want)
+    df = spark.createDataFrame(docs, DOCS)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.find_overlaps(df, bench).collect()} == want
