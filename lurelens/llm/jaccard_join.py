@@ -287,6 +287,11 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
 
     Two texts link when 100 * intersection >= ``percent`` * union.
     """
+    return _linked(docs, shingle, percent, long_list, block, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int = 64, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``link``, ``class``, which rows with equal sets share, and ``root``, which a component shares; root is null for empty sets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -357,14 +362,29 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int =
     classes = sized.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, F.col("class") == F.col("node"), "left")
     classes = scratch.save(classes.select("class", "least", F.coalesce("root", "class").alias("root")), "classes")
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = classes.join(lowest, "root").select("class", "component_id")
-    empty = sized.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sized.filter("n > 0").join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+    ids = classes.join(lowest, "root").select("class", "component_id", "root")
+    empty = sized.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class", F.lit(None).cast("long").alias("root"))
+    return sized.filter("n > 0").join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class", "root").union(empty)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns; rows without an id stay."""
-    kept = link(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = Scratch(docs.sparkSession, "jaccard-kept").save(kept, "kept")
-    unique = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns; rows without an id stay.
+
+    Where an id is on several rows, only those with equal sets or in one component fall together.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard-kept")
+    linked = _linked(docs, shingle, id_col=id_col, text_col=text_col, **options).filter("doc_id IS NOT NULL")
+    linked = scratch.save(linked.select(F.col("doc_id").alias(id_col), "component_id", F.col("class").alias("_class"), "root"), "linked")
+    kept = linked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col, "root").agg(F.min("_class").alias("_class"))
+    kept = scratch.save(kept.select(id_col, "_class").distinct(), "kept")
+    shared = scratch.save(linked.groupBy(id_col).agg(F.min("_class").alias("low"), F.max("_class").alias("high")).filter("low != high").select(id_col), "shared")
+    unique = docs.filter(F.col(id_col).isNotNull()).join(kept.select(id_col), id_col, "left_semi")
+    if shared.isEmpty():
+        unique = unique.dropDuplicates([id_col])
+    else:
+        # Only these rows need their class beside their columns.
+        rows = scratch.save(unique.join(shared, id_col, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rows")
+        classes = rows.select("_row", text_col).mapInArrow(_size_and_class(shingle), "_row long, n long, _class long").drop("n")
+        texts = rows.join(classes, "_row").join(kept, [id_col, "_class"], "left_semi").dropDuplicates([id_col, "_class"])
+        unique = unique.join(shared, id_col, "left_anti").dropDuplicates([id_col]).unionByName(texts.select(*docs.columns))
     return unique.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)

@@ -83,6 +83,15 @@ def test_keep_one_and_edges(spark):
     assert jaccard_join.link(df.limit(0)).collect() == []
 
 
+def test_keep_one_keeps_each_text_of_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a b c d e f", "copy of 2"), (5, "g h i j k l", "alone"), (2, "a b c d e f", "least"), (7, "m n o p q r", "first"), (7, "s t u v w x", "second"), (7, "", "empty")]
+    rows += [(8, "one text on two rows", "same"), (8, "one text on two rows", "same"), (9, long, "near"), (9, f"{long} more", "near"), (None, "m n o p q r", "no id")]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r.extra for r in jaccard_join.keep_one(df).collect())
+    assert kept == sorted(["alone", "least", "first", "second", "empty", "same", "near", "no id"])
+
+
 def brute_windows(rows, n=50):
     seen = {}
     for d, t in rows:
