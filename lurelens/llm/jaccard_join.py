@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .text import Words, mix, shingle_sets, slices
+from .text import BitTable, Words, mix, shingle_sets, slices
 
 #: Entries a hash range holds at most, about; entries a task gathers before it hands them on.
 RANGE_ENTRIES, FLUSH_ENTRIES, FLUSH_COUNTS = 400_000, 500_000, 2_000_000
@@ -123,22 +123,6 @@ def _frequent(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keys[borders[often]].astype(np.int64)), pa.array(np.where(counts[often] > VERY_FREQUENT, 2, 1).astype(np.int32))], ["key", "level"])
 
 
-class BitTable:
-    """A set of longs as a bit table of fixed size, 16 MB at most: no false negatives."""
-
-    def __init__(self, keys: DataFrame, column: str, total: int):
-        self.size = 1 << min(27, max(20, int(total * 32).bit_length()))
-        place = F.pmod(column, F.lit(self.size)) + 1
-        rows = keys.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-        self.bytes = np.zeros(self.size // 8, np.uint8)
-        for r in rows:
-            self.bytes[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(self.size - 1)
-        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _entries(shingle: int, percent: int, ranges: int, bits: int, tables):
     """Entries of the short lists, packed by hash range."""
 

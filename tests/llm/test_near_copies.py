@@ -135,6 +135,34 @@ def test_repeats_match_brute_force(spark):
     assert covered(suffix_dedup.repeated_spans(df, hot=1).collect()) == want
 
 
+def test_cut_finds_rows_by_themselves(spark):
+    rng = random.Random(7)
+    line = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, other = line(60), line(70)
+    rows = [
+        (1, " ".join(line(5) + shared + line(4)), "a", "t"),
+        (1, " ".join(line(90)), "b", "t"),
+        (1, " ".join(shared + line(20)), "c", None),
+        (None, " ".join(line(8) + shared), "d", "t"),
+        (None, " ".join(other), "e", "t"),
+        (0, " ".join(other + line(3)), "f", "t"),
+        (2, None, "g", "t"),
+        (2, "", "h", "t"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, __text string").repartition(3)
+    for hot in (20_000, 1):
+        got = {r["_row"]: r for r in suffix_dedup.cut_repeats(df, hot=hot).collect()}
+        assert sorted(got) == list("abcdefgh") and all((got[r[2]].doc_id, got[r[2]]["__text"]) == (r[0], r[3]) for r in rows)
+        left = {k: words(r.text) for k, r in got.items()}
+        keeps = [k for k in "ac" if len(left[k]) == len(words(dict((r[2], r[1]) for r in rows)[k]))]
+        assert len(keeps) == 1 and left["b"] == words(rows[1][1])
+        assert {k: len(left[k]) for k in "ac" if k not in keeps} in ({"a": 9}, {"c": 20})
+        assert len(left["d"]) == 8 and left["e"] == [] and left["f"] == words(rows[5][1])
+        assert got["g"].text is None and got["h"].text == ""
+        spans = suffix_dedup.repeated_spans(df, hot=hot).collect()
+        assert sorted((r.doc_id is None, r.is_first) for r in spans) == [(False, False), (False, True), (False, True), (True, False), (True, False)]
+
+
 def test_cut_keeps_first_occurrence(spark):
     rows = [(i, t, "e") for i, t in passages(2)]
     df = spark.createDataFrame(rows, DOCS)
