@@ -133,6 +133,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix((run[n:] - run[:-n]) * down[: len(hashes) - n + 1] + np.uint64(n))
 
 
+def sequence_names(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """One hash for all words of each row, the same as that of a gram of so many words."""
+    up, down = _GRAM_POWERS.get(len(hashes) + 1)
+    run = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=run[1:])
+    return mix((run[rows[1:]] - run[rows[:-1]]) * down[rows[:-1]] + np.diff(rows).astype(np.uint64))
+
+
 def shingle_sets(words: Words, hashes: np.ndarray, n: int = 5) -> Iterator[np.ndarray]:
     """Per row the sorted distinct n-word shingles; shorter rows have their whole sequence as one; rows without words none."""
     every = grams(hashes, n)
@@ -145,16 +153,25 @@ def shingle_sets(words: Words, hashes: np.ndarray, n: int = 5) -> Iterator[np.nd
 
 
 class BitTable:
-    """A set of longs as a bit table of fixed size, 16 MB at most: no false negatives."""
-
-    def __init__(self, keys: DataFrame, column: str, total: int):
-        self.size = 1 << min(27, max(20, int(total * 32).bit_length()))
-        place = F.pmod(column, F.lit(self.size)) + 1
-        rows = keys.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-        self.bytes = np.zeros(self.size // 8, np.uint8)
-        for r in rows:
-            self.bytes[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    """A set of longs as bit tables of a fixed size, 2**``most_bits`` bits each at most: no false negatives.
+
+    With two probes a second table looks at other bits of a long, so that fewer are wrongly held.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, total: int, most_bits: int = 27, probes: int = 1):
+        self.size = 1 << min(most_bits, max(20, int(total * 32).bit_length()))
+        self.tables = []
+        for probe in range(probes):
+            place = F.pmod(F.shiftrightunsigned(column, 32 * probe), F.lit(self.size)) + 1
+            rows = keys.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+            table = np.zeros(self.size // 8, np.uint8)
+            for r in rows:
+                table[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+            self.tables.append(table)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(self.size - 1)
-        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        held = np.ones(len(keys), bool)
+        for probe, table in enumerate(self.tables):
+            at = (keys >> np.uint64(32 * probe)) & np.uint64(self.size - 1)
+            held &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return held

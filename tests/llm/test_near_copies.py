@@ -197,14 +197,29 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(99, None)], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench).collect()}
     assert found == want
-    blocks = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench, block_bytes=2000).collect()}
-    assert blocks == want
+    dealt = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench, hot_rows=2).collect()}
+    assert dealt == want
     kept = {r.doc_id for r in decontaminate.remove_contaminated(df, bench).collect()}
     assert kept == {d[0] for d in docs} - {d for d, _ in want}
     assert decontaminate.find_overlaps(df, bench.limit(0)).collect() == []
     assert decontaminate.find_overlaps(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_judges_rows_by_their_text(spark):
+    rng = random.Random(11)
+    line = lambda n: [f"v{rng.randrange(10**5)}" for _ in range(n)]
+    item, short = line(30), line(4)
+    leak, part = " ".join(line(9) + item + line(9)), " ".join(line(3) + short + line(5))
+    rows = [(1, leak, "a", 0), (1, " ".join(line(40)), "b", 0), (None, leak, "c", None), (None, " ".join(line(40)), "d", 0), (2, part, "e", 0), (3, None, "f", 0), (3, "", "g", 0), (4, leak.upper(), "h", 0), (4, leak, "i", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _name string, _part int").repartition(3)
+    bench = spark.createDataFrame([(7, " ".join(item), "z"), (8, " ".join(item), "z"), (None, " ".join(short), "z"), (9, None, "z"), (9, "", "z")], "item_id long, text string, doc_id string")
+    for hot_rows in (50_000, 1):
+        kept = decontaminate.remove_contaminated(df, bench, hot_rows=hot_rows)
+        assert kept.columns == df.columns and sorted(r["_name"] for r in kept.collect()) == list("bdfg")
+        found = sorted((str(r.doc_id), str(r.item_id), r.matched_words) for r in decontaminate.find_overlaps(df, bench, hot_rows=hot_rows).collect())
+        assert found == sorted([(d, i, 30) for d in ("1", "None", "4", "4") for i in ("7", "8")] + [("2", "None", 4)])
+
+
 def test_short_items_and_their_edited_copies_are_found(spark):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(300)]
