@@ -1,12 +1,16 @@
 """Quality rules and robust outliers, with DataFrame functions only.
 
 Base rules look at one document.  The method then fits a minimum covariance
-determinant estimate for each language and source: starting from the
-coordinate-wise medians, concentration steps keep the ``alpha`` share of rows
-nearest to the current centre and estimate centre and covariance from them
-anew.  A document is rejected when its squared Mahalanobis distance exceeds
-``cutoff``.  Distances are counted in narrow logarithmic bins to find the share,
-so that no group is sorted or collected, however large.
+determinant estimate for each language and source.  Four starts stand for the
+search: the coordinate-wise medians with the least scales, and with the
+quartiles' distance as scale the medians, the lower and the upper quartiles.
+From each, concentration steps keep the ``alpha`` share of rows nearest to the
+current centre and estimate centre and covariance from them anew, until the
+determinant no longer falls.  A group's fit is that of the start with the least
+determinant.  A document is rejected when its squared Mahalanobis distance
+exceeds ``cutoff``.  All groups and starts take a step together.  Distances are
+counted in narrow logarithmic bins to find the share, so that no group is
+sorted or collected, however large.
 
 Nulls and edge cases: a null text has no words and fails the base rules; null
 languages and sources form groups of their own; groups with fewer than
@@ -27,6 +31,8 @@ from .scratch import Scratch
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics and the least standard deviation each is given.
 STATS = {"x_word": 0.06, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.12}
+#: Columns of a fit: the centre and the lower triangle of the Cholesky factor.
+_CELLS = [*(f"m_{i}" for i in range(len(STATS))), *(f"l_{i}_{j}" for i in range(len(STATS)) for j in range(i + 1))]
 
 
 def _bound(value: Column, body) -> Column:
@@ -96,7 +102,7 @@ def _consistency(alpha: float) -> float:
 
 
 def _distance(frame: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance by forward substitution with the fit's Cholesky factor."""
+    """Adds the squared Mahalanobis distance by forward substitution with the fit's Cholesky factor; a row for each fit of its group."""
     names = list(STATS)
     out = frame.join(fit, "_group", "left")
     for i, name in enumerate(names):
@@ -106,14 +112,15 @@ def _distance(frame: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def _factor(moments: DataFrame, scale: float) -> DataFrame:
-    """Centres and Cholesky factors of the scaled covariances, each with the least variances added."""
+    """Centres and Cholesky factors of the scaled covariances, each with the least variances added, and the logarithm of their determinants' root."""
     names, floors = list(STATS), list(STATS.values())
     for i in range(len(names)):
         for j in range(i + 1):
             cell = scale * F.col(f"c_{i}_{j}") + (F.lit(floors[i] ** 2) if i == j else 0)
             cell = cell - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
             moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cell, F.lit(floors[i] ** 2 / 4))) if i == j else cell / F.col(f"l_{j}_{j}"))
-    return moments.select("_group", *(f"m_{i}" for i in range(len(names))), *(f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)))
+    spread = sum((F.log(f"l_{i}_{i}") for i in range(len(names))), F.lit(0.0))
+    return moments.select("_group", "_start", *_CELLS, spread.alias("_spread"))
 
 
 def _share_reached(bins: DataFrame, keys: list[str], alpha: float) -> DataFrame:
@@ -124,29 +131,53 @@ def _share_reached(bins: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return groups.select(*keys, F.aggregate("b", start, step)["bin"].alias("limit"))
 
 
-def robust_fit(stats: DataFrame, scratch: Scratch, alpha: float = 0.6, steps: int = 4) -> DataFrame:
+def _starts(stats: DataFrame, scratch: Scratch) -> DataFrame:
+    """Four centres with scales for each group, from the quartiles of each statistic."""
+    names, floors = list(STATS), list(STATS.values())
+    long = stats.select("_group", F.posexplode(F.array(*names)).alias("stat", "x"))
+    bins = scratch.save(long.groupBy("_group", "stat", F.floor(F.col("x") * 128).alias("bin")).agg(F.count(F.lit(1)).alias("n")), "bins")
+    found = None
+    for k, share in enumerate((0.25, 0.5, 0.75)):
+        reached = _share_reached(bins, ["_group", "stat"], share)
+        pick = [F.max(F.when(F.col("stat") == i, (F.col("limit") + 0.5) / 128)).alias(f"q{k}_{i}") for i in range(len(names))]
+        own = reached.groupBy("_group").agg(*pick)
+        found = own if found is None else found.join(own, "_group")
+    # For a normal variable the quartiles are 1.349 standard deviations apart.
+    wide = [F.greatest(F.lit(floors[i]), (F.col(f"q2_{i}") - F.col(f"q0_{i}")) / 1.349) for i in range(len(names))]
+    tight = [F.lit(floor) for floor in floors]
+
+    def start(number: int, quartile: int, scales: list[Column]) -> Column:
+        cells = [F.col(f"q{quartile}_{i}").alias(f"m_{i}") for i in range(len(names))]
+        cells += [(scales[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
+        return F.struct(F.lit(number).alias("_start"), *cells)
+
+    four = F.array(start(0, 1, tight), start(1, 1, wide), start(2, 0, wide), start(3, 2, wide))
+    return found.select("_group", F.explode(four).alias("s")).select("_group", "s.*", F.lit(float("inf")).alias("_spread"))
+
+
+def robust_fit(stats: DataFrame, scratch: Scratch, alpha: float = 0.6, most_steps: int = 20, least_fall: float = 1e-3) -> DataFrame:
     """Per ``_group`` the centre and Cholesky factor of the minimum covariance determinant estimate.
 
     ``stats`` holds ``_group`` and the four statistics.  Bins per group are few:
-    distances and values are binned logarithmically or by 1/128.
+    distances and values are binned logarithmically or by 1/128.  Steps end when
+    no start's determinant falls by ``least_fall`` of itself, after ``most_steps`` at the latest.
     """
     names = list(STATS)
-    long = stats.select("_group", F.posexplode(F.array(*names)).alias("stat", "x"))
-    bins = long.groupBy("_group", "stat", F.floor(F.col("x") * 128).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    median = _share_reached(bins, ["_group", "stat"], 0.5).select("_group", "stat", ((F.col("limit") + 0.5) / 128).alias("x"))
-    pick = [F.max(F.when(F.col("stat") == i, F.col("x"))).alias(f"m_{i}") for i in range(len(names))]
-    floors = list(STATS.values())
-    unit = [F.lit(floors[i] if i == j else 0.0).alias(f"l_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-    fit = scratch.save(median.groupBy("_group").agg(*pick).select("*", *unit), "fit0")
-    for k in range(1, steps + 1):
-        near = _distance(stats, fit).withColumn("bin", F.floor(F.log1p("d2") * 64)).select("_group", "bin", *names)
-        counted = near.groupBy("_group", "bin").agg(F.count(F.lit(1)).alias("n"))
-        limits = scratch.save(_share_reached(counted, ["_group"], alpha), f"limit{k}")
-        inside = near.join(limits, "_group").filter(F.col("bin") <= F.col("limit"))
+    fit, k, fall = scratch.save(_starts(stats, scratch), "fit0"), 0, math.inf
+    while fall > least_fall and k < most_steps:
+        k += 1
+        near = _distance(stats, fit).withColumn("bin", F.floor(F.log1p("d2") * 64)).select("_group", "_start", "bin", *names)
+        counted = near.groupBy("_group", "_start", "bin").agg(F.count(F.lit(1)).alias("n"))
+        limits = scratch.save(_share_reached(counted, ["_group", "_start"], alpha), f"limit{k}")
+        inside = near.join(limits, ["_group", "_start"]).filter(F.col("bin") <= F.col("limit"))
         means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]
         covs = [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-        fit = scratch.save(_factor(inside.groupBy("_group").agg(*means, *covs), _consistency(alpha)), f"fit{k}")
-    return fit
+        before, fit = fit, scratch.save(_factor(inside.groupBy("_group", "_start").agg(*means, *covs), _consistency(alpha)), f"fit{k}")
+        both = fit.join(before.select("_group", "_start", F.col("_spread").alias("_before")), ["_group", "_start"])
+        # One number for all groups: the logarithm of a determinant is twice that of its root.
+        fall = both.agg(F.max(2 * (F.col("_before") - F.col("_spread")))).first()[0] or 0.0
+    best = fit.groupBy("_group").agg(F.min(F.struct("_spread", "_start", *_CELLS)).alias("f"))
+    return scratch.save(best.select("_group", *(f"f.{c}" for c in _CELLS)), "fit")
 
 
 def _judged(docs: DataFrame, carry: tuple[str, ...], least_words: int = 50, cutoff: float = 36.0, least_rows: int = 40, alpha: float = 0.6, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
