@@ -29,7 +29,7 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends documents as small shards, compacts them, and reads the newest version back."""
     docs = _table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, f"{Scratch(spark, 'shards').path}", target_bytes=32 << 20)
-    store.append(sharding.arrivals(docs, ("doc_id",), 20, store.target_bytes // 4), "arrival")
+    store.append(sharding.arrivals(docs, ("doc_id",), 20, store.target_bytes // 4))
     store.compact_fully()
     found = store.read(docs.schema)
     text = F.coalesce(F.col("text"), F.lit(""))

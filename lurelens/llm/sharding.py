@@ -4,11 +4,15 @@ A shard is one file.  Arrivals are appended as small shards, more of them as
 the input grows.  Compaction groups the live shards into tiers whose sizes
 differ by less than ``fanout`` times; a tier with at least ``fanout`` shards is
 merged into files of about ``target_bytes`` and its shards retire.  Shards of
-half the target and more are done; fewer than ``fanout`` of a tier stay small.  Every change is a new manifest version, written beside the others and
-committed by the rename that ends a Spark write: readers take the newest
-version that has its success marker, so they see all of a change or none of it.
-A shard is never rewritten in place, and a failed or repeated write leaves at
-most an unnamed folder.
+half the target and more are done; fewer than ``fanout`` of a tier stay small.
+Every change is a new manifest, written under a name of its own.  What commits
+it is one small file per version, which names the manifest: it is written
+elsewhere first and put in place by a single step that fails if the version is
+there already (a hard link in a local or mounted folder, else a rename).  So of
+two writers one wins, and readers see all of a change or none of it.  Stores
+whose rename can replace a file need one writer at a time.  A shard is never
+rewritten in place, and a failed or repeated write leaves at most an unnamed
+folder.
 
 Only the manifest, a row per shard, is handled by the driver; its length is
 bounded by the bytes over the size of an arrival, and after compaction by the
@@ -17,22 +21,25 @@ bytes over the target, not by the number of documents.
 Nulls and edge cases: nulls in any column are stored as they are; repeated rows
 stay repeated; a file without rows makes no shard; an empty table makes an
 empty store; rows are dealt to arrivals by input partition and a hash of
-``key_cols``, nulls included; extra columns are stored too, as long as their names are not those of
-the manifest's own (``shard_id`` and ``version``), which the reader adds and
-which then win.
+``key_cols``, nulls included; extra columns are stored too, whatever their
+names: ``shard_id`` and ``version``, which the reader adds, get underscores in
+front where the names are taken.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import uuid
 from dataclasses import dataclass
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MANIFEST = "path string, rows long, bytes long"
+#: The column by which arrivals are told apart while they are written; it is not stored.
+ARRIVAL = "__arrival__"
 
 
 @dataclass(frozen=True)
@@ -55,21 +62,32 @@ class ShardStore:
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        done = [f.getPath().getParent().getName() for f in self._files("manifests/v*/_SUCCESS")]
-        return max((int(name[1:]) for name in done), default=0)
+        return max((int(f.getPath().getName()[1:]) for f in self._files("versions/v*")), default=0)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         version = self.version() if version is None else version
         if not version:
             return []
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifests/v{version:08d}").collect()
+        name = self.spark.read.text(f"{self.path}/versions/v{version:08d}").first()[0]
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifests/{name}").collect()
         return sorted((Shard(*r) for r in rows), key=lambda s: s.path)
 
     def commit(self, shards: list[Shard], base: int) -> int:
-        """Makes these shards version base + 1; fails if another writer has made it."""
+        """Makes these shards version base + 1; raises FileExistsError if another writer has made it."""
+        name = uuid.uuid4().hex
         rows = [(s.path, s.rows, s.bytes) for s in shards]
-        frame = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
-        frame.write.mode("error").json(f"{self.path}/manifests/v{base + 1:08d}")
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.json(f"{self.path}/manifests/{name}")
+        jvm, final = self.spark._jvm, f"{self.path}/versions/v{base + 1:08d}"
+        made, wanted = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.path}/claims/{name}", final))
+        store = made.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = store.create(made, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        store.mkdirs(wanted.getParent())
+        if store.getScheme() == "file":
+            os.link(*(urlparse(str(x.toUri().toString())).path for x in (made, wanted)))
+        elif not store.rename(made, wanted):
+            raise FileExistsError(f"version {base + 1} exists: {final}")
         return base + 1
 
     def _stored(self, folder: str, schema) -> list[Shard]:
@@ -78,7 +96,7 @@ class ShardStore:
         files = frame.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n"))
         return [Shard(folder + unquote(r.file_path).rpartition(folder)[2], r.n, r.file_size) for r in files.collect()]
 
-    def append(self, arrivals: DataFrame, batch_col: str) -> int:
+    def append(self, arrivals: DataFrame, batch_col: str = ARRIVAL) -> int:
         """Stores the files of each value of ``batch_col`` as shards and commits them together."""
         base, folder = self.version(), f"arrivals/{uuid.uuid4().hex[:12]}"
         arrivals.write.partitionBy(batch_col).parquet(f"{self.path}/{folder}")
@@ -126,19 +144,23 @@ class ShardStore:
         return own.read.parquet(*(f"{self.path}/{s.path}" for s in run)).coalesce(max(1, len(run) // 2))
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """All rows of a version, with ``shard_id`` and ``version``."""
+        """All rows of a version with the columns of ``schema``, ``shard_id`` and ``version``."""
         version = self.version() if version is None else version
-        shards = self.shards(version)
+        shards, names = self.shards(version), []
+        for name in ("shard_id", "version"):
+            while name.lower() in (n.lower() for n in schema.names):
+                name = f"_{name}"
+            names.append(name)
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumns({"shard_id": F.lit(""), "version": F.lit(version)})
+            return self.spark.createDataFrame([], schema).withColumns(dict(zip(names, (F.lit(""), F.lit(version)), strict=True)))
         frame = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in shards))
         # A shard is named by its file, so no list of shards has to be joined.
-        name = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "%3D", "="), r"((?:arrivals/[^/]+|merged)/[^/]+/[^/]+)$", 1)
-        return frame.drop("shard_id", "version").withColumns({"shard_id": name, "version": F.lit(version)})
+        shard = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "%3D", "="), r"((?:arrivals/[^/]+|merged)/[^/]+/[^/]+)$", 1)
+        return frame.withColumns(dict(zip(names, (shard, F.lit(version)), strict=True)))
 
 
 def arrivals(docs: DataFrame, key_cols: tuple[str, ...], batches: int, most_bytes: int = 8 << 20) -> DataFrame:
-    """Deals the rows of each input partition to ``arrival``s of their own, by a hash; each is about half as large as the one before, down to a sixteenth, and over again.
+    """Deals the rows of each input partition to arrivals of their own, by a hash; each is about half as large as the one before, down to a sixteenth, and over again.
 
     There are about ``batches`` at least, and as many more as it takes for the largest to have about ``most_bytes`` of values.
     """
@@ -149,4 +171,4 @@ def arrivals(docs: DataFrame, key_cols: tuple[str, ...], batches: int, most_byte
     turn = F.pmod(F.xxhash64(*key_cols), F.lit(31))
     size = F.when(turn < 16, 0).when(turn < 24, 1).when(turn < 28, 2).when(turn < 30, 3).otherwise(4)
     group = F.spark_partition_id() * groups + F.pmod(F.xxhash64(F.lit(7), *key_cols), F.lit(groups))
-    return docs.withColumn("arrival", (group * 5 + size).cast("int"))
+    return docs.withColumn(ARRIVAL, (group * 5 + size).cast("int"))
