@@ -33,7 +33,7 @@ from .text import slices
 
 #: Payloads from this size on are written once; the others of equal content revisit it.
 REVISIT_BYTES = 1000
-ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 64 << 20, 32 << 10, 8 << 20
+ARCHIVE_BYTES, GAP_BYTES, READ_BYTES, TASK_BYTES = 64 << 20, 32 << 10, 8 << 20, 64 << 20
 _DATE = "2020-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
@@ -166,9 +166,17 @@ def _read(folder: str, with_payload: bool, gap: int):
     return run
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = True, gap: int = GAP_BYTES) -> DataFrame:
-    """The records that the index rows name, read by coalesced byte ranges; an archive's rows are dealt out by stretches of offsets."""
-    spread = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+def read_records(index: DataFrame, folder: str, with_payload: bool = True, gap: int = GAP_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that the index rows name, read by coalesced byte ranges.
+
+    Index rows are dealt out by stretches of archives and offsets, as many as
+    the selected records have ``task_bytes``; where that is fewer than there are
+    cores, as many as these, of at least a MB each.
+    """
+    own = index.select("archive", "offset", "length")
+    size = own.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-size // task_bytes), min(index.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    spread = own.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
     return spread.mapInArrow(_read(folder, with_payload, gap), fields)
 
