@@ -2,7 +2,7 @@
 
 The histogram of piece lengths (at most ``capacity`` entries, whatever the
 input's size) is all that reaches the driver.  There, for the longest length
-left, the gap to a full sequence is looked up among the sums of one, two and
+left, the gap to a full sequence is looked up in an index of the sums of one, two and
 three available lengths; a combination that fills it is used as often as the
 counts allow.  Lengths without one go to best-fit decreasing.  The result is a
 list of patterns with multiplicities, so its size does not grow with the input.
@@ -161,31 +161,50 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     return frame.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), fields)
 
 
-def _combination(gap: int, free: np.ndarray) -> tuple[int, ...]:
-    """One, two or three available lengths whose sum is the gap; empty if there are none.
+class _Sums:
+    """Index of the sums of one, two and three lengths under availability counts.
 
-    Sums of even parts come first, since short pieces fit in more places later.
+    Counts only fall, so what has run out is left behind for good: each sum
+    keeps its pairs, the most even first, and the place up to which its triples are spent.
     """
-    if gap <= 0:
+
+    def __init__(self, free: np.ndarray):
+        self.free, self.pairs, self.spent = free, {}, {}
+
+    def _there(self, *parts: int) -> bool:
+        return all(self.free[x] >= parts.count(x) for x in parts)
+
+    def _pair(self, total: int, most: int, also: tuple[int, ...] = ()) -> tuple[int, ...]:
+        if total not in self.pairs:
+            high = np.arange((total + 1) // 2, max(total, 0))
+            self.pairs[total] = high[(self.free[high] > 0) & (self.free[total - high] > 0)].tolist()[::-1]
+        known = self.pairs[total]
+        while known and not self._there(known[-1], total - known[-1]):
+            known.pop()
+        for high in reversed(known):
+            if high > most:
+                break
+            if self._there(high, total - high, *also):
+                return high, total - high
         return ()
-    if free[gap]:
-        return (gap,)
 
-    def pair(total: int, most: int) -> tuple[int, ...]:
-        high = np.arange((total + 1) // 2, min(total - 1, most) + 1)
-        if not len(high):
-            return ()
-        good = (free[high] > 0) & (free[total - high] > (high == total - high))
-        return (int(high[k := int(good.argmax())]), int(total - high[k])) if good.any() else ()
+    def filling(self, gap: int) -> tuple[int, ...]:
+        """One, two or three available lengths whose sum is the gap; empty if there are none.
 
-    if found := pair(gap, gap):
-        return found
-    for a in np.flatnonzero(free[: gap - 1]):
-        if 3 * a < gap:
-            continue
-        if (found := pair(gap - int(a), int(a))) and all(free[x] >= (int(a), *found).count(x) for x in (a, *found)):
-            return (int(a), *found)
-    return ()
+        Sums of even parts come first, since short pieces fit in more places later.
+        """
+        if gap <= 0:
+            return ()
+        if self.free[gap]:
+            return (gap,)
+        if found := self._pair(gap, gap):
+            return found
+        for first in range(self.spent.get(gap, -(-gap // 3)), gap - 1):
+            self.spent[gap] = first
+            if self.free[first] and (found := self._pair(gap - first, first, (first,))):
+                return first, *found
+        self.spent[gap] = gap
+        return ()
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -197,9 +216,9 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> Plan:
     A length without an exact combination can wait for the best-fit pass, or
     take at once the fullest combination that leaves at most ``slack`` unused,
     while short pieces are still there.  Of a few slacks the plan with the
-    fewest sequences is kept: 0 is exact filling alone, -1 best fit alone.
+    fewest sequences is kept; all begin with exact complements, and 0 is exact filling alone.
     """
-    plans = [_plan(histogram, capacity, slack) for slack in (0, 4, 32, capacity, -1)]
+    plans = [_plan(histogram, capacity, slack) for slack in (0, 4, 32, capacity)]
     return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
@@ -208,6 +227,7 @@ def _plan(histogram: dict[int, int], capacity: int, slack: int) -> Plan:
     for length, n in histogram.items():
         free[length] = n
     plan: Plan = []
+    sums = _Sums(free)
     rest: dict[int, int] = {}
     if free[capacity]:
         plan.append(((capacity,), int(free[capacity])))
@@ -216,7 +236,7 @@ def _plan(histogram: dict[int, int], capacity: int, slack: int) -> Plan:
         while free[length]:
             free[length] -= 1
             gap = capacity - length
-            found = next(filter(None, (_combination(g, free) for g in range(gap, max(0, gap - slack - 1), -1))), ())
+            found = next(filter(None, (sums.filling(g) for g in range(gap, max(0, gap - slack - 1), -1))), ())
             free[length] += 1
             if not found:
                 rest[length] = int(free[length])
