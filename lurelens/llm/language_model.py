@@ -267,11 +267,12 @@ def _blocks(docs: DataFrame, block_bytes: int) -> tuple[Column, int]:
     """The block of a document, and all bytes of text.
 
     Ranges of ids keep neighbours together, so a task that reads them asks once;
-    where ids are too unevenly spread for that, blocks are dealt by hash.
+    where ids are too unevenly spread for that, such as where very many rows
+    share one, blocks are dealt by a hash of id and text.
     """
     seen = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     count = max(1, -(-(seen["bytes"] + seen["rows"]) // block_bytes))
-    by_hash = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(count))
+    by_hash = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))
     if count == 1 or seen["low"] is None or seen["low"] == seen["high"]:
         return by_hash, seen["bytes"] + seen["rows"]
     width = (seen["high"] - seen["low"]) // count + 1
