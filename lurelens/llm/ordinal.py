@@ -9,8 +9,11 @@ expected grade and the tail probability on which documents are selected.
 Features are the distinct lower-case words of the whole text, and the text's
 shape: word length, repeated words, symbols and lines, each as a hashed level.
 The model is fitted on at most ``sample_rows`` rated documents, those with the
-smallest hash of their id; everything else covers all documents.  It has
-2**``bits`` weights whatever the input's size.
+smallest hash of their id, and on as many of them as have ``sample_features``
+features together; everything else covers all documents.  It has 2**``bits``
+weights whatever the input's size.  Rare grades weigh more while weights are
+fitted; the thresholds are then set anew so that the probabilities of reaching
+each grade are, on average over the fitted documents, the shares that reach it.
 
 Nulls and edge cases: a null text is empty and is scored by its shape alone;
 ratings with a null id or a null grade, or without a document, are ignored; an
@@ -28,10 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .scratch import Scratch
 from .text import Words, grams, mix, slices
 
-BITS, SAMPLE_ROWS, ROUNDS, PENALTY = 18, 20_000, 120, 0.05
+BITS, SAMPLE_ROWS, SAMPLE_FEATURES, ROUNDS, PENALTY = 18, 20_000, 20_000_000, 120, 0.05
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -126,10 +131,29 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int,
             value -= length * first / (1 - 0.9**t)
             if k == 0:
                 value[:] = np.sign(value) * np.maximum(np.abs(value) - length * sparsity, 0)
-    return OrdinalModel(weights.astype(np.float32), order(free), bits)
+    cuts = order(free)
+    if len(grades):
+        cuts = _calibrated(np.bincount(rows, weights[keys], len(grades)), grades, levels)
+    return OrdinalModel(weights.astype(np.float32), cuts, bits)
 
 
-def train(docs: DataFrame, ratings: DataFrame, levels: int, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
+def _calibrated(scores: np.ndarray, grades: np.ndarray, levels: int) -> np.ndarray:
+    """Thresholds at which the mean probability of reaching each grade is the share that does, by bisection.
+
+    Shares fall with the grade, so the thresholds are in order; half a row is
+    added on either side, so that none is infinite.
+    """
+    cuts = np.zeros(levels - 1)
+    for k in range(1, levels):
+        share = ((grades >= k).sum() + 0.5) / (len(grades) + 1)
+        low, high = scores.min() - 40, scores.max() + 40
+        for _ in range(80):
+            cuts[k - 1] = (low + high) / 2
+            low, high = (cuts[k - 1], high) if _sigmoid(scores - cuts[k - 1]).mean() > share else (low, cuts[k - 1])
+    return cuts
+
+
+def train(docs: DataFrame, ratings: DataFrame, levels: int, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> OrdinalModel:
     """Fits on documents (doc_id, text) with a grade in ``ratings`` (doc_id, grade)."""
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     # At most sample_rows rows of two integers.
@@ -141,7 +165,13 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, bits: int = BITS, sa
                 keys, offsets = features(part, bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([keys[a:z].astype("<i4").tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "grade", "keys"])
 
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, keys binary").toPandas()
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, keys binary")
+    found = Scratch(docs.sparkSession, "ordinal").save(found, "found")
+    # Sizes of at most sample_rows rows, but for repeated ids, which count as one.
+    sizes = found.groupBy("doc_id").agg(F.sum(F.octet_length("keys") / 4).alias("n"))
+    running = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = sizes.withColumn("total", running).filter(F.col("total") <= sample_features).select("doc_id")
+    found = found.join(few, "doc_id", "left_semi").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     sets = [np.frombuffer(x, "<i4") for x in found["keys"]]
     offsets = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)
