@@ -5,12 +5,12 @@ determinant estimate for each language and source.  Four starts stand for the
 search: the coordinate-wise medians with the least scales, and with the
 quartiles' distance as scale the medians, the lower and the upper quartiles.
 From each, concentration steps keep the ``alpha`` share of rows nearest to the
-current centre and estimate centre and covariance from them anew, until the
-determinant no longer falls.  A group's fit is that of the start with the least
-determinant.  A document is rejected when its squared Mahalanobis distance
-exceeds ``cutoff``.  All groups and starts take a step together.  Distances are
-counted in narrow logarithmic bins to find the share, so that no group is
-sorted or collected, however large.
+current centre and estimate centre and covariance from them anew.  After the
+first few of them a group goes on with the start whose determinant is the
+least, until it no longer falls.  A document is rejected when its squared
+Mahalanobis distance exceeds ``cutoff``.  All groups take a step together.
+Distances are counted in narrow logarithmic bins to find the share, so that no
+group is sorted or collected, however large.
 
 Nulls and edge cases: a null text has no words and fails the base rules; null
 languages and sources form groups of their own; groups with fewer than
@@ -155,29 +155,37 @@ def _starts(stats: DataFrame, scratch: Scratch) -> DataFrame:
     return found.select("_group", F.explode(four).alias("s")).select("_group", "s.*", F.lit(float("inf")).alias("_spread"))
 
 
-def robust_fit(stats: DataFrame, scratch: Scratch, alpha: float = 0.6, most_steps: int = 20, least_fall: float = 1e-3) -> DataFrame:
+def _step(stats: DataFrame, fit: DataFrame, alpha: float) -> DataFrame:
+    """A concentration step of each group and start."""
+    names = list(STATS)
+    near = _distance(stats, fit).withColumn("bin", F.floor(F.log1p("d2") * 64)).select("_group", "_start", "bin", *names)
+    counted = near.groupBy("_group", "_start", "bin").agg(F.count(F.lit(1)).alias("n"))
+    inside = near.join(_share_reached(counted, ["_group", "_start"], alpha), ["_group", "_start"]).filter(F.col("bin") <= F.col("limit"))
+    means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]
+    covs = [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
+    return _factor(inside.groupBy("_group", "_start").agg(*means, *covs), _consistency(alpha))
+
+
+def robust_fit(stats: DataFrame, scratch: Scratch, alpha: float = 0.6, first_steps: int = 2, most_steps: int = 8, least_fall: float = 0.01) -> DataFrame:
     """Per ``_group`` the centre and Cholesky factor of the minimum covariance determinant estimate.
 
     ``stats`` holds ``_group`` and the four statistics.  Bins per group are few:
-    distances and values are binned logarithmically or by 1/128.  Steps end when
-    no start's determinant falls by ``least_fall`` of itself, after ``most_steps`` at the latest.
+    distances and values are binned logarithmically or by 1/128.  All starts take
+    ``first_steps``, the best of each group up to ``most_steps`` more, until no
+    group's determinant falls by ``least_fall`` of itself.
     """
-    names = list(STATS)
-    fit, k, fall = scratch.save(_starts(stats, scratch), "fit0"), 0, math.inf
-    while fall > least_fall and k < most_steps:
-        k += 1
-        near = _distance(stats, fit).withColumn("bin", F.floor(F.log1p("d2") * 64)).select("_group", "_start", "bin", *names)
-        counted = near.groupBy("_group", "_start", "bin").agg(F.count(F.lit(1)).alias("n"))
-        limits = scratch.save(_share_reached(counted, ["_group", "_start"], alpha), f"limit{k}")
-        inside = near.join(limits, ["_group", "_start"]).filter(F.col("bin") <= F.col("limit"))
-        means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]
-        covs = [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-        before, fit = fit, scratch.save(_factor(inside.groupBy("_group", "_start").agg(*means, *covs), _consistency(alpha)), f"fit{k}")
-        both = fit.join(before.select("_group", "_start", F.col("_spread").alias("_before")), ["_group", "_start"])
-        # One number for all groups: the logarithm of a determinant is twice that of its root.
-        fall = both.agg(F.max(2 * (F.col("_before") - F.col("_spread")))).first()[0] or 0.0
+    fit = scratch.save(_starts(stats, scratch), "fit0")
+    for k in range(1, first_steps + 1):
+        fit = scratch.save(_step(stats, fit, alpha), f"fit{k}")
     best = fit.groupBy("_group").agg(F.min(F.struct("_spread", "_start", *_CELLS)).alias("f"))
-    return scratch.save(best.select("_group", *(f"f.{c}" for c in _CELLS)), "fit")
+    fit = scratch.save(best.select("_group", "f.*"), "best")
+    for k in range(most_steps):
+        before, fit = fit, scratch.save(_step(stats, fit, alpha), f"best{k}")
+        both = fit.join(before.select("_group", F.col("_spread").alias("_before")), "_group")
+        # One number for all groups: the logarithm of a determinant is twice that of its root.
+        if (both.agg(F.max(2 * (F.col("_before") - F.col("_spread")))).first()[0] or 0.0) <= least_fall:
+            break
+    return fit.select("_group", *_CELLS)
 
 
 def _judged(docs: DataFrame, carry: tuple[str, ...], least_words: int = 50, cutoff: float = 36.0, least_rows: int = 40, alpha: float = 0.6, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:

@@ -457,47 +457,44 @@ def test_quality_rules(spark):
 
 
 def brute_fit(x, alpha=0.6):
-    """The fit of each start after the steps that all starts need, and the number of the one with the least determinant."""
+    """The fits of four starts after ten steps, and which start was the best after two."""
     floors = np.array(list(quality_rules.STATS.values()))
     quartile = lambda share: np.array([(sorted(np.floor(x[:, k] * 128))[math.ceil(share * len(x)) - 1] + 0.5) / 128 for k in range(4)])
     low, middle, high = map(quartile, (0.25, 0.5, 0.75))
     wide = np.maximum(floors, (high - low) / 1.349)
-    fits = [(c, np.diag(s), math.inf) for c, s in ((middle, floors), (middle, wide), (low, wide), (high, wide))]
     scale = quality_rules._consistency(alpha)
 
-    def step(centre, factor):
+    def step(centre, factor, _=None):
         z = np.linalg.solve(factor, (x - centre).T)
         bins = np.floor(np.log1p((z**2).sum(0)) * 64)
         inside = x[bins <= sorted(bins)[math.ceil(alpha * len(x)) - 1]]
         factor = np.linalg.cholesky(scale * np.cov(inside.T, bias=True) + np.diag(floors**2))
         return inside.mean(0), factor, 2 * np.log(np.diag(factor)).sum()
 
-    for _ in range(20):
-        before, fits = fits, [step(c, f) for c, f, _ in fits]
-        if max(a[2] - b[2] for a, b in zip(before, fits, strict=True)) <= 1e-3:
-            break
-    return fits, int(np.argmin([round(f[2], 9) for f in fits]))
+    starts = [step(*step(c, np.diag(s))) for c, s in ((middle, floors), (middle, wide), (low, wide), (high, wide))]
+    ends = list(starts)
+    for _ in range(8):
+        ends = [step(*f) for f in ends]
+    return ends, int(np.argmin([f[2] for f in starts]))
 
 
 def test_least_determinant_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal([1.6, 0.1, 0.02, 0.01], [0.05, 0.2, 0.03, 0.02], (500, 4))
     x[:90] += [0.9, 3, 0.5, 0.5]
-    # Nearly half of the second group lies elsewhere, so the median is between two clusters.
+    # Most of the second group is a dense cluster off the medians of a wide one.
     y = rng.normal([1.6, 2.0, 0.3, 0.3], [0.3, 1.2, 0.2, 0.25], (700, 4))
-    y[:290] = rng.normal([3.2, 6.0, 1.5, 1.8], [0.02, 0.1, 0.02, 0.02], (290, 4))
-    y[290:440] = rng.normal([3.2, 6.0, 1.5, 1.8], [0.02, 0.1, 0.02, 0.02], (150, 4))
+    y[:440] = rng.normal([3.2, 6.0, 1.5, 1.8], [0.02, 0.1, 0.02, 0.02], (440, 4))
     rows = [(g, *map(float, r)) for g, own in (("g", x), ("h", y)) for r in own]
     frame = spark.createDataFrame(rows, "_group string, " + ", ".join(f"{k} double" for k in quality_rules.STATS)).repartition(3)
-    found = {r["_group"]: r for r in quality_rules.robust_fit(frame, Scratch(spark, "mcd-test")).collect()}
+    found = {r["_group"]: r for r in quality_rules.robust_fit(frame, Scratch(spark, "mcd-test"), least_fall=-math.inf).collect()}
     for group, own in (("g", x), ("h", y)):
         fits, best = brute_fit(own)
-        got = found[group]
-        spread = 2 * sum(math.log(got[f"l_{i}_{i}"]) for i in range(4))
+        centre, factor, spread = fits[best]
         assert spread <= min(f[2] for f in fits) + 1e-2
-        centre, factor, _ = fits[best]
-        assert [got[f"m_{i}"] for i in range(4)] == pytest.approx(centre.tolist(), rel=1e-3, abs=1e-3)
-        assert [got[f"l_{i}_{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([factor[i, j] for i in range(4) for j in range(i + 1)], rel=1e-2, abs=1e-3)
+        got = found[group]
+        assert [got[f"m_{i}"] for i in range(4)] == pytest.approx(centre.tolist(), rel=1e-4, abs=1e-4)
+        assert [got[f"l_{i}_{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([factor[i, j] for i in range(4) for j in range(i + 1)], rel=1e-3, abs=1e-4)
 
 
 def test_pipeline_stages(spark, tmp_path):
