@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed
 from .text import look_alike_skeleton, once, trimmed, words_array
@@ -101,45 +99,51 @@ def typosquat(host: Column) -> Column:
     return once(F.split(host, r"\.")[0], judge)
 
 
-@F.pandas_udf(T.StringType())
-def _v6_key(addresses: pd.Series) -> pd.Series:
-    def key(text: str | None) -> str | None:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return None
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return f"{int(ip) + (0xFFFF << 32 if ip.version == 4 else 0):032x}"
+def _v6_key(text: Column) -> Column:
+    """32 hex digits of a v6 address, whose groups may be left out once and may end in a dotted address; null for anything else."""
+    low = F.regexp_replace(F.lower(text), r"%[^%]+$", "")
+    none = F.array().cast("array<string>")
 
-    return addresses.map(key)
+    def undotted(low: Column) -> Column:
+        number = F.lpad(F.lower(F.hex(v4_number(F.regexp_extract(low, r"([0-9.]+)$", 1)))), 8, "0")
+        return F.when(~low.contains("."), low).otherwise(F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), once(number, lambda n: F.concat(F.substring(n, 1, 4), F.lit(":"), F.substring(n, 5, 4)))))
 
+    def groups(side: Column) -> Column:
+        return F.when(side == "", none).otherwise(F.split(side, ":", -1))
 
-def ip_key(text: Column) -> Column:
-    """32 hex digits of an address, v4 as mapped v6; null for anything else. Only addresses with a colon leave the JVM."""
-    four = F.lpad(F.lower(F.hex(v4_number(text))), 8, "0")
-    return F.when(four.isNotNull(), F.concat(F.lit("0" * 20 + "ffff"), four)).when(text.contains(":"), _v6_key(F.when(text.contains(":"), text)))
+    def padded(own: Column) -> Column:
+        n = F.size(own["left"]) + F.size(own["right"])
+        every = F.concat(own["left"], F.when(own["short"], F.array_repeat(F.lit("0"), 8 - n)).otherwise(none), own["right"])
+        good = F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(own["short"], n <= 7).otherwise(n == 8)
+        return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def key(sides: Column) -> Column:
+        own = F.struct(groups(sides[0]).alias("left"), F.when(F.size(sides) == 2, groups(F.get(sides, F.lit(1)))).otherwise(none).alias("right"), (F.size(sides) == 2).alias("short"))
+        return F.when(F.size(sides) <= 2, once(own, padded))
 
+    return once(F.split(once(low, undotted), "::", -1), key)
 
-def unsafe_networks(spark: SparkSession) -> DataFrame:
-    """Ranges of unsafe addresses as keys: a fixed table of a few dozen rows."""
-    rows = []
-    for name in fixed.UNSAFE_V4 + fixed.UNSAFE_V6:
-        net = ipaddress.ip_network(name)
-        shift = (0xFFFF << 32) if net.version == 4 else 0
-        rows.append((name, f"{int(net.network_address) + shift:032x}", f"{int(net.broadcast_address) + shift:032x}"))
-    return spark.createDataFrame(rows, "network string, low string, high string")
+
+def ip_key(text: Column) -> Column:
+    """32 hex digits of an address, v4 as mapped v6; null for anything else."""
+    four = F.lpad(F.lower(F.hex(v4_number(text))), 8, "0")
+    return F.when(text.contains(":"), _v6_key(text)).otherwise(F.concat(F.lit("0" * 20 + "ffff"), four))
 
 
 def is_safe_key(key: Column) -> Column:
     """Whether an address key lies outside all unsafe networks; null keys are unsafe."""
-    unsafe = F.lit(False)
-    for name in fixed.UNSAFE_V4 + fixed.UNSAFE_V6:
-        net = ipaddress.ip_network(name)
-        shift = (0xFFFF << 32) if net.version == 4 else 0
-        low, high = (f"{int(a) + shift:032x}" for a in (net.network_address, net.broadcast_address))
-        # Mapped v4 addresses lie inside ::/8, so v6 networks leave them out.
-        unsafe |= key.between(low, high) & (F.lit(True) if net.version == 4 else ~key.startswith("0" * 20 + "ffff"))
-    return key.isNotNull() & ~unsafe
+
+    def judge(key: Column) -> Column:
+        unsafe = F.lit(False)
+        for name in fixed.UNSAFE_V4 + fixed.UNSAFE_V6:
+            net = ipaddress.ip_network(name)
+            shift = (0xFFFF << 32) if net.version == 4 else 0
+            low, high = (f"{int(a) + shift:032x}" for a in (net.network_address, net.broadcast_address))
+            # Mapped v4 addresses lie inside ::/8, so v6 networks leave them out.
+            unsafe |= key.between(low, high) & (F.lit(True) if net.version == 4 else ~key.startswith("0" * 20 + "ffff"))
+        return key.isNotNull() & ~unsafe
+
+    return once(key, judge)
 
 
 def parse_url(url: Column) -> Column:
@@ -194,26 +198,10 @@ def intelligence_quality(whois: Column, tls: Column, valid: Column) -> Column:
     return F.when(~valid, "unavailable").when(age & cert, "high").when(age, "medium").when(cert, "partial").otherwise("unavailable")
 
 
-def lure_reputation(host: Column) -> Column:
-    """Vendor counts assumed for a host without a reputation row."""
-    lure = F.lit(False)
-    for word in fixed.HOST_LURES:
-        lure |= host.contains(word)
-    return F.struct(F.when(lure, 4).otherwise(0).alias("malicious"), F.when(lure, 1).otherwise(0).alias("suspicious"), F.lit(65).alias("harmless"))
-
-
 def reputation_verdict(malicious: Column, suspicious: Column) -> Column:
     return F.when(malicious >= 2, "malicious").when((malicious == 1) | (suspicious >= 2), "suspicious").otherwise("clean")
 
 
-def lure_page_signals(url: Column) -> Column:
-    """Page evidence assumed for a URL without a page row."""
-    lure = F.lit(False)
-    for word in fixed.PAGE_LURES:
-        lure |= url.contains(word)
-    return F.struct(lure.alias("has_auth_inputs"), lure.alias("has_payment_forms"), F.when(lure, 3).otherwise(0).alias("input_tags_count"), F.when(lure, 1).otherwise(0).alias("iframe_count"))
-
-
 def html_page_signals(html: Column) -> Column:
     """Form evidence of stored HTML."""
     count = lambda tag: F.regexp_count(html, F.lit(rf"(?i)<{tag}\b"))

@@ -2,72 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .text import any_of, count_of, once
 
 
-def social_scores(text: Column) -> Column:
-    """Probability of each social-engineering facet by the words found."""
-    low = F.lower(text)
-    score = lambda n: F.when(n > 0, F.least(F.lit(0.95), n * F.lit(0.45))).otherwise(F.lit(0.05))
-    return F.struct(*(score(count_of(low, words)).alias(facet) for facet, words in fixed.SOCIAL_WORDS.items()))
-
-
 def first_maximum(values: Column) -> Column:
     """Position, from 1, of the first largest value."""
     return F.array_position(values, F.array_max(values)).cast("int")
 
 
-def intent_scores(text: Column) -> Column:
-    """Struct of detected_intent, confidence, is_scam and the map of probabilities; the first of equals wins."""
-    names = list(fixed.INTENT_WORDS)
-    labels = F.array(*map(F.lit, names))
-
-    def judge(counts: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0), lambda a, b: a + b) + 1
-        found = F.array_max(counts) > 0
-        share = F.transform(counts, lambda n: F.when(found, F.bround(n / total, 3)).otherwise(F.lit(0.02)))
-        rest = F.when(found, F.bround(1 / total, 3)).otherwise(F.lit(0.90))
-        best = first_maximum(counts)
-        return F.struct(
-            F.when(found, F.element_at(labels, best)).otherwise(F.lit(fixed.BENIGN)).alias("detected_intent"),
-            F.when(found, F.element_at(share, best)).otherwise(rest).alias("confidence"),
-            found.alias("is_scam"),
-            F.map_concat(F.map_from_arrays(labels, share), F.create_map(F.lit(fixed.BENIGN), rest)).alias("probabilities"),
-            rest.alias("benign"),
-        )
+def dual_keys(scores: dict[str, Column], prefix: str = "social_") -> Column:
+    """The map of scores under prefixed and bare names."""
+    return F.create_map(*(x for before in (prefix, "") for k, v in scores.items() for x in (F.lit(before + k), v)))
 
-    low = F.lower(text)
-    return once(F.array(*(count_of(low, words) for words in fixed.INTENT_WORDS.values())), judge)
 
+def _social(counts: dict[str, Column]) -> dict[str, Column]:
+    """Probability of each social-engineering facet by the number of its words found."""
+    return {k: F.when(n > 0, F.least(F.lit(0.95), n * F.lit(0.45))).otherwise(F.lit(0.05)) for k, n in counts.items()}
 
-def dual_keys(scores: Column, prefix: str = "social_") -> Column:
-    """The map of scores under bare and prefixed names."""
-    return F.map_concat(F.transform_keys(scores, lambda k, v: F.concat(F.lit(prefix), k)), scores)
 
+def _intent(counts: dict[str, Column], most: Column, total: Column) -> Column:
+    """Struct of detected_intent, confidence, is_scam and the map of probabilities; the first of equals wins."""
+    found = most > 0
+    share = lambda n: F.bround(n / total, 3)
+    rest = F.when(found, share(F.lit(1))).otherwise(F.lit(0.90))
+    name = F.when(~found, fixed.BENIGN)
+    for k, n in counts.items():
+        name = name.when(n == most, k)
+    probabilities = [x for k, n in counts.items() for x in (F.lit(k), F.when(found, share(n)).otherwise(F.lit(0.02)))]
+    return F.struct(
+        name.alias("detected_intent"),
+        F.when(found, share(most)).otherwise(rest).alias("confidence"),
+        found.alias("is_scam"),
+        F.create_map(*probabilities, F.lit(fixed.BENIGN), rest).alias("probabilities"),
+        rest.alias("benign"),
+    )
+
+
+def _text_track(social: dict[str, Column], intent: Column) -> Column:
+    triggers = F.array_compact(F.array(*(F.when(p >= 0.5, f) for f, p in social.items())))
+    risk = (F.greatest(*social.values(), F.lit(1.0) - intent["benign"]) * 100).cast("int")
+    return F.struct(
+        risk.alias("risk_score"),
+        intent["is_scam"].alias("is_scam"),
+        dual_keys(social).alias("social_engineering"),
+        triggers.alias("triggers"),
+        intent["detected_intent"].alias("detected_intent"),
+        F.bround(intent["confidence"], 3).alias("confidence"),
+        intent["probabilities"].alias("probabilities"),
+    )
+
+
+def _totals(counts: dict[str, Column]) -> tuple[Column, Column]:
+    return F.greatest(*counts.values()), sum(counts.values(), F.lit(1))
 
-def text_result(text: Column) -> Column:
-    """The text track: risk, is_scam, facets, triggers and intent, from the lexicons alone."""
 
-    def judge(x: Column) -> Column:
-        facets = [x["social"][f] for f in fixed.SOCIAL_WORDS]
-        triggers = F.array_compact(F.array(*(F.when(x["social"][f] >= 0.5, f) for f in fixed.SOCIAL_WORDS)))
-        scores = F.create_map(*(y for f in fixed.SOCIAL_WORDS for y in (F.lit(f), x["social"][f])))
-        risk = (F.greatest(*facets, F.lit(1.0) - x["intent"]["benign"]) * 100).cast("int")
-        return F.struct(
-            risk.alias("risk_score"),
-            x["intent"]["is_scam"].alias("is_scam"),
-            dual_keys(scores).alias("social_engineering"),
-            triggers.alias("triggers"),
-            x["intent"]["detected_intent"].alias("detected_intent"),
-            F.bround(x["intent"]["confidence"], 3).alias("confidence"),
-            x["intent"]["probabilities"].alias("probabilities"),
-        )
+def intent_scores(text: Column) -> Column:
+    counts = {k: count_of(F.lower(text), words) for k, words in fixed.INTENT_WORDS.items()}
+    return _intent(counts, *_totals(counts))
 
-    return once(F.struct(social_scores(text).alias("social"), intent_scores(text).alias("intent")), judge)
+
+def text_result(text: Column) -> Column:
+    """The text track: risk, is_scam, facets, triggers and intent, from the lexicons alone, as one column."""
+    social = _social({k: count_of(F.lower(text), words) for k, words in fixed.SOCIAL_WORDS.items()})
+    return _text_track(social, intent_scores(text))
+
+
+def with_text_result(df: DataFrame, source: Column, name: str = "text_track") -> DataFrame:
+    """Adds the text track under a name.
+
+    Each step is a projection of its own that later ones read several times, so
+    the text is lowered once and each list counted once, in compiled code.
+    """
+    groups = {"social": fixed.SOCIAL_WORDS, "intent": fixed.INTENT_WORDS}
+    column = {(g, k): f"__{name}_{g}_{k}" for g, lists in groups.items() for k in lists}
+    low, most, total, intent = (f"__{name}_{x}" for x in ("low", "most", "total", "scores"))
+    out = df.withColumn(low, F.lower(source))
+    out = out.withColumns({column[g, k]: count_of(F.col(low), words) for g, lists in groups.items() for k, words in lists.items()})
+    counts = {g: {k: F.col(column[g, k]) for k in lists} for g, lists in groups.items()}
+    out = out.withColumns(dict(zip((most, total), _totals(counts["intent"]), strict=True)))
+    out = out.withColumn(intent, _intent(counts["intent"], F.col(most), F.col(total)))
+    out = out.withColumns({column["social", k]: v for k, v in _social(counts["social"]).items()})
+    out = out.withColumn(name, _text_track(counts["social"], F.col(intent)))
+    return out.drop(low, most, total, intent, *column.values())
 
 
 def sigmoid(x: Column) -> Column:
@@ -98,23 +118,23 @@ def two_heads(social_logits: Column, intent_logits: Column, facets: list[str], i
     return once(F.struct(F.transform(social_logits, sigmoid).alias("s"), softmax(intent_logits).alias("p")), judge)
 
 
-def weak_social(text: Column, is_scam: Column) -> Column:
-    """Binary facets of a training record; all 0 unless it is a scam."""
-    low = F.lower(text)
+def weak_social(text: Column, is_scam: Column, low: Column | None = None) -> Column:
+    """Binary facets of a training record; all 0 unless it is a scam; ``low`` is the text in lower case, if it is there already."""
+    low = F.lower(text) if low is None else low
     return F.struct(*(F.when(is_scam == 1, any_of(low, w).cast("int")).otherwise(0).alias(f) for f, w in fixed.WEAK_SOCIAL_WORDS.items()))
 
 
-def weak_intent(text: Column, is_scam: Column) -> Column:
+def weak_intent(text: Column, is_scam: Column, low: Column | None = None) -> Column:
     """The first group of words that occurs names the intent."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     out = F.when(is_scam != 1, fixed.BENIGN)
     for intent, words in fixed.WEAK_INTENT_WORDS.items():
         out = out.when(any_of(low, words), intent)
     return out.otherwise(fixed.OTHER_INTENT)
 
 
-def truth_label(text: Column) -> Column:
-    return any_of(F.lower(text), fixed.TRUTH_WORDS).cast("int")
+def truth_label(text: Column, low: Column | None = None) -> Column:
+    return any_of(F.lower(text) if low is None else low, fixed.TRUTH_WORDS).cast("int")
 
 
 def is_threat(text: Column) -> Column:

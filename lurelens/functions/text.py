@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -111,14 +111,11 @@ def amounts(text: Column) -> Column:
     return _distinct(text, r"\p{Nd}", fixed.AMOUNT, 1)
 
 
-def bank_names(text: Column) -> Column:
-    """Institutions named as whole words, in the order of the list."""
-
-    def named(upper: Column) -> Column:
-        found = F.array_compact(F.array(*(F.when(upper.contains(b) & upper.rlike(fixed.EDGE + b + fixed.EDGE), b) for b in fixed.BANK_NAMES)))
-        return F.when(any_of(upper, fixed.BANK_NAMES), found).otherwise(F.array().cast("array<string>"))
-
-    return once(F.upper(text), named)
+def bank_names(text: Column, upper: Column | None = None) -> Column:
+    """Institutions named as whole words, in the order of the list; ``upper`` is the text in upper case, if it is there already."""
+    upper = F.upper(text) if upper is None else upper
+    found = F.array_compact(F.array(*(F.when(upper.contains(b) & upper.rlike(fixed.EDGE + b + fixed.EDGE), b) for b in fixed.BANK_NAMES)))
+    return F.when(any_of(upper, fixed.BANK_NAMES), found).otherwise(F.array().cast("array<string>"))
 
 
 def redacted(text: Column) -> Column:
@@ -131,40 +128,38 @@ def has_devanagari(text: Column) -> Column:
 
 
 def marathi(text: Column) -> Column:
-    """Whether the text has the letter that Hindi lacks, or a Marathi-only word."""
+    """Whether the text has the letter that Hindi lacks, or a Marathi-only word, all of which are Devanagari."""
     words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\sऀ-ॿ]", " "), rf"{fixed.SPACE}+")
-    return text.contains("ळ") | F.arrays_overlap(words, words_array(fixed.MARATHI_WORDS))
+    return text.contains("ळ") | (has_devanagari(text) & F.arrays_overlap(words, words_array(fixed.MARATHI_WORDS)))
 
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation at their ends."""
-    edge = "".join("\\" + c for c in fixed.TOKEN_EDGE)
-    split = F.filter(F.split(text, rf"{fixed.SPACE}+"), lambda w: w != "")
-    return F.transform(split, lambda w: F.regexp_replace(F.lower(w), rf"^[{edge}]+|[{edge}]+$", ""))
+    split = F.filter(F.split(F.lower(text), rf"{fixed.SPACE}+"), lambda w: w != "")
+    return F.transform(split, lambda w: F.btrim(w, F.lit(fixed.TOKEN_EDGE)))
 
 
-def detect_language(text: Column) -> Column:
-    """Hindi by script, Hinglish by one strong word or two distinct particles, else English."""
-    own = tokens(text)
+def detect_language(text: Column, own: Column | None = None) -> Column:
+    """Hindi by script, Hinglish by one strong word or two distinct particles, else English; ``own`` are the text's tokens, if they are there already."""
+    own = tokens(text) if own is None else own
     strong = F.arrays_overlap(own, words_array(fixed.STRONG_INDIC_WORDS))
     particles = F.size(F.array_intersect(own, words_array(fixed.INDIC_PARTICLES))) >= 2
     return F.when(has_devanagari(text), "Hindi").when(strong | particles, "Hinglish").otherwise("English")
 
 
-def indic_kind(text: Column) -> Column:
+def indic_kind(text: Column, own: Column | None = None) -> Column:
     """Hindi, Hinglish or English by the inclusion rule that counts tokens."""
-
-    def latin(own: Column) -> Column:
-        hits = F.size(F.filter(own, lambda t: t.isin(fixed.HINGLISH_MARKERS)))
-        strong = F.arrays_overlap(own, words_array(fixed.HINGLISH_STRONG))
-        return F.when((hits >= 1) & ((hits >= 2) | (hits / F.greatest(F.size(own), F.lit(1)) >= 0.05) | strong), "Hinglish").otherwise("English")
-
-    return F.when(has_devanagari(text), "Hindi").otherwise(once(tokens(text), latin))
+    own = tokens(text) if own is None else own
+    some = F.arrays_overlap(own, words_array(fixed.HINGLISH_MARKERS))
+    strong = F.arrays_overlap(own, words_array(fixed.HINGLISH_STRONG))
+    hits = F.size(F.filter(own, lambda t: t.isin(fixed.HINGLISH_MARKERS)))
+    many = (hits >= 2) | (hits / F.greatest(F.size(own), F.lit(1)) >= 0.05)
+    return F.when(has_devanagari(text), "Hindi").when(some & (strong | many), "Hinglish").otherwise("English")
 
 
-def purity(text: Column) -> Column:
+def purity(text: Column, own: Column | None = None) -> Column:
     """true_indic, ambiguous or none, by the core and the ambiguous words."""
-    own = tokens(text)
+    own = tokens(text) if own is None else own
     return F.when(F.arrays_overlap(own, words_array(fixed.INDIC_CORE_WORDS)), "true_indic").when(F.arrays_overlap(own, words_array(fixed.AMBIGUOUS_WORDS)), "ambiguous").otherwise("none")
 
 
@@ -211,13 +206,22 @@ def character_distance(a: Column, b: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance between the word lists, by writing each distinct word as one character."""
+    """Edit distance between the word lists, by writing each distinct word as one character.
+
+    There are characters for a million distinct words of a pair.
+    """
     split = lambda x: F.filter(F.split(x, rf"{fixed.SPACE}+"), lambda w: w != "")
-    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex((F.lit(19968) + F.array_position(known, w)).cast("int")), 4, "0")), "UTF-16BE")
-    spell = lambda known, own: F.array_join(F.transform(own, lambda w: letter(known, w)), "")
+
+    spell = lambda known, own: F.array_join(F.transform(own, lambda w: character(F.array_position(known, w))), "")
     return once(F.array_distinct(F.concat(split(a), split(b))), lambda known: F.levenshtein(spell(known, split(a)), spell(known, split(b))))
 
 
+def character(number: Column) -> Column:
+    """One character for each number from 1 to a million, beginning after U+4E00, without surrogates."""
+    code = number + 0x4E00
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(code < 0xD800, code).otherwise(code + 0x800)), 8, "0")), "UTF-32")
+
+
 def character_error_rate(truth: Column, seen: Column) -> Column:
     return F.when(F.length(truth) == 0, F.when(F.length(seen) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(truth, seen) / F.length(truth))
 
@@ -227,25 +231,51 @@ def word_error_rate(truth: Column, seen: Column) -> Column:
     return F.when(count(truth) == 0, F.when(count(seen) == 0, 0.0).otherwise(1.0)).otherwise(word_distance(truth, seen) / count(truth))
 
 
+def _packet(masked: Column, urls: Column, phones: Column, upper: Column | None = None) -> Column:
+    return F.struct(
+        urls.alias("urls"),
+        url_netlocs(urls).alias("domains"),
+        upi_ids(masked).alias("upi_ids"),
+        phones.alias("phone_numbers"),
+        otp_candidates(masked, phones).alias("otp_candidates"),
+        amounts(masked).alias("amounts"),
+        bank_names(masked, upper).alias("bank_names"),
+        masked.alias("redacted_text"),
+    )
+
+
+def with_entities(df: DataFrame, source: Column, name: str = "entities", normalized: str | None = None) -> DataFrame:
+    """Adds all entities of a text: it is healed, ids are masked, and the rest is found in what that leaves.
+
+    With ``normalized`` the text is healed first, and that column gets it with
+    white space collapsed.  Each step is a column of its own, so it is computed
+    once.  A text that healing leaves as it is is not healed again.
+    """
+    parts = ("t", "first", "healed", "masked", "whole", "urls", "phones", "upper")
+    names = {x: f"__{name}_{x}" for x in parts}
+    t, first, healed, masked, whole, urls, phones, upper = (F.col(names[x]) for x in parts)
+    steps = {
+        "t": source,
+        "first": heal_urls(t) if normalized else t,
+        "healed": F.when(first == t, first).otherwise(heal_urls(first)) if normalized else heal_urls(first),
+        "masked": redacted(healed),
+        "whole": F.when((healed == t) & (masked == t), masked).otherwise(heal_urls(masked)),
+        "urls": urls_in(whole),
+        "phones": phone_numbers(masked),
+        "upper": F.upper(masked),
+    }
+    out = df
+    for x, value in steps.items():
+        out = out.withColumn(names[x], value)
+    out = out.withColumn(name, F.when(t.isNotNull(), _packet(masked, urls, phones, upper)))
+    if normalized:
+        out = out.withColumn(normalized, collapsed(first))
+    return out.drop(*names.values())
+
+
 def entities(text: Column) -> Column:
-    """All entities of a text: it is healed, ids are masked, and the rest is found in what that leaves."""
-
-    def packet(masked: Column) -> Column:
-        return once(
-            F.struct(extract_urls(masked).alias("urls"), phone_numbers(masked).alias("phones")),
-            lambda e: F.struct(
-                e["urls"].alias("urls"),
-                url_netlocs(e["urls"]).alias("domains"),
-                upi_ids(masked).alias("upi_ids"),
-                e["phones"].alias("phone_numbers"),
-                otp_candidates(masked, e["phones"]).alias("otp_candidates"),
-                amounts(masked).alias("amounts"),
-                bank_names(masked).alias("bank_names"),
-                masked.alias("redacted_text"),
-            ),
-        )
-
-    return once(redacted(heal_urls(text)), packet)
+    """The same as one column, for short expressions."""
+    return once(redacted(heal_urls(text)), lambda masked: once(F.struct(extract_urls(masked).alias("urls"), phone_numbers(masked).alias("phones")), lambda e: _packet(masked, e["urls"], e["phones"])))
 
 
 def detection(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +112,20 @@ def report(splits: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def integrity(splits: DataFrame, most_template_percent: float = 100.0) -> DataFrame:
+    """One table of the checks that decide whether a corpus may be used: check, value, limit and passed.
+
+    Synthetic rows outside the training split, unmasked ids, and texts that two
+    splits share must be none; templates of Indic test rows in train may have a share.
+    """
+    leaks = synthetic_leaks(splits).agg(F.coalesce(F.sum("synthetic"), F.lit(0)).alias("value")).select(F.lit("synthetic_outside_train").alias("check"), "value", F.lit(0.0).alias("limit"))
+    ids = privacy(splits).filter("split = 'all'").select(F.lit("unmasked_ids").alias("check"), F.coalesce("unmasked", F.lit(0)).alias("value"), F.lit(0.0).alias("limit"))
+    shared = exact_overlaps(splits).select(F.concat(F.lit("shared_texts_"), "pair").alias("check"), F.col("shared").alias("value"), F.lit(0.0).alias("limit"))
+    templates = template_overlap(splits).select(F.lit("template_percent").alias("check"), F.col("percent").alias("value"), F.lit(most_template_percent).alias("limit"))
+    rows = reduce(DataFrame.unionByName, (x.withColumn("value", F.col("value").cast("double")) for x in (leaks, ids, shared, templates)))
+    return rows.withColumn("passed", F.col("value") <= F.col("limit"))
+
+
 def gate(splits: DataFrame) -> None:
     """Raises if synthetic rows left the training split or an id is unmasked."""
     if not synthetic_leaks(splits).filter("synthetic > 0").isEmpty():

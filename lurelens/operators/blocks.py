@@ -15,7 +15,6 @@ from .. import fixed
 from ..functions import labels, text
 
 
-
 def _left() -> Column:
     return F.col("bbox")[0][0]
 
@@ -110,7 +109,7 @@ def read_images(hindi: DataFrame, english: DataFrame, images: DataFrame) -> Data
     """From both recognisers' blocks to one row per image: clean text, entities, quality and threat density."""
     kept = min_confidence(merge_scripts(hindi, english))
     cleaned = with_shorthand(drop_artifacts(kept, images))
-    lines = reading_order(cleaned).withColumn("entities", text.entities(F.col("clean_text")))
+    lines = text.with_entities(reading_order(cleaned), F.col("clean_text"))
     out = lines.join(statistics(cleaned), "image_id")
     some = F.size("entities.urls") + F.size("entities.upi_ids") + F.size("entities.phone_numbers") > 0
     return out.withColumns({

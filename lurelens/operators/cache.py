@@ -19,26 +19,49 @@ def within_ttl(created: Column, now: Column, hours: int = 24) -> Column:
 
 
 def lookup(messages: DataFrame, records: DataFrame, hours: int = 24) -> DataFrame:
-    """Messages (msg_id, hash, ts) with the latest record of the same hash from the ``hours`` before them, as hit_id; null without one."""
-    rows = records.select(F.col("hash").alias("_hash"), F.col("scan_id").alias("_id"), F.col("created_at").alias("_at"))
-    near = (F.col("hash") == F.col("_hash")) & (F.col("_at") <= F.col("ts")) & within_ttl(F.col("_at"), F.col("ts"), hours)
-    found = messages.select("msg_id", "hash", "ts").join(rows, near).groupBy("msg_id").agg(F.max_by("_id", F.struct("_at", "_id")).alias("hit_id"))
-    return messages.join(found, "msg_id", "left")
+    """Messages (msg_id, hash, ts) with the latest record of the same hash from the ``hours`` before them, as hit_id; null without one.
+
+    Messages and records of a hash are put in order of time, and each message
+    takes the last record before it; no message meets all records.  A hash is cut
+    into parts of a 24th of that time; what the last part with a record leaves is
+    carried to those after it, so a hash with very many rows is in no task whole.
+    """
+    step = hours * 150
+    part = F.floor(F.unix_timestamp("_at") / step)
+    asked = messages.select("hash", F.col("ts").alias("_at"), F.lit(1).alias("_turn"), F.struct(*messages.columns).alias("_m"))
+    known = records.filter("hash IS NOT NULL AND created_at IS NOT NULL").select("hash", F.col("created_at").alias("_at"), F.lit(0).alias("_turn"), F.col("scan_id").alias("_id"))
+    rows = asked.unionByName(known, allowMissingColumns=True).withColumn("_part", part)
+    record = F.when(F.col("_turn") == 0, F.struct("_at", "_id"))
+    ends = rows.groupBy("hash", "_part").agg(F.max(record).alias("_end"))
+    earlier = Window.partitionBy("hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("hash", "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried IS NOT NULL")
+    own = Window.partitionBy("hash", "_part").orderBy("_at", "_turn", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_own", F.last(record, ignorenulls=True).over(own)).filter("_turn = 1")
+    last = F.coalesce("_own", "_carried")
+    found = seen.join(ends, ["hash", "_part"], "left").withColumn("_last", last)
+    hit = F.when(within_ttl(F.col("_last._at"), F.col("_at"), hours), F.col("_last._id"))
+    return found.select("_m.*", hit.alias("hit_id"))
 
 
 def misses(requests: DataFrame, hours: int = 24) -> DataFrame:
     """Adds hit to requests (hash, ts): a hit reuses the last miss of its hash and does not lengthen its life.
 
-    Which requests miss depends on the miss before, so each hash is folded in
-    order. A hash's requests are first thinned to one a second, as later ones
-    of the same second always share its fate.
+    Which requests miss depends on the miss before, so the requests of a hash are
+    folded in order; but one that comes later than the life after the request
+    before it misses in any case, so there a fold of its own begins.  Requests
+    are first thinned to one a second, as later ones of the same second share
+    its fate, so what a fold holds is bounded by the seconds without such a pause.
     """
     life = hours * 3600
-    second = F.unix_timestamp("ts")
-    times = requests.groupBy("hash").agg(F.sort_array(F.collect_set(second)).alias("_times"))
-    start = F.array().cast("array<bigint>")
-    folded = F.aggregate("_times", start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > life), F.concat(kept, F.array(t))).otherwise(kept))
-    starts = times.select("hash", F.explode(folded).alias("_second")).withColumn("_miss", F.lit(True))
+    times = requests.select("hash", F.unix_timestamp("ts").alias("_second")).distinct()
+    order = Window.partitionBy("hash").orderBy("_second")
+    pause = F.coalesce((F.col("_second") - F.lag("_second").over(order) > life).cast("int"), F.lit(1))
+    folds = times.withColumn("_new", pause).withColumn("_fold", F.sum("_new").over(order))
+    folds = folds.groupBy("hash", "_fold").agg(F.sort_array(F.collect_list("_second")).alias("_times"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    miss = lambda s, t: s["last"].isNull() | (t - s["last"] > life)
+    folded = F.aggregate("_times", start, lambda s, t: F.when(miss(s, t), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s))["kept"]
+    starts = folds.select("hash", F.explode(folded).alias("_second")).withColumn("_miss", F.lit(True))
     first = F.row_number().over(Window.partitionBy("hash", "_second").orderBy("ts", "request_id"))
-    joined = requests.withColumn("_second", second).join(starts, ["hash", "_second"], "left")
+    joined = requests.withColumn("_second", F.unix_timestamp("ts")).join(starts, ["hash", "_second"], "left")
     return joined.withColumn("hit", ~(F.coalesce("_miss", F.lit(False)) & (first == 1))).drop("_second", "_miss")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions import labels, text
+from ..scratch import Scratch
 
 SYNTHETIC = "Synthetic_Tier_C"
 
@@ -49,19 +50,30 @@ def first_by_hash(df: DataFrame, order: list[str]) -> DataFrame:
     return first.select("_row.*").select(*df.columns)
 
 
-def sequential_ids(df: DataFrame, order: list[str], prefix: str, width: int = 6) -> DataFrame:
-    """``prefix`` and a running number in the given order, without gathering all rows in one task.
+def numbered(df: DataFrame, order: list[str], by: list[str] = (), name: str = "number") -> DataFrame:
+    """Adds a running number from 0 in the given order within each class of ``by``, without gathering a class in one task.
 
-    Rows are range-partitioned; each partition is numbered by itself and shifted by the sizes of those before it, a row each.
+    Rows are range-partitioned by class and order and written with the number of
+    their partition, so that every later step sees the same ranges.  Each range is numbered by
+    itself and shifted by the sizes of those before it, a row for each class and range.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = ranged.withColumn("_own", own)
-    sizes = numbered.groupBy("_part").agg(F.max("_own").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    number = (F.col("_own") + F.col("_start")).cast("string")
-    return numbered.join(starts, "_part").withColumn("id", F.concat(F.lit(prefix), F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number))).drop("_part", "_own", "_start")
+    keys = [*by, "__range"]
+    ranged = df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "numbered").save(ranged, "ranged")
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("__start"))
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys))
+    joined = ranged.withColumn("__own", own).alias("a").join(starts.alias("b"), same)
+    return joined.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("__own") + F.col("__start")).alias(name))
+
+
+def sequential_ids(df: DataFrame, order: list[str], prefix: str, width: int = 6) -> DataFrame:
+    """``prefix`` and a running number from 1 in the given order, as ``id``."""
+    number = (F.col("__number") + 1).cast("string")
+    shown = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+    return numbered(df, order, name="__number").withColumn("id", F.concat(F.lit(prefix), shown)).drop("__number")
 
 
 def build_records(df: DataFrame, flags: dict[str, str] | None = None) -> DataFrame:
@@ -69,14 +81,16 @@ def build_records(df: DataFrame, flags: dict[str, str] | None = None) -> DataFra
     masked = df.withColumn("text", text.redacted(text.trimmed(F.col("text"))))
     group = F.concat(F.lit("real_"), F.replace(F.lower("source_dataset"), F.lit("/"), F.lit("_")))
     group = F.coalesce(F.col("split_group"), group) if "split_group" in df.columns else group
+    # Lowered and cut into words once; all labels read these columns.
+    masked = masked.withColumns({"__low": F.lower("text"), "__words": text.tokens(F.col("text"))})
     return masked.select(
         "id",
         "text",
-        text.detect_language(F.col("text")).alias("language"),
+        text.detect_language(F.col("text"), F.col("__words")).alias("language"),
         "source_dataset",
         F.col("is_scam").cast("int").alias("is_scam"),
-        labels.weak_social(F.col("text"), F.col("is_scam")).alias("head1_social_engineering"),
-        labels.weak_intent(F.col("text"), F.col("is_scam")).alias("head2_scam_intent"),
+        labels.weak_social(F.col("text"), F.col("is_scam"), F.col("__low")).alias("head1_social_engineering"),
+        labels.weak_intent(F.col("text"), F.col("is_scam"), F.col("__low")).alias("head2_scam_intent"),
         group.alias("split_group"),
         text.content_flags(F.col("text"), flags).alias("metadata"),
     )
@@ -84,8 +98,8 @@ def build_records(df: DataFrame, flags: dict[str, str] | None = None) -> DataFra
 
 def group_label(df: DataFrame, by: str, order: list[str], prefix: str, size: int = 50) -> DataFrame:
     """``split_group`` for every ``size`` rows of a class in the given order."""
-    number = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return df.withColumn("split_group", F.concat(F.lit(prefix), F.col(by).cast("string"), F.lit("_"), F.floor(number / size).cast("string")))
+    group = F.concat(F.lit(prefix), F.coalesce(F.col(by).cast("string"), F.lit("null")), F.lit("_"), F.floor(F.col("__number") / size).cast("string"))
+    return numbered(df, order, [by], "__number").withColumn("split_group", group).drop("__number")
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -164,6 +178,6 @@ def is_marathi_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~flag), df.filter(flag).withColumn("reason", F.lit("excluded_language"))
 
 
-def url_rules() -> dict[str, str]:
-    """Content flags of generated records."""
-    return fixed.SYNTHETIC_FLAGS
+def preview(df: DataFrame, n: int = 10, order: list[str] = ()) -> DataFrame:
+    """The first n rows, in the given order if there is one."""
+    return (df.orderBy(*order) if order else df).limit(n)

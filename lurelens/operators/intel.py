@@ -22,16 +22,15 @@ def url_evidence(urls: DataFrame, reputation: DataFrame) -> DataFrame:
     """Adds typosquatting, vendor counts, risk_score and verdict to rows with url and domain.
 
     ``reputation`` has url_key, malicious, suspicious, harmless and outcome
-    (``ok`` or an error); URLs without a row get counts by lure words.
+    (``ok`` or an error); for URLs without a row nothing is known: counts are null.
     """
     known = reputation.select(F.col("url_key").alias("_key"), F.struct("malicious", "suspicious", "harmless", "outcome").alias("_rep"))
     joined = urls.withColumn("_key", text.url_key(F.col("url"))).join(known, "_key", "left")
     failed = F.col("_rep").isNotNull() & (F.coalesce(F.col("_rep.outcome"), F.lit("ok")) != "ok")
-    assumed = hosts.lure_reputation(F.col("domain"))
-    pick = lambda k: F.when(failed, None).when(F.col("_rep").isNotNull(), F.coalesce(F.col(f"_rep.{k}").cast("int"), F.lit(0))).otherwise(assumed[k])
+    pick = lambda k: F.when(~failed & F.col("_rep").isNotNull(), F.coalesce(F.col(f"_rep.{k}").cast("int"), F.lit(0)))
     out = joined.withColumns({"typosquatting": hosts.typosquat(F.col("domain")), **{k: pick(k) for k in ("malicious", "suspicious", "harmless")}})
     measured = hosts.reputation_verdict(F.col("malicious"), F.col("suspicious"))
-    out = out.withColumn("reputation", F.when(failed, "unknown").when(F.col("_rep").isNull(), F.when(F.col("malicious") > 0, "malicious").otherwise("clean")).otherwise(measured))
+    out = out.withColumn("reputation", F.when(failed | F.col("_rep").isNull(), "unknown").otherwise(measured))
     squat = F.col("typosquatting.is_typosquatted")
     points = F.when(squat, 60).otherwise(0) + F.least(F.lit(40), F.coalesce(F.col("malicious"), F.lit(0)) * 15)
     out = out.withColumn("risk_score", F.least(F.lit(100), points))
@@ -113,18 +112,13 @@ def domain_evidence(urls: DataFrame, whois: DataFrame, certs: DataFrame, as_of:
 
 
 def sandbox_evidence(messages: DataFrame, results: DataFrame) -> DataFrame:
-    """Page evidence of each message's first URL: a result, a time-out of weight 40, or skipped without a URL.
-
-    A result of which nothing is known but the URL falls back to lure words only
-    where ``results`` says so with status ``simulated``.
-    """
+    """Page evidence of each message's first URL: a result, a time-out of weight 40, or skipped without a URL."""
     first = messages.withColumn("_url", F.get("urls", F.lit(0)))
     rows = results.select(F.col("url").alias("_url"), "sandbox_status", "risk_weight", "dom_signals", "final_redirect_url")
     joined = first.join(rows, "_url", "left")
-    status = F.when(F.col("_url").isNull(), "skipped").when(F.col("sandbox_status").isNull() | (F.col("sandbox_status") == "failed"), "hostile_timeout").when(F.col("sandbox_status") == "simulated", "completed").otherwise(F.col("sandbox_status"))
-    signals = F.when(F.col("sandbox_status") == "simulated", hosts.lure_page_signals(F.col("_url"))).otherwise(F.col("dom_signals"))
+    status = F.when(F.col("_url").isNull(), "skipped").when(F.col("sandbox_status").isNull() | (F.col("sandbox_status") == "failed"), "hostile_timeout").otherwise(F.col("sandbox_status"))
     weight = F.when(status == "hostile_timeout", F.coalesce(F.when(F.col("sandbox_status") == "hostile_timeout", F.col("risk_weight")), F.lit(40))).otherwise(F.lit(0))
-    out = joined.select("msg_id", status.alias("sandbox_status"), weight.cast("int").alias("risk_weight"), signals.alias("dom_signals"))
+    out = joined.select("msg_id", status.alias("sandbox_status"), weight.cast("int").alias("risk_weight"), "dom_signals")
     auth = F.coalesce(F.col("dom_signals.has_auth_inputs") | F.col("dom_signals.has_payment_forms"), F.lit(False))
     return out.withColumn("page_asks", auth)
 
@@ -156,8 +150,9 @@ def preflight(urls: DataFrame, answers: DataFrame) -> DataFrame:
 
 def egress_audit(connections: DataFrame, pins: DataFrame) -> DataFrame:
     """Adds an error code (null: allowed) to connections (host, peer_ip), held against the approved address of each host (host, pinned_ip)."""
-    joined = connections.drop("pinned_ip").join(pins.select("host", "pinned_ip"), "host", "left")
-    peer, pin = hosts.ip_key(F.col("peer_ip")), hosts.ip_key(F.col("pinned_ip"))
+    pinned = pins.select("host", "pinned_ip", hosts.ip_key(F.col("pinned_ip")).alias("_pin"))
+    joined = connections.drop("pinned_ip").join(pinned, "host", "left").withColumn("_peer", hosts.ip_key(F.col("peer_ip")))
+    peer, pin = F.col("_peer"), F.col("_pin")
     error = (
         F.when(F.col("pinned_ip").isNull(), "not_pinned")
         .when(F.coalesce(F.col("peer_ip"), F.lit("")) == "", "missing_peer")
@@ -165,4 +160,4 @@ def egress_audit(connections: DataFrame, pins: DataFrame) -> DataFrame:
         .when(~hosts.is_safe_key(peer), "unsafe_peer")
         .when(~peer.eqNullSafe(pin), "peer_mismatch")
     )
-    return joined.withColumn("error", error)
+    return joined.withColumn("error", error).drop("_peer", "_pin")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,8 @@ def evaluate(results: DataFrame, truth: DataFrame) -> DataFrame:
     """
     joined = results.join(truth.select("filename", F.col("text").alias("truth")), "filename", "left")
     usable = F.col("error").isNull() & F.col("truth").isNotNull()
-    joined = joined.withColumns({"_want": F.when(usable, text.entities(F.col("truth"))), "_got": F.when(usable, text.entities(F.col("clean_text")))})
+    for name, column in (("_want", "truth"), ("_got", "clean_text")):
+        joined = text.with_entities(joined, F.when(usable, F.col(column)), name)
     matched = lambda k: F.size(F.filter(f"_want.{k}", lambda e: F.array_contains(F.col(f"_got.{k}"), e)))
     counts = {f"{k}_{name}": F.when(usable, value) for k in KINDS for name, value in (("expected", F.size(f"_want.{k}")), ("matched", matched(k)))}
     out = joined.withColumns({
@@ -57,12 +56,3 @@ def metrics(evaluated: DataFrame) -> DataFrame:
         *(kept(k) for k in KINDS),
     )
     return sets
-
-
-def preserved(want, got):
-    """How many of the expected entities were extracted."""
-    return F.size(F.filter(want, lambda e: F.array_contains(got, e)))
-
-
-def all_kinds_found(evaluated: DataFrame):
-    return reduce(lambda a, b: a & b, (F.col(f"{k}_matched") == F.col(f"{k}_expected") for k in KINDS))

@@ -10,8 +10,8 @@ from ..functions.labels import category
 from ..narrative_texts import EN, FACETS, HI
 
 
-def fan_in(messages: DataFrame, url: DataFrame, domain: DataFrame, sandbox: DataFrame, result: Column) -> DataFrame:
-    """One row per message with its tracks; a message with a URL but no row of a track gets the failure default.
+def fan_in(messages: DataFrame, url: DataFrame, domain: DataFrame, sandbox: DataFrame) -> DataFrame:
+    """One row per message, which has its text_track, with the other tracks; a message with a URL but no row of a track gets the failure default.
 
     Evidence is aggregated per message before the joins; all three join on msg_id, so messages are shuffled once.
     """
@@ -28,7 +28,6 @@ def fan_in(messages: DataFrame, url: DataFrame, domain: DataFrame, sandbox: Data
     joined = messages.withColumn("has_url", has_url).join(url_rows, "msg_id", "left").join(domain_rows, "msg_id", "left").join(page, "msg_id", "left")
     lost = F.col("has_url") & F.col("_page").isNull()
     return joined.withColumns({
-        "text_track": result,
         "url_score": F.when(F.col("has_url"), F.coalesce("url_score", F.lit(50))).otherwise(0),
         # A URL whose only hosts are local has no domain rows and scores 0.
         "domain_score": F.when(F.col("has_url"), F.coalesce("domain_score", F.lit(0))).otherwise(0),

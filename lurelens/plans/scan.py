@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..operators import blocks, cache, corpus, intel, scoring
+from ..scratch import Scratch
 
 
 @dataclass
@@ -24,29 +24,22 @@ class Snapshots:
 
 def detect(messages: DataFrame) -> DataFrame:
     """Adds normalized_text, urls and entities to messages (msg_id, text)."""
-    found = messages.withColumn("_d", text.detection(F.col("text")))
-    return found.withColumns({"normalized_text": F.col("_d.normalized_text"), "entities": F.col("_d.entities"), "urls": F.col("_d.entities.urls")}).drop("_d")
-
-
-def route(detected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with a URL, messages without one)."""
-    has = F.size("urls") > 0
-    return detected.filter(has), detected.filter(~has)
+    return text.with_entities(messages, F.col("text"), normalized="normalized_text").withColumn("urls", F.col("entities.urls"))
 
 
 def score_messages(messages: DataFrame, intel_tables: Snapshots, as_of: Column) -> DataFrame:
     """Messages (msg_id, text) with all tracks, score and explanations.
 
     Only the URLs go through the snapshot joins; texts are shuffled once, by msg_id, in the fan-in.
-    Four branches read what was detected, so it is kept on the executors' disks once computed; lost parts are
-    computed again, and ``spark.catalog.clearCache()`` frees them.
+    Four branches read what was detected and the text track, so these are written once in the shared folder.
     """
-    detected = detect(messages).persist(StorageLevel.DISK_ONLY)
+    detected = labels.with_text_result(detect(messages), F.col("normalized_text"))
+    detected = Scratch(messages.sparkSession, "scan").save(detected, "detected")
     urls = intel.explode_urls(detected.select("msg_id", "urls"))
     url_rows = intel.url_evidence(urls, intel_tables.reputation)
     domain_rows = intel.domain_evidence(urls, intel_tables.whois, intel_tables.certs, as_of)
     page_rows = intel.sandbox_evidence(detected.select("msg_id", "urls").filter(F.size("urls") > 0), intel_tables.pages)
-    tracks = scoring.fan_in(detected, url_rows, domain_rows, page_rows, labels.text_result(F.col("normalized_text")))
+    tracks = scoring.fan_in(detected, url_rows, domain_rows, page_rows)
     return scoring.explain(scoring.score_summary(scoring.score(tracks)))
 
 
@@ -76,3 +69,8 @@ def to_records(responses: DataFrame, messages: DataFrame, key: str = "raw") -> D
     """Rows to persist for later reuse."""
     own = messages.select("msg_id", cache.cache_key(F.col("text"), key).alias("hash"), F.col("ts").alias("created_at"))
     return responses.join(own, "msg_id").withColumns({"track_details": F.to_json("metadata")}).select("scan_id", "hash", "input_type", "risk_score", "risk_category", "explanations", "track_details", "created_at")
+
+
+def read_details(records: DataFrame, schema: str) -> DataFrame:
+    """Persisted rows with their details read back from JSON; details that are no JSON of that schema are null."""
+    return records.withColumn("metadata", F.from_json("track_details", schema))

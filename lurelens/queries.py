@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from . import fixed
 from .functions import hosts, labels, text
 from .operators import audit, blocks, cache, corpus, intel, ocr_eval, scoring
-from .plans import scan
+from .plans import scan, training
+from .sources import readers
 
 PHRASES = [
     "URGENT: your SBI account is suspended, update KYC today",
@@ -47,7 +48,7 @@ MESSAGES = f"""SELECT d.doc_id AS msg_id, d.source, d.lang, p.k,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _any(words: list[str], col: str = "low") -> str:
 
 
 def lexicon_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _messages(spark, sf_dir).withColumn("r", labels.text_result(F.col("text")))
+    out = labels.with_text_result(_messages(spark, sf_dir), F.col("text"), "r")
     facets = [F.round(F.element_at("r.social_engineering", f), 4).alias(f) for f in fixed.SOCIAL_WORDS]
     return out.select("msg_id", *facets, F.col("r.detected_intent").alias("intent"), F.round("r.confidence", 4).alias("confidence"), F.col("r.risk_score").alias("risk"), F.col("r.is_scam").cast("int").alias("is_scam"), F.array_join("r.triggers", "|").alias("triggers"))
 
@@ -100,14 +101,14 @@ _TRIGGERS = "concat_ws('|', " + ", ".join(f"CASE WHEN s_{f} >= 0.5 THEN '{f}' EN
 
 def risk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages by source and category, scored by text alone."""
-    risk = labels.text_result(F.col("text"))["risk_score"]
-    out = _messages(spark, sf_dir).select("source", risk.alias("risk"))
+    out = labels.with_text_result(_messages(spark, sf_dir), F.col("text"), "r").select("source", F.col("r.risk_score").alias("risk"))
     return out.groupBy("source", labels.category(F.col("risk")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("risk").alias("total_risk"), F.max("risk").alias("max_risk"))
 
 
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _corpus(spark, sf_dir).withColumn("s", labels.weak_social(F.col("text"), F.col("is_scam")))
-    return out.select(F.col("row_ord").alias("msg_id"), "is_scam", "s.*", labels.weak_intent(F.col("text"), F.col("is_scam")).alias("intent"), labels.truth_label(F.col("text")).alias("truth"))
+    own = F.col("text"), F.col("is_scam"), F.col("low")
+    out = _corpus(spark, sf_dir).withColumn("low", F.lower("text")).withColumn("s", labels.weak_social(*own))
+    return out.select(F.col("row_ord").alias("msg_id"), "is_scam", "s.*", labels.weak_intent(*own).alias("intent"), labels.truth_label(own[0], own[2]).alias("truth"))
 
 
 _WEAK_INTENT = f"CASE WHEN is_scam <> 1 THEN '{fixed.BENIGN}' " + " ".join(f"WHEN {_any(w)} THEN '{i}'" for i, w in fixed.WEAK_INTENT_WORDS.items()) + f" ELSE '{fixed.OTHER_INTENT}' END"
@@ -115,13 +116,14 @@ _WEAK_FACETS = {f: f"CASE WHEN is_scam = 1 AND {_any(w)} THEN 1 ELSE 0 END" for
 
 
 def rank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return _messages(spark, sf_dir).select("msg_id", (2 * text.count_of(low, fixed.RANK_URGENCY) + 2 * text.count_of(low, fixed.RANK_AUTHORITY)).alias("points"), labels.is_threat(F.col("text")).cast("int").alias("threat"))
+    low = F.col("low")
+    return _messages(spark, sf_dir).withColumn("low", F.lower("text")).select("msg_id", (2 * text.count_of(low, fixed.RANK_URGENCY) + 2 * text.count_of(low, fixed.RANK_AUTHORITY)).alias("points"), labels.is_threat(F.col("text")).cast("int").alias("threat"))
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.col("text")
-    return _messages(spark, sf_dir).select("msg_id", text.detect_language(own).alias("language"), text.indic_kind(own).alias("kind"), text.purity(own).alias("purity"), text.marathi(own).cast("int").alias("marathi"))
+    own = F.col("text"), F.col("words")
+    out = _messages(spark, sf_dir).withColumn("words", text.tokens(F.col("text")))
+    return out.select("msg_id", text.detect_language(*own).alias("language"), text.indic_kind(*own).alias("kind"), text.purity(*own).alias("purity"), text.marathi(own[0]).cast("int").alias("marathi"))
 
 
 def _in(words: list[str]) -> str:
@@ -139,8 +141,7 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of every message; the regular expressions' dialect keeps this from SQL."""
-    own = _messages(spark, sf_dir)
-    found = own.withColumn("e", text.entities(F.concat_ws(" ", "text", "url")))
+    found = text.with_entities(_messages(spark, sf_dir), F.concat_ws(" ", "text", "url"), "e")
     return found.select("msg_id", *(F.array_join(f"e.{k}", "|").alias(k) for k in ("urls", "domains", "upi_ids", "phone_numbers", "otp_candidates", "amounts", "bank_names")))
 
 
@@ -185,12 +186,11 @@ def url_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("msg_id", "url", "domain", F.coalesce("malicious", F.lit(-1)).alias("malicious"), "reputation", "risk_score", "verdict")
 
 
-_LURE = _any(fixed.HOST_LURES, "host")
 _URL_EVIDENCE = f"""{_SQUAT}, {_REPUTATION},
     j AS (SELECT p.page_id AS msg_id, p.url, {_HOST.replace("(url,", "(p.url,")} AS host, rep.n FROM pages p LEFT JOIN rep ON rep.url = p.url),
-    k AS (SELECT j.*, sq.brand, CASE WHEN n IS NULL THEN CASE WHEN {_LURE.replace("host", "j.host")} THEN 4 ELSE 0 END WHEN n % 11 = 0 THEN NULL ELSE n % 5 END AS mal, n % 4 AS sus FROM j LEFT JOIN sq ON sq.host = j.host),
+    k AS (SELECT j.*, sq.brand, CASE WHEN n % 11 <> 0 THEN n % 5 END AS mal, n % 4 AS sus FROM j LEFT JOIN sq ON sq.host = j.host),
     ue AS (SELECT msg_id, url, host AS domain, CAST(coalesce(mal, -1) AS INT) AS malicious,
-        CASE WHEN n IS NULL THEN CASE WHEN mal > 0 THEN 'malicious' ELSE 'clean' END WHEN n % 11 = 0 THEN 'unknown' WHEN mal >= 2 THEN 'malicious' WHEN mal = 1 OR sus >= 2 THEN 'suspicious' ELSE 'clean' END AS reputation,
+        CASE WHEN mal IS NULL THEN 'unknown' WHEN mal >= 2 THEN 'malicious' WHEN mal = 1 OR sus >= 2 THEN 'suspicious' ELSE 'clean' END AS reputation,
         CAST(least(100, CASE WHEN brand IS NOT NULL THEN 60 ELSE 0 END + least(40, coalesce(mal, 0) * 15)) AS INT) AS risk_score, brand FROM k)"""
 
 
@@ -239,11 +239,14 @@ _DOMAIN_EVIDENCE = f"""{_HOST_ROWS},
 
 
 def _page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page evidence for five of six pages' URLs, of which one in six has a form if its URL asks for something."""
     n = F.col("page_id")
-    signals = hosts.html_page_signals(F.col("html"))
+    asks = text.any_of(F.col("url"), fixed.PAGE_LURES)
+    form = F.struct(asks.alias("has_auth_inputs"), asks.alias("has_payment_forms"), F.when(asks, 3).otherwise(0).alias("input_tags_count"), F.when(asks, 1).otherwise(0).alias("iframe_count"))
+    signals = F.when(n % 6 == 4, form).otherwise(hosts.html_page_signals(F.col("html")))
     rows = _table(spark, sf_dir, "pages").filter("page_id % 6 <> 5").select(
         "url", n,
-        F.when(n % 6 == 4, "simulated").when(n % 6 == 3, "initiated").otherwise("completed").alias("sandbox_status"),
+        F.when(n % 6 == 3, "initiated").otherwise("completed").alias("sandbox_status"),
         F.lit(0).alias("risk_weight"), signals.alias("dom_signals"), F.col("url").alias("final_redirect_url"),
     )
     first = rows.groupBy("url").agg(F.min_by(F.struct("sandbox_status", "risk_weight", "dom_signals", "final_redirect_url"), "page_id").alias("r"))
@@ -266,7 +269,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     url_rows = intel.url_evidence(urls, tables.reputation)
     domain_rows = intel.domain_evidence(urls, tables.whois, tables.certs, F.lit(AS_OF).cast("timestamp"))
     page_rows = intel.sandbox_evidence(own.select("msg_id", "urls").filter(F.size("urls") > 0), tables.pages)
-    return scoring.score(scoring.fan_in(own, url_rows, domain_rows, page_rows, labels.text_result(F.col("text"))))
+    return scoring.score(scoring.fan_in(labels.with_text_result(own, F.col("text")), url_rows, domain_rows, page_rows))
 
 
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,17 +404,31 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows with language and split, from the same hash order.
-_SPLIT = f"""{_UNIQUE}, tk AS (SELECT msg_id, regexp_replace(text, '\\b[0-9]{{4}}\\s[0-9]{{4}}\\s[0-9]{{4}}\\b', '{fixed.NATIONAL_ID_MASK}', 'g') AS text, source, is_scam FROM un),
+_AFTER = f"""tk AS (SELECT msg_id, regexp_replace(text, '\\b[0-9]{{4}}\\s[0-9]{{4}}\\s[0-9]{{4}}\\b', '{fixed.NATIONAL_ID_MASK}', 'g') AS text, source, is_scam FROM un),
     tg AS (SELECT *, {_TOKENS} AS tok FROM tk),
     lg AS (SELECT *, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'Hindi' WHEN list_has_any(tok, {_in(fixed.STRONG_INDIC_WORDS)}) OR len(list_intersect(list_distinct(tok), {_in(fixed.INDIC_PARTICLES)})) >= 2 THEN 'Hinglish' ELSE 'English' END AS language FROM tg),
     rk AS (SELECT *, row_number() OVER (PARTITION BY language, is_scam ORDER BY sha256(concat('42:', msg_id)), CAST(msg_id AS VARCHAR)) - 1 AS rank, count(*) OVER (PARTITION BY language, is_scam) AS n FROM lg),
     sp AS (SELECT *, lower(text) AS low, CASE WHEN rank < floor(n * 0.8::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM rk)"""
+_SPLIT = f"{_UNIQUE}, {_AFTER}"
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select(F.col("id").cast("long").alias("msg_id"), "language", "is_scam", "split")
 
 
+def training_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus built from two sources: messages come before turns of conversations, of which a user's count as scams."""
+    turns = _table(spark, sf_dir, "conversations")
+    turns = turns.select("text", (F.col("role") == "user").cast("int").alias("is_scam"), (F.col("conv_id") * 10000 + F.col("turn")).alias("row_ord"))
+    built = training.build_corpus([("messages", _corpus(spark, sf_dir)), ("Turns/all", turns)])
+    return built.select("id", "source_dataset", "split_group", "language", "is_scam", F.col("head2_scam_intent").alias("intent"), "split", F.sha2("text", 256).alias("text_hash"))
+
+
+_BUILT = f"""{_CORPUS}, both_ AS (SELECT 0 AS src, msg_id AS ord, text, 'messages' AS source, is_scam FROM corpus UNION ALL SELECT 1, conv_id * 10000 + turn, text, 'Turns/all', CASE WHEN role = 'user' THEN 1 ELSE 0 END FROM conversations),
+    first_ AS (SELECT * FROM (SELECT src, ord, trim(text, ' \t\n\r') AS text, source, is_scam, row_number() OVER (PARTITION BY lower(trim(text, ' \t\n\r')) ORDER BY src, ord) AS rn FROM both_ WHERE length(trim(text, ' \t\n\r')) >= 4) WHERE rn = 1),
+    un AS (SELECT concat('real_', lpad(CAST(row_number() OVER (ORDER BY src, ord) AS VARCHAR), 6, '0')) AS msg_id, text, source, is_scam FROM first_)"""
+
+
 def split_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.split_matrix(_records(spark, sf_dir))
 
@@ -443,7 +460,7 @@ def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.corpus_summary(_records(spark, sf_dir)).drop("url_percent")
+    return audit.corpus_summary(_records(spark, sf_dir))
 
 
 def hinglish_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,30 +490,49 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str, script: str) -> DataFrame:
-    """Turns of a conversation as blocks of a screenshot, one recogniser's view of it."""
+    """Turns of a conversation as blocks of a screenshot, one recogniser's view of it.
+
+    Each recogniser sees every block, but some where the other sees none, so merging meets both cases.
+    """
     n, shift = F.col("turn"), 0 if script == "en" else 3
-    x, y = (n * 37 % 200).cast("int") + shift, (n * 11 % 97 * 10).cast("int") + shift
+    apart = F.when(n % 5 == 4, 2000).otherwise(0) if script == "en" else F.when(n % 4 == 3, 4000).otherwise(0)
+    x, y = (n * 37 % 200).cast("int") + shift, (n * 11 % 97 * 10).cast("int") + apart + shift
     corner = lambda a, b: F.array(a, b)
     box = F.array(corner(x, y), corner(x + 90, y), corner(x + 90, y + 12), corner(x, y + 12))
-    words = F.when((F.lit(script) == "hi") & (n % 3 == 0), "सूचना").otherwise(F.concat(F.lit("t"), n.cast("string")))
-    rows = _table(spark, sf_dir, "conversations").filter("turn % 5 <> 4" if script == "en" else "turn % 4 <> 3")
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z0-9]+", 0)
+    word = F.concat(F.when(word == "", "t").otherwise(word), n.cast("string"))
+    words = F.when((F.lit(script) == "hi") & (n % 3 == 0), "सूचना").otherwise(word)
+    rows = _table(spark, sf_dir, "conversations")
     return rows.select(F.col("conv_id").alias("image_id"), n.cast("int").alias("block_idx"), box.alias("bbox"), words.alias("text"), F.lit(0.5) + (n % 10) / 20.0, F.lit(script).alias("script")).toDF("image_id", "block_idx", "bbox", "text", "confidence", "script")
 
 
+_WORD = "concat(coalesce(nullif(regexp_extract(coalesce(text, ''), '[A-Za-z0-9]+'), ''), 't'), turn)"
+
+
 def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocks.min_confidence(blocks.merge_scripts(_blocks(spark, sf_dir, "hi"), _blocks(spark, sf_dir, "en")))
     return out.select("image_id", "block_idx", "text", "script", F.round("confidence", 4).alias("confidence"))
 
 
+#: Boxes of both recognisers, the best partner of each Hindi block, and the blocks that stay.
+_MERGE = f"""c AS (SELECT conv_id, turn, {_WORD} AS word, turn * 37 % 200 AS x, turn * 11 % 97 * 10 AS y, 0.5::DOUBLE + (turn % 10) / 20.0::DOUBLE AS confidence FROM conversations),
+    en AS (SELECT conv_id, turn, word AS text, confidence, x, y + CASE WHEN turn % 5 = 4 THEN 2000 ELSE 0 END AS y FROM c),
+    hi AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'सूचना' ELSE word END AS text, confidence, turn % 3 = 0 AS own, x + 3 AS x, y + 3 + CASE WHEN turn % 4 = 3 THEN 4000 ELSE 0 END AS y FROM c),
+    pairs AS (SELECT hi.conv_id, hi.turn AS hi, en.turn AS en, greatest(0, least(hi.x, en.x) + 90 - greatest(hi.x, en.x)) * greatest(0, least(hi.y, en.y) + 12 - greatest(hi.y, en.y)) AS common FROM hi JOIN en USING (conv_id)),
+    best AS (SELECT conv_id, hi, arg_min(en, (-common, en)) AS en, max(common) AS common FROM pairs WHERE common > 0 GROUP BY ALL HAVING max(common)::DOUBLE / (2160 - max(common)) > 0.5),
+    merged AS (SELECT hi.conv_id, hi.turn, hi.text, 'hi' AS script, hi.confidence FROM hi WHERE own
+        UNION ALL SELECT en.conv_id, en.turn, en.text, 'en', en.confidence FROM en JOIN best ON best.conv_id = en.conv_id AND best.en = en.turn JOIN hi ON hi.conv_id = best.conv_id AND hi.turn = best.hi AND NOT hi.own
+        UNION ALL SELECT conv_id, turn, text, 'en', confidence FROM en WHERE (conv_id, turn) NOT IN (SELECT (conv_id, en) FROM best))"""
+
+
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _blocks(spark, sf_dir, "en").withColumn("text", F.concat(F.lit("t"), F.col("block_idx").cast("string")))
-    return blocks.reading_order(rows)
+    return blocks.reading_order(_blocks(spark, sf_dir, "en"))
 
 
-_ORDER = """b AS (SELECT conv_id, turn, (turn * 37 % 200) AS x, (turn * 11 % 97 * 10) AS y FROM conversations WHERE turn % 5 <> 4),
+_ORDER = f"""b AS (SELECT conv_id, turn, {_WORD} AS word, (turn * 37 % 200) AS x, (turn * 11 % 97 * 10) + CASE WHEN turn % 5 = 4 THEN 2000 ELSE 0 END AS y FROM conversations),
     g AS (SELECT *, CASE WHEN y - lag(y) OVER w >= 15 THEN 1 ELSE 0 END AS fresh, row_number() OVER w AS ord FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY y, x, turn)),
     l AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY ord) AS line FROM g),
-    t AS (SELECT conv_id, line, string_agg(concat('t', turn), ' ' ORDER BY x, ord) AS txt FROM l GROUP BY ALL)"""
+    t AS (SELECT conv_id, line, string_agg(word, ' ' ORDER BY x, ord) AS txt FROM l GROUP BY ALL)"""
 
 
 def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -561,12 +597,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lexicon_risk, risk_by_category, weak_labels, rank_words, language_id, redaction, entity_packet, host_checks, url_evidence,
         domain_evidence, html_signals, risk_score, narrative, diagnostics, full_scan, ip_safety, egress_audit, preflight, dedup,
-        record_ids, stratified_split, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
+        record_ids, stratified_split, training_corpus, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
         source_profile, corpus_summary, hinglish_purity, template_overlap, content_flags, threat_funnel, top_sources, block_merge,
         reading_order, block_statistics, recognition_metrics, recognition_words, cache_lookup, cache_misses, two_heads,
     )
 }
 
+#: The same expression in the other dialect, which knows no flag for Unicode.
+_HAS_URL = "regexp_matches(text, '" + fixed.FLAGS["has_url"].replace("(?iu)", "(?i)").replace("'", "''") + "')"
 _PERCENT = "CAST(round_even(100.0::DOUBLE * n / sum(n) OVER (), 2) AS DOUBLE) AS percent"
 _PAIRS = reduce(lambda a, b: f"{a} UNION ALL {b}", (f"SELECT '{a}_{b}' AS pair, count(*) FILTER (list_contains(s, '{a}') AND list_contains(s, '{b}')) AS shared FROM x" for a, b in (("train", "test"), ("val", "test"), ("train", "val"))))
 _CERT = "CASE whois WHEN 'valid' THEN CASE tls WHEN 'valid' THEN 'high' ELSE 'medium' END ELSE CASE tls WHEN 'valid' THEN 'partial' ELSE 'unavailable' END END"
@@ -606,6 +644,7 @@ SQL: dict[str, str] = {
     "dedup": f"WITH {_UNIQUE} SELECT msg_id, is_scam, sha256(lower(text)) AS hash FROM un",
     "record_ids": f"WITH {_UNIQUE} SELECT msg_id, concat('real_', lpad(CAST(row_number() OVER (ORDER BY msg_id) AS VARCHAR), 6, '0')) AS id FROM un",
     "stratified_split": f"WITH {_SPLIT} SELECT msg_id, language, is_scam, split FROM sp",
+    "training_corpus": f"WITH {_BUILT}, {_AFTER} SELECT msg_id AS id, source AS source_dataset, concat('real_', replace(lower(source), '/', '_')) AS split_group, language, is_scam, {_WEAK_INTENT} AS intent, split, sha256(text) AS text_hash FROM sp",
     "split_matrix": f"WITH {_SPLIT} SELECT split, {', '.join(f'''count(*) FILTER (language = '{x}' AND is_scam = {i}) AS {x.lower()}_{y}''' for x in ('English', 'Hindi', 'Hinglish') for i, y in ((0, 'ham'), (1, 'scam')))}, CAST(0 AS BIGINT) AS synthetic, count(*) AS real, count(*) AS total FROM sp GROUP BY split",
     "intent_distribution": f"WITH {_SPLIT}, i AS (SELECT {_WEAK_INTENT} AS intent, count(*) AS n FROM sp WHERE is_scam = 1 GROUP BY ALL) SELECT intent, n, {_PERCENT} FROM i",
     "facet_rates": f"WITH {_SPLIT}, " + "x AS (" + " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST(sum({v}) AS BIGINT) AS positives, count(*) AS rows FROM sp WHERE is_scam = 1" for f, v in _WEAK_FACETS.items()) + ") SELECT facet, positives, rows, round_even(100.0::DOUBLE * positives / rows, 2) AS percent FROM x",
@@ -613,12 +652,13 @@ SQL: dict[str, str] = {
     "exact_overlaps": f"""WITH {_CORPUS}, x AS (SELECT list(DISTINCT CASE WHEN msg_id % 10 < 8 THEN 'train' WHEN msg_id % 10 = 8 THEN 'val' ELSE 'test' END) AS s FROM corpus GROUP BY trim(regexp_replace(text, '^[^ ]+ ', ''), ' \t\n\r')) {_PAIRS}""",
     "benign_defence": f"WITH {_SPLIT} SELECT split, language, count(*) AS n FROM sp WHERE is_scam = 0 AND language <> 'English' GROUP BY ALL",
     "source_profile": f"WITH {_CORPUS} SELECT source AS source_dataset, count(*) AS rows, CAST(sum(is_scam) AS BIGINT) AS scams, round_even(100 * avg(is_scam), 2) AS percent, round_even(avg(length(text)), 2) AS mean_length, CAST(max(length(text)) AS INT) AS max_length FROM corpus GROUP BY source",
-    "corpus_summary": f"WITH {_SPLIT} SELECT coalesce({_WEAK_INTENT}, 'TOTAL') AS head2_scam_intent, count(*) FILTER (language = 'Hindi') AS hindi, count(*) FILTER (language = 'Hinglish') AS hinglish, count(*) AS total FROM sp GROUP BY ROLLUP ({_WEAK_INTENT})",
+    "corpus_summary": f"WITH {_SPLIT} SELECT coalesce({_WEAK_INTENT}, 'TOTAL') AS head2_scam_intent, count(*) FILTER (language = 'Hindi') AS hindi, count(*) FILTER (language = 'Hinglish') AS hinglish, count(*) AS total, round_even(100 * avg(CAST({_HAS_URL} AS INT)), 1) AS url_percent FROM sp GROUP BY ROLLUP ({_WEAK_INTENT})",
     "hinglish_purity": f"""WITH {_SPLIT}, p AS (SELECT CASE WHEN list_has_any(tok, {_in(fixed.INDIC_CORE_WORDS)}) THEN 'true_indic' WHEN list_has_any(tok, {_in(fixed.AMBIGUOUS_WORDS)}) THEN 'ambiguous' ELSE 'none' END AS purity, count(*) AS n FROM sp WHERE language = 'Hinglish' GROUP BY ALL) SELECT purity, n, {_PERCENT} FROM p""",
     "threat_funnel": f"""WITH {_UNIQUE}, f AS (SELECT CASE WHEN is_scam = 0 THEN 'ham' WHEN {_any(fixed.THREAT_WORDS_HI, 'text')} THEN 'scam' ELSE 'discarded_marketing' END AS decision, count(*) AS n FROM un WHERE regexp_matches(text, '[ऀ-ॿ]') GROUP BY ALL) SELECT decision, n, {_PERCENT} FROM f""",
     "top_sources": "SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 5",
     "reading_order": f"WITH {_ORDER} SELECT conv_id AS image_id, string_agg(txt, chr(10) ORDER BY line) AS clean_text FROM t GROUP BY conv_id",
-    "block_statistics": """WITH b AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'सूचना' ELSE concat('t', turn) END AS w, 0.5::DOUBLE + (turn % 10) / 20.0::DOUBLE AS c FROM conversations WHERE turn % 4 <> 3)
+    "block_merge": f"WITH {_MERGE} SELECT conv_id AS image_id, turn AS block_idx, text, script, round(confidence, 4) AS confidence FROM merged WHERE confidence >= 0.55",
+    "block_statistics": f"""WITH b AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'सूचना' ELSE {_WORD} END AS w, 0.5::DOUBLE + (turn % 10) / 20.0::DOUBLE AS c FROM conversations)
         SELECT conv_id AS image_id, count(*) AS blocks, round(min(c), 4) AS min_confidence, round(avg(c), 6) AS mean_confidence, CAST(sum(length(w)) AS BIGINT) AS characters, CAST(bool_or(regexp_matches(w, '[ऀ-ॿ]')) AS INT) AS devanagari FROM b GROUP BY conv_id""",
     "recognition_metrics": """WITH t AS (SELECT role, text, replace(text, 'e', '') AS seen, conv_id + turn AS n FROM conversations), u AS (SELECT *, n % 7 <> 0 AS ok, (n % 50 + 10)::DOUBLE AS ms FROM t)
         SELECT coalesce(role, 'all') AS folder, count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(avg(ms) FILTER (ok), 6) AS avg_latency_ms, round(quantile_cont(ms, 0.5) FILTER (ok), 6) AS median_latency_ms, round(quantile_cont(ms, 0.95) FILTER (ok), 6) AS p95_latency_ms,

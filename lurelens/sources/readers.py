@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +66,13 @@ def resolve_column(names: list[str], candidates: list[str] = (), contains: list[
     return names[position] if position is not None and position < len(names) else None
 
 
-def resolve_columns(df: DataFrame, text: list[str] = ("text", "message", "sms"), label: list[str] = ("label", "is_scam", "category")) -> DataFrame:
-    """Text and raw label of a table whose column names are not known in advance."""
-    t = resolve_column(df.columns, text, ["text", "message", "msg"], 0)
-    rest = [c for c in df.columns if c != t]
-    y = resolve_column(rest, label, ["label", "class", "target"])
-    return df.select(F.col(f"`{t}`").cast("string").alias("text"), (F.col(f"`{y}`").cast("string") if y else F.lit("ham")).alias("raw_label"))
+def resolve_columns(df: DataFrame, text: list[str] = ("text", "message", "sms"), label: list[str] = ("label", "is_scam", "category"), keep: dict[str, str] | None = None) -> DataFrame:
+    """Text and raw label of a table whose column names are not known in advance, and the columns to keep under their new names."""
+    own = [c for c in df.columns if c not in (keep or {})]
+    t = resolve_column(own, text, ["text", "message", "msg"], 0)
+    y = resolve_column([c for c in own if c != t], label, ["label", "class", "target"])
+    raw = F.col(f"`{y}`").cast("string") if y else F.lit("ham")
+    return df.select(F.col(f"`{t}`").cast("string").alias("text"), raw.alias("raw_label"), *(F.col(a).alias(b) for a, b in (keep or {}).items()))
 
 
 def read_parquet_labelled(spark: SparkSession, path: str) -> DataFrame:
@@ -77,13 +80,28 @@ def read_parquet_labelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_dir(spark: SparkSession, pattern: str, least_bytes: int = 10_000) -> DataFrame:
-    """All CSV files of a pattern above a size, bad lines dropped, with source_file."""
-    rows = spark.read.csv(pattern, header=True, mode="DROPMALFORMED", multiLine=True, escape='"')
-    big = rows.select("*", F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_name").alias("source_file")).filter(F.col("_size") > least_bytes)
-    named = resolve_columns(big.drop("_size", "source_file"))
-    t = resolve_column([c for c in big.columns if c not in ("_size", "source_file")], ["text", "message", "sms"], ["text", "message", "msg"], 0)
-    y = resolve_column([c for c in big.columns if c not in ("_size", "source_file", t)], ["label", "is_scam", "category"], ["label", "class", "target"])
-    return big.select(F.col(f"`{t}`").cast("string").alias("text"), (F.col(f"`{y}`").cast("string") if y else F.lit("ham")).alias("raw_label"), "source_file") if named.columns else big
+    """All CSV files of a pattern above a size, bad lines dropped, with source_file.
+
+    Text and label are found in each file's own header; files with equal headers are read together.
+    """
+    lines = spark.read.text(pattern).select("value", "_metadata.file_path", "_metadata.file_size", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    heads = lines.filter(F.col("file_size") > least_bytes).groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
+    found = []
+    # A row for each different header, with its files.
+    for row in heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("head").collect():
+        rows = spark.read.csv(row["files"], header=True, mode="DROPMALFORMED", multiLine=True, escape='"')
+        rows = rows.select("*", F.col("_metadata.file_name").alias("__file"))
+        found.append(resolve_columns(rows, keep={"__file": "source_file"}))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "text string, raw_label string, source_file string")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is stored in fewer pieces than there are cores, dealt over these; others as they are.
+
+    Work on texts costs more than one shuffle of a small table; a large one has pieces enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def messages(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json") -> DataFrame:

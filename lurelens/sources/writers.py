@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,38 @@ def write_language_slices(split: DataFrame, path: str) -> None:
     split.filter("split = 'test'").drop("split").write.mode("overwrite").partitionBy("language").json(path)
 
 
-def append_scans(scans: DataFrame, path: str) -> None:
-    """Appends scan records, partitioned by day."""
-    scans.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def _recorded(spark: SparkSession, failures: str, what: str, error: Exception) -> str:
+    """Keeps a row about a write that failed, and returns its message."""
+    message = f"{type(error).__name__}: {error}"
+    row = spark.range(1).select(F.lit(what).alias("what"), F.lit(message[:2000]).alias("error"), F.current_timestamp().alias("failed_at"))
+    row.coalesce(1).write.mode("append").json(failures)
+    return message
 
 
-def write_report(modules: dict[str, DataFrame], path: str) -> None:
-    """Each module of a report, a few rows, as one JSON file."""
+def append_scans(scans: DataFrame, path: str, failures: str | None = None) -> str | None:
+    """Appends scan records, partitioned by day.
+
+    With a ``failures`` folder, an append that fails is recorded there and its
+    message returned, so that the results that were to be stored are not lost
+    with it; without one the error goes on.
+    """
+    try:
+        scans.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    except Exception as error:
+        if failures is None:
+            raise
+        return _recorded(scans.sparkSession, failures, path, error)
+    return None
+
+
+def write_report(modules: dict[str, DataFrame], path: str, failures: str | None = None) -> dict[str, str]:
+    """Each module of a report, a few rows, as one JSON file; with a ``failures`` folder one that fails is recorded and the others are written."""
+    failed = {}
     for name, rows in modules.items():
-        rows.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        try:
+            rows.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        except Exception as error:
+            if failures is None:
+                raise
+            failed[name] = _recorded(rows.sparkSession, failures, name, error)
+    return failed

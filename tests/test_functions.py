@@ -54,6 +54,9 @@ def test_distances(spark):
     rows = spark.createDataFrame([("a b c d", "a x c"), ("", ""), ("", "a")], "t string, s string")
     got = rows.select(text.word_distance(F.col("t"), F.col("s")), text.word_error_rate(F.col("t"), F.col("s")), text.character_error_rate(F.col("t"), F.col("s"))).collect()
     assert tuple(got[0])[:2] == (2, 0.5)
+    numbers = [1, 2, 35_327, 35_328, 35_329, 45_567, 45_568, 60_000, 1_000_000]
+    letters = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(text.character(F.col("n"))).collect()]
+    assert all(len(x) == 1 for x in letters) and len(set(letters)) == len(numbers)
     assert tuple(got[1])[1:] == (0.0, 0.0) and tuple(got[2])[1:] == (1.0, 1.0)
 
 
@@ -92,6 +95,42 @@ def test_safe_addresses(value, ip):
     assert value(lambda c: hosts.is_safe_key(hosts.ip_key(c)), ip)
 
 
+def test_address_keys_match_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", ":1", "1:", "12345::", "g::", "::ffff:1.2.3.4", "::FFFF:256.1.1.1", "64:ff9b::10.0.0.1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3", "fe80::1%eth0", "fe80::1%", "1.2.3.4", "01.2.3.4", "1.2.3", "", "a.b", "0:0:0:0:0:ffff:0a00:0001", "1:2:3:4:5:6:7::8", "::01.2.3.4"]
+    for _ in range(300):
+        t = str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, 2**64 - 1, (2**128 - 1) ^ (2**80 - 1), 0xFFFF << 64])))
+        texts += [t, t[: rng.randrange(len(t))] + rng.choice([":", "0", "", "z"]) + t[rng.randrange(len(t)) :]]
+
+    def want(t):
+        try:
+            ip = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return f"{int(ip) + (0xFFFF << 32 if ip.version == 4 else 0):032x}"
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hosts.ip_key(F.col("t")).alias("k"))
+    assert {r.t: r.k for r in got.collect()} == {t: want(t) for t in texts}
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_entities_in_steps_match_one_column(spark):
+    texts = ["ALERT: Update KYC via\nhttps://www.bk-bnk-\nofficial.com/login/otp-\nupdate.html SBI now", "a.com and a.com/b - \n x", "Aadhaar 1234 5678 9012 see www. x.in/ p", None, "", "plain words only", "call 9876543210 otp 4829 Rs 5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    steps = text.with_entities(df, F.col("t"), "e", normalized="n")
+    assert steps.columns == ["i", "t", "e", "n"]
+    for r in steps.withColumn("d", text.detection(F.col("t"))).collect():
+        assert r.n == r.d.normalized_text and (r.t is None or r.e == r.d.entities)
+    for r in text.with_entities(df, F.col("t"), "e").withColumn("d", text.entities(F.col("t"))).collect():
+        assert r.t is None or r.e == r.d
+    told = labels.with_text_result(df, F.col("t"), "r").withColumn("one", labels.text_result(F.col("t"))).collect()
+    assert all(r.r == r.one for r in told)
+
+
 def test_dates(value):
     shown = lambda x: str(value(hosts.parse_created, x))
     assert shown("2026-06-12T12:00:00Z") == "2026-06-12 12:00:00"

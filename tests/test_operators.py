@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lurelens import fixed
 from lurelens.functions import labels
 from lurelens.operators import audit, blocks, cache, corpus, intel, ocr_eval, scoring
 from lurelens.plans import scan, training
@@ -55,6 +56,8 @@ def test_scan(spark):
     records = scan.to_records(done, messages)
     again, hits, _ = scan.scan(messages.withColumn("ts", F.col("ts") + F.expr("interval 2 hours")), snapshots(spark), records, F.lit("2026-06-13").cast("timestamp"))
     assert hits.count() == 4 and {r.msg_id for r in again.collect()} == {"e"}
+    details = scan.read_details(records, "applied_weights map<string,double>, redistributed boolean").filter("risk_score = 9").first()
+    assert details.metadata.applied_weights["ML"] == 1.0 and not details.metadata.redistributed
 
 
 def test_preflight_and_egress(spark):
@@ -115,10 +118,14 @@ def test_corpus(spark):
     for own in sizes.values():
         n = sum(own.values())
         assert own.get("train", 0) == int(n * 0.8) and own.get("val", 0) == int(n * 0.1)
-    synthetic = corpus.build_records(made.withColumn("id", F.monotonically_increasing_id().cast("string")), corpus.url_rules())
+    synthetic = corpus.build_records(made.withColumn("id", F.monotonically_increasing_id().cast("string")), fixed.SYNTHETIC_FLAGS)
     full = corpus.with_synthetic(built, synthetic)
     assert audit.synthetic_leaks(full).filter("synthetic > 0").isEmpty()
     audit.gate(full)
+    checks = {r.check: r.passed for r in audit.integrity(full).collect()}
+    assert len(checks) == 6 and all(checks.values())
+    failed = audit.integrity(full.withColumn("split", F.explode(F.array(F.lit("val"), F.lit("test"))))).filter("not passed")
+    assert {r.check for r in failed.collect()} == {"synthetic_outside_train", "shared_texts_val_test"}
     with pytest.raises(ValueError, match="synthetic"):
         audit.gate(full.withColumn("split", F.lit("val")))
     assert {r.pair: r.shared for r in audit.exact_overlaps(built).collect()} == {"train_test": 0, "val_test": 0, "train_val": 0}
@@ -137,6 +144,32 @@ def test_reuse(spark):
     assert {r.request_id: r.hit for r in cache.misses(requests).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
 
 
+def test_lookup_carries_the_last_record_over_parts(spark):
+    import random
+
+    rng = random.Random(5)
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    asked = [(i, rng.choice(["a", "b", None]), at(rng.randrange(0, 6000))) for i in range(120)] + [(900, "a", None)]
+    known = [(rng.choice(["a", "b", "c", None]), i, at(rng.choice([rng.randrange(0, 6000), 60 * rng.randrange(0, 100)]))) for i in range(60)] + [("a", 901, None)]
+    got = cache.lookup(spark.createDataFrame(asked, "msg_id long, hash string, ts timestamp"), spark.createDataFrame(known, "hash string, scan_id long, created_at timestamp"), 5).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        near = [(t, i) for h, i, t in known if h is not None and h == r.hash and t is not None and r.ts is not None and r.ts - dt.timedelta(hours=5) <= t <= r.ts]
+        assert r.hit_id == (max(near)[1] if near else None)
+
+
+def test_numbers_of_many_wide_rows(spark):
+    n = 250_000
+    wide = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("ord"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("class"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 6).alias("text")).repartition(7)
+    got = corpus.sequential_ids(wide, ["ord"], "real_").select("ord", F.substring("id", 6, 9).cast("long").alias("n"))
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("n"), F.sum((F.col("n") == F.col("ord") + 1).cast("int"))).first()[:] == (n, n, n)
+    groups = corpus.group_label(wide, "class", ["ord"], "g_", 1000).groupBy("class", "split_group").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("a"), F.max("ord").alias("z")).collect()
+    assert sum(r.n for r in groups) == n and all(r.n <= 1000 for r in groups)
+    for name in ("hot", None):
+        own = sorted((r.a, r.z) for r in groups if r["class"] == name)
+        assert len(own) == -(-(n * 2 // 3 if name else n - n * 2 // 3) // 1000) and all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+
+
 def test_recognition(spark):
     truth = spark.createDataFrame([("a", "pay Rs 50 at x.com now"), ("b", "hello")], "filename string, text string")
     seen = spark.createDataFrame([("a", "f", "pay Rs 50 at x.co", 10.0, False, None), ("b", "f", "", 20.0, True, None), ("c", "g", None, None, None, "bad"), ("d", "g", "no truth", 30.0, False, None)], "filename string, folder string, clean_text string, execution_time_ms double, fallback_used boolean, error string")
@@ -168,6 +201,13 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "dir" / "small.csv").write_text("message,label\nx,ham\n")
     rows = readers.read_csv_dir(spark, str(tmp_path / "dir" / "*.csv"))
     assert rows.count() == 900 and rows.first().source_file == "big.csv"
+    (tmp_path / "dir" / "other.csv").write_text("id,is_scam,sms\n" + "1,ham,see you\n" * 1200)
+    by = {r.source_file: r for r in readers.read_csv_dir(spark, str(tmp_path / "dir" / "*.csv")).distinct().collect()}
+    assert {k: (r.text, r.raw_label) for k, r in by.items()} == {"big.csv": ("hello there", "spam"), "other.csv": ("see you", "ham")}
+    spark.createDataFrame([("hi", 1)], "Message string, Category int").write.parquet(str(tmp_path / "named"))
+    assert readers.read_parquet_labelled(spark, str(tmp_path / "named")).first()[:] == ("hi", "1")
+    assert readers.spread(spark.range(5).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert [r.id for r in corpus.preview(spark.range(30), 3, ["id"]).collect()] == [0, 1, 2]
     split = spark.createDataFrame([("a", "train", "Hindi"), ("b", "test", "English")], "text string, split string, language string")
     writers.write_splits(split, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
@@ -176,6 +216,10 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_report({"m": split}, str(tmp_path / "report"))
     writers.append_scans(split.withColumn("created_at", F.lit("2026-01-01").cast("timestamp")), str(tmp_path / "scans"))
     assert spark.read.parquet(str(tmp_path / "scans")).count() == 2
+    bad = split.withColumn("created_at", F.lit("2026-01-01").cast("timestamp")).withColumn("text", F.raise_error(F.lit("no text")))
+    assert "no text" in writers.append_scans(bad, str(tmp_path / "scans"), str(tmp_path / "failures"))
+    assert list(writers.write_report({"m": split, "bad": bad}, str(tmp_path / "report"), str(tmp_path / "failures"))) == ["bad"]
+    assert spark.read.json(str(tmp_path / "failures")).count() == 2 and spark.read.parquet(str(tmp_path / "scans")).count() == 2
 
 
 def test_streams(spark, tmp_path):
@@ -199,3 +243,33 @@ def test_reuse_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.request_id: r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: False, 1: True, 2: False, 3: True}
+
+
+def test_scan_stream_and_its_replay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    at = F.lit("2026-06-13").cast("timestamp")
+
+    def arrive(name, rows):
+        (tmp_path / "in" / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(("msg_id", "text", "input_type", "ts"), r, strict=True))) for r in rows))
+
+    def run(out):
+        stream = readers.messages(spark, str(tmp_path / "in"), streaming=True)
+        query = scans.scan_stream(stream, snapshots(spark), str(tmp_path / out), str(tmp_path / f"{out}-state"), at)
+        query.awaitTermination(300)
+        return lambda table: spark.read.parquet(str(tmp_path / out / table))
+
+    arrive("a", [("1", "URGENT kyc http://new.com/a", "text", "2026-06-13T00:00:00"), ("2", "हे आहे", "text", "2026-06-13T00:00:00"), ("3", "dinner at 8?", "text", "2026-06-13T00:00:00")])
+    run("out")
+    arrive("b", [("4", "dinner at 8?", "text", "2026-06-13T05:00:00"), ("5", "see gone.com today", "text", "2026-06-13T05:00:00"), ("6", "dinner at 8?", "text", "2026-06-15T05:00:00")])
+    read = run("out")
+    scores = {r.scan_id: r.risk_score for r in read("records").collect()}
+    assert len(scores) == 4 and sorted(scores.values())[0] == 9
+    assert [(r.msg_id, r.batch) for r in read("rejected").collect()] == [("2", 0)] and [r.msg_id for r in read("reused").collect()] == ["4"]
+    # The same input once more, both files in one batch: results do not depend on when it runs.
+    again = run("again")
+    assert {r.scan_id: r.risk_score for r in again("records").collect()}.items() >= scores.items()
+    broken = readers.messages(spark, str(tmp_path / "in"), streaming=True).withColumn("text", F.raise_error(F.lit("cannot read")))
+    query = scans.append_stream(broken.select("text"), str(tmp_path / "bad"), str(tmp_path / "bad-state"))
+    with pytest.raises(Exception, match="cannot read"):
+        query.awaitTermination(300)
+    assert "cannot read" in spark.read.json(str(tmp_path / "bad-log" / "failures")).first().error
