@@ -7,6 +7,7 @@ reputation and DNS are derived from orders, suppliers and hosts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -140,11 +141,41 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of every message; the regular expressions' dialect keeps this from SQL."""
     found = text.with_entities(_messages(spark, sf_dir), F.concat_ws(" ", "text", "url"), "e")
     return found.select("msg_id", *(F.array_join(f"e.{k}", "|").alias(k) for k in ("urls", "domains", "upi_ids", "phone_numbers", "otp_candidates", "amounts", "bank_names")))
 
 
+def _dialect(pattern: str) -> str:
+    """A pattern for SQL, whose engine knows no look-arounds and no flag for Unicode: edges are its own word borders, which differ only beside letters beyond ASCII."""
+    return pattern.replace("(?iu)", "(?i)").replace(fixed.EDGE, r"\b").replace("'", "''")
+
+
+def _healed(col: str) -> str:
+    """The healing steps one inside another, in the same order."""
+    out = col
+    for pattern, new in (pair for rounds, pairs in fixed.STITCH_STEPS + fixed.HEAL_STEPS for _ in range(rounds) for pair in pairs):
+        if "(?=" in pattern:
+            # What a look-ahead leaves in place is put back.
+            pattern, new = pattern.replace("(?=", "("), f"{new}$1"
+        out = f"regexp_replace({out}, '{_dialect(pattern)}', '{re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], new)}', 'g')"
+    return out
+
+
+def _found(col: str, pattern: str, group: int = 0) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({col}, '{_dialect(pattern)}', {group})))"
+
+
+_REPAIRED = reduce(lambda u, pair: f"replace({u}, '{pair[0]}', '{pair[1]}')", fixed.URL_REPAIRS, "u")
+#: Healed and masked texts, URLs of which none is part of a longer or earlier one, and entities.
+_ENTITIES = f"""m AS ({MESSAGES}), e1 AS (SELECT msg_id, {_healed("concat_ws(' ', text, url)")} AS h FROM m), e2 AS (SELECT msg_id, h, regexp_replace(h, '{_dialect(fixed.NATIONAL_ID)}', '{fixed.NATIONAL_ID_MASK}', 'g') AS k FROM e1),
+    e3 AS (SELECT msg_id, h, k, {_healed("k")} AS w, upper(k) AS up FROM e2), u0 AS (SELECT msg_id, regexp_extract_all(w, '{_dialect(fixed.URL)}') AS l FROM e3),
+    u1 AS (SELECT msg_id, i, regexp_replace({_REPAIRED}, '{_dialect(fixed.URL_TAIL)}', '') AS u FROM (SELECT msg_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM u0)), u2 AS (SELECT * FROM u1 WHERE u <> ''),
+    u3 AS (SELECT *, regexp_extract(CASE WHEN starts_with(u, 'http') THEN u ELSE concat('http://', u) END, '^[^:/?#]+://([^/?#]*)', 1) AS d FROM u2 a
+        WHERE NOT EXISTS (SELECT 1 FROM u2 b WHERE b.msg_id = a.msg_id AND contains(b.u, a.u) AND (length(b.u) > length(a.u) OR (length(b.u) = length(a.u) AND b.i < a.i)))),
+    u4 AS (SELECT msg_id, string_agg(u, '|' ORDER BY -length(u), i) AS urls, string_agg(DISTINCT nullif(d, ''), '|' ORDER BY nullif(d, '')) AS domains FROM u3 GROUP BY msg_id),
+    e4 AS (SELECT *, {_found("k", fixed.UPI_ID)} AS upi, {_found("k", fixed.PHONE)} AS phones, {_found("k", fixed.CODE)} AS codes, {_found("k", fixed.AMOUNT, 1)} AS amounts FROM e3)"""
+
+
 # --- hosts, reputation, registration, certificates, pages --------------------
 
 
@@ -468,12 +499,12 @@ def hinglish_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of Indic test rows whose masked template is in train; the masks' dialect keeps this from SQL."""
+    """Share of Indic test rows whose masked template is in train."""
     return audit.template_overlap(_records(spark, sf_dir))
 
 
 def content_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of content flags by language; the flags' look-arounds keep this from SQL."""
+    """Counts of content flags by language."""
     flags = [F.count_if(f"metadata.{k}").alias(k) for k in fixed.FLAGS]
     return _records(spark, sf_dir).groupBy("language").agg(*flags, F.count(F.lit(1)).alias("n"))
 
@@ -603,8 +634,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The same expression in the other dialect, which knows no flag for Unicode.
-_HAS_URL = "regexp_matches(text, '" + fixed.FLAGS["has_url"].replace("(?iu)", "(?i)").replace("'", "''") + "')"
+_FLAG = {k: f"regexp_matches(text, '{_dialect(p)}')" for k, p in fixed.FLAGS.items()}
+_HAS_URL = _FLAG["has_url"]
+_TEMPLATE = reduce(lambda t, step: f"regexp_replace({t}, '{_dialect(step[0])}', '{step[1]}', 'g')", fixed.TEMPLATE_STEPS, "lower(text)")
 _PERCENT = "CAST(round_even(100.0::DOUBLE * n / sum(n) OVER (), 2) AS DOUBLE) AS percent"
 _PAIRS = reduce(lambda a, b: f"{a} UNION ALL {b}", (f"SELECT '{a}_{b}' AS pair, count(*) FILTER (list_contains(s, '{a}') AND list_contains(s, '{b}')) AS shared FROM x" for a, b in (("train", "test"), ("val", "test"), ("train", "val"))))
 _CERT = "CASE whois WHEN 'valid' THEN CASE tls WHEN 'valid' THEN 'high' ELSE 'medium' END ELSE CASE tls WHEN 'valid' THEN 'partial' ELSE 'unavailable' END END"
@@ -621,6 +653,8 @@ SQL: dict[str, str] = {
         CAST(contains(text, 'ळ') OR list_has_any(regexp_split_to_array(text, '\\s+'), {_in(fixed.MARATHI_WORDS)}) AS INT) AS marathi FROM h""",
     "redaction": f"""WITH m AS ({MESSAGES}), r AS (SELECT msg_id, regexp_replace(text, '\\b[0-9]{{4}}\\s[0-9]{{4}}\\s[0-9]{{4}}\\b', '{fixed.NATIONAL_ID_MASK}', 'g') AS t FROM m)
         SELECT msg_id, sha256(t) AS masked_hash, CAST(contains(t, '{fixed.NATIONAL_ID_MASK}') AS INT) AS masked, sha256(lower(trim(t, ' \t\n\r'))) AS content_hash FROM r""",
+    "entity_packet": f"""WITH {_ENTITIES} SELECT e4.msg_id, coalesce(urls, '') AS urls, coalesce(domains, '') AS domains, array_to_string(upi, '|') AS upi_ids, array_to_string(phones, '|') AS phone_numbers,
+        array_to_string([c FOR c IN codes IF len([p FOR p IN phones IF contains(p, c)]) = 0], '|') AS otp_candidates, array_to_string(amounts, '|') AS amounts, array_to_string([b FOR b IN {_in(fixed.BANK_NAMES)} IF regexp_matches(up, concat('\\b', b, '\\b'))], '|') AS bank_names FROM e4 LEFT JOIN u4 ON u4.msg_id = e4.msg_id""",
     "host_checks": f"""WITH {_SQUAT}, p AS (SELECT page_id, {_HOST} AS host FROM pages), v AS (SELECT p.*, {_VALID} AS validation FROM p)
         SELECT v.page_id, v.host, CAST(validation = 'valid' AS INT) AS is_valid, CASE WHEN validation = 'valid' THEN 'domain' ELSE 'invalid' END AS domain_type, validation, CAST(sq.brand IS NOT NULL AS INT) AS squat, coalesce(sq.brand, '') AS brand,
         CASE stage WHEN 1 THEN concat('Domain contains trusted brand name ''', brand, ''' in suspicious context.') WHEN 2 THEN concat('Domain SLD ''', split_part(v.host, '.', 1), ''' is highly similar to brand ''', brand, ''' (edit distance: ', dist, ').') ELSE 'No typosquatting detected.' END AS squat_reason
@@ -654,6 +688,9 @@ SQL: dict[str, str] = {
     "source_profile": f"WITH {_CORPUS} SELECT source AS source_dataset, count(*) AS rows, CAST(sum(is_scam) AS BIGINT) AS scams, round_even(100 * avg(is_scam), 2) AS percent, round_even(avg(length(text)), 2) AS mean_length, CAST(max(length(text)) AS INT) AS max_length FROM corpus GROUP BY source",
     "corpus_summary": f"WITH {_SPLIT} SELECT coalesce({_WEAK_INTENT}, 'TOTAL') AS head2_scam_intent, count(*) FILTER (language = 'Hindi') AS hindi, count(*) FILTER (language = 'Hinglish') AS hinglish, count(*) AS total, round_even(100 * avg(CAST({_HAS_URL} AS INT)), 1) AS url_percent FROM sp GROUP BY ROLLUP ({_WEAK_INTENT})",
     "hinglish_purity": f"""WITH {_SPLIT}, p AS (SELECT CASE WHEN list_has_any(tok, {_in(fixed.INDIC_CORE_WORDS)}) THEN 'true_indic' WHEN list_has_any(tok, {_in(fixed.AMBIGUOUS_WORDS)}) THEN 'ambiguous' ELSE 'none' END AS purity, count(*) AS n FROM sp WHERE language = 'Hinglish' GROUP BY ALL) SELECT purity, n, {_PERCENT} FROM p""",
+    "template_overlap": f"""WITH {_SPLIT}, k AS (SELECT split, trim({_TEMPLATE}) AS t FROM sp WHERE language IN ('Hindi', 'Hinglish')), o AS (SELECT count(*) AS rows, count(*) FILTER (t IN (SELECT t FROM k WHERE split = 'train')) AS overlapping FROM k WHERE split = 'test')
+        SELECT rows, overlapping, CASE WHEN rows > 0 THEN round_even(100.0::DOUBLE * overlapping / rows, 2) ELSE 0.0 END AS percent FROM o""",
+    "content_flags": f"WITH {_SPLIT} SELECT language, {', '.join(f'count(*) FILTER ({v}) AS {k}' for k, v in _FLAG.items())}, count(*) AS n FROM sp GROUP BY language",
     "threat_funnel": f"""WITH {_UNIQUE}, f AS (SELECT CASE WHEN is_scam = 0 THEN 'ham' WHEN {_any(fixed.THREAT_WORDS_HI, 'text')} THEN 'scam' ELSE 'discarded_marketing' END AS decision, count(*) AS n FROM un WHERE regexp_matches(text, '[ऀ-ॿ]') GROUP BY ALL) SELECT decision, n, {_PERCENT} FROM f""",
     "top_sources": "SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 5",
     "reading_order": f"WITH {_ORDER} SELECT conv_id AS image_id, string_agg(txt, chr(10) ORDER BY line) AS clean_text FROM t GROUP BY conv_id",
