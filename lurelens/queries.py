@@ -91,12 +91,13 @@ _FACET = {f: f"CASE WHEN n_{f} > 0 THEN least(0.95::DOUBLE, n_{f} * 0.45::DOUBLE
 _COUNTS = ", ".join([f"{_sum(w)} AS n_{f}" for f, w in fixed.SOCIAL_WORDS.items()] + [f"{_sum(w)} AS i_{i}" for i, w in fixed.INTENT_WORDS.items()])
 _INTENT_TOTAL = "(" + " + ".join(f"i_{i}" for i in fixed.INTENT_WORDS) + ")"
 _INTENT_MOST = "greatest(" + ", ".join(f"i_{i}" for i in fixed.INTENT_WORDS) + ")"
-_LEXICON = f"""m AS ({MESSAGES}), l AS (SELECT msg_id, source, lower(text) AS low FROM m), c AS (SELECT msg_id, source, {_COUNTS} FROM l),
+_COUNTED = f"""c AS (SELECT msg_id, source, {_COUNTS} FROM l),
     s AS (SELECT *, {", ".join(f"{v} AS s_{f}" for f, v in _FACET.items())}, {_INTENT_MOST} AS most, {_INTENT_TOTAL} AS total FROM c),
     t AS (SELECT *, CASE WHEN most > 0 THEN round_even(1.0::DOUBLE / (total + 1), 3) ELSE 0.9::DOUBLE END AS benign,
         CASE WHEN most = 0 THEN '{fixed.BENIGN}' {" ".join(f"WHEN i_{i} = most THEN '{i}'" for i in fixed.INTENT_WORDS)} END AS intent FROM s),
     r AS (SELECT *, CAST(trunc(greatest({", ".join(f"s_{f}" for f in _FACET)}, 1.0::DOUBLE - benign) * 100) AS INT) AS risk,
         CASE WHEN most = 0 THEN benign ELSE round_even(most::DOUBLE / (total + 1), 3) END AS confidence FROM t)"""
+_LEXICON = f"m AS ({MESSAGES}), l AS (SELECT msg_id, source, lower(text) AS low FROM m), {_COUNTED}"
 _TRIGGERS = "concat_ws('|', " + ", ".join(f"CASE WHEN s_{f} >= 0.5 THEN '{f}' END" for f in _FACET) + ")"
 
 
@@ -166,8 +167,10 @@ def _found(col: str, pattern: str, group: int = 0) -> str:
 
 
 _REPAIRED = reduce(lambda u, pair: f"replace({u}, '{pair[0]}', '{pair[1]}')", fixed.URL_REPAIRS, "u")
-#: Healed and masked texts, URLs of which none is part of a longer or earlier one, and entities.
-_ENTITIES = f"""m AS ({MESSAGES}), e1 AS (SELECT msg_id, {_healed("concat_ws(' ', text, url)")} AS h FROM m), e2 AS (SELECT msg_id, h, regexp_replace(h, '{_dialect(fixed.NATIONAL_ID)}', '{fixed.NATIONAL_ID_MASK}', 'g') AS k FROM e1),
+#: Healed texts.
+_HEALED = f"""m AS ({MESSAGES}), e1 AS (SELECT msg_id, {_healed("concat_ws(' ', text, url)")} AS h FROM m)"""
+#: Masked texts, URLs of which none is part of a longer or earlier one, and entities.
+_FROM_HEALED = f"""e2 AS (SELECT msg_id, h, regexp_replace(h, '{_dialect(fixed.NATIONAL_ID)}', '{fixed.NATIONAL_ID_MASK}', 'g') AS k FROM e1),
     e3 AS (SELECT msg_id, h, k, {_healed("k")} AS w, upper(k) AS up FROM e2), u0 AS (SELECT msg_id, regexp_extract_all(w, '{_dialect(fixed.URL)}') AS l FROM e3),
     u1 AS (SELECT msg_id, i, regexp_replace({_REPAIRED}, '{_dialect(fixed.URL_TAIL)}', '') AS u FROM (SELECT msg_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM u0)), u2 AS (SELECT * FROM u1 WHERE u <> ''),
     u3 AS (SELECT *, regexp_extract(CASE WHEN starts_with(u, 'http') THEN u ELSE concat('http://', u) END, '^[^:/?#]+://([^/?#]*)', 1) AS d FROM u2 a
@@ -187,11 +190,14 @@ def host_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOST = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1)), '[.]+$', ''), '^www[.]', '')"
 _BRANDS = ", ".join(f"({i}, '{b}')" for i, b in enumerate(fixed.BRANDS))
-#: Brand matches of each host, best first.
-_SQUAT = f"""h AS (SELECT DISTINCT {_HOST} AS host FROM pages), hl AS (SELECT host, split_part(host, '.', 1) AS sld FROM h),
+_SKELETON = reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", fixed.LOOK_ALIKES, "sld")
+#: Brand matches of each host of a table h, best first.
+_SQUATTED = f"""hl AS (SELECT host, split_part(host, '.', 1) AS sld FROM h),
     sq AS (SELECT host, arg_min(b, ord) AS brand, arg_min(stage, ord) AS stage, arg_min(dist, ord) AS dist FROM (
         SELECT host, b, 1 AS stage, 0 AS dist, i AS ord FROM hl, (VALUES {_BRANDS}) v(i, b) WHERE contains(sld, b) AND sld <> b
-        UNION ALL SELECT host, b, 2, levenshtein(sld, b), 100 + i FROM hl, (VALUES {_BRANDS}) v(i, b) WHERE levenshtein(sld, b) BETWEEN 1 AND 2) GROUP BY host)"""
+        UNION ALL SELECT host, b, 2, levenshtein(sld, b), 1000 + i FROM hl, (VALUES {_BRANDS}) v(i, b) WHERE levenshtein(sld, b) BETWEEN 1 AND 2
+        UNION ALL SELECT host, b, 3, 0, 2000 + i FROM hl, (VALUES {_BRANDS}) v(i, b) WHERE {_SKELETON} = b AND sld <> b) GROUP BY host)"""
+_SQUAT = f"h AS (SELECT DISTINCT {_HOST} AS host FROM pages), {_SQUATTED}"
 _FAULT = "CASE WHEN x = '' THEN 'empty_label' WHEN length(x) > 63 THEN 'label_too_long' WHEN starts_with(x, '-') OR ends_with(x, '-') THEN 'label_hyphen_boundary' WHEN NOT regexp_full_match(x, '[a-z0-9-]+') THEN 'label_invalid_characters' END"
 _VALID = f"""CASE WHEN host = '' THEN 'empty_domain' WHEN host IN ('localhost', 'local', 'broadcasthost') THEN 'localhost'
     WHEN starts_with(host, '-') OR ends_with(host, '-') THEN 'hyphen_at_boundary' WHEN NOT contains(host, '.') THEN 'missing_tld'
@@ -308,17 +314,18 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGE_LURE = _any(fixed.PAGE_LURES, "url")
-_RISK = f"""{_LEXICON}, {_URL_EVIDENCE}, {_DOMAIN_EVIDENCE},
+_FANNED = f"""{_LEXICON}, {_URL_EVIDENCE}, {_DOMAIN_EVIDENCE},
     pg AS (SELECT url, min(page_id) AS pn FROM pages WHERE page_id % 6 <> 5 GROUP BY url),
     f AS (SELECT r.*, mm.url, ue.msg_id IS NOT NULL AS has_url, coalesce(ue.risk_score, 0) AS url_score, CAST(coalesce(de.risk, 0) AS INT) AS domain_score, ue.brand AS squat_brand, ue.reputation,
         de.whois, de.age AS host_age, de.tls AS host_tls, de.free AS host_free,
         CASE WHEN ue.msg_id IS NULL THEN 'skipped' WHEN pg.pn IS NULL THEN 'hostile_timeout' WHEN pg.pn % 6 = 3 THEN 'initiated' ELSE 'completed' END AS sandbox_status,
         coalesce(pg.pn % 6 = 4 AND {_PAGE_LURE.replace("url", "mm.url")}, false) AS page_asks
-        FROM r JOIN m mm ON mm.msg_id = r.msg_id LEFT JOIN ue ON ue.msg_id = r.msg_id LEFT JOIN de ON de.host = ue.domain LEFT JOIN pg ON pg.url = mm.url),
-    g AS (SELECT *, CASE WHEN NOT has_url THEN risk
+        FROM r JOIN m mm ON mm.msg_id = r.msg_id LEFT JOIN ue ON ue.msg_id = r.msg_id LEFT JOIN de ON de.host = ue.domain LEFT JOIN pg ON pg.url = mm.url)"""
+_TOTAL = f"""g AS (SELECT *, CASE WHEN NOT has_url THEN risk
         WHEN sandbox_status = 'hostile_timeout' THEN CAST(trunc(risk * (40.0::DOUBLE / 85) + url_score * (25.0::DOUBLE / 85) + domain_score * (20.0::DOUBLE / 85)) AS INT) + 6
         ELSE CAST(trunc(risk * 0.4::DOUBLE + url_score * 0.25::DOUBLE + domain_score * 0.2::DOUBLE + (CASE WHEN page_asks THEN 100 ELSE 0 END) * 0.15::DOUBLE) AS INT) END AS raw FROM f),
     o AS (SELECT *, CAST(least(100, greatest(0, raw)) AS INT) AS final, CASE WHEN raw <= 30 THEN 'Safe' WHEN raw <= 60 THEN 'Suspicious' ELSE 'High Risk' END AS category FROM g)"""
+_RISK = f"{_FANNED}, {_TOTAL}"
 
 
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,12 +364,27 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan from raw messages: healing, entities, all tracks, score; extraction keeps it from SQL."""
+    """The whole plan from raw messages: healing, entities, all tracks, score."""
     own = _messages(spark, sf_dir).select("msg_id", F.concat_ws(" ", "text", "url").alias("text"))
     out = scan.score_messages(own, _snapshots(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
     return out.select("msg_id", F.size("urls").alias("n_urls"), "risk_score", "risk_category", F.sha2("explanations.en", 256).alias("narrative"))
 
 
+_WITH_SCHEME = "CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN u ELSE concat('http://', u) END"
+#: All URLs that healed texts hold, with their evidence, and what of it each message's score and explanation ask for.
+_SCANNED = f"""{_HEALED.replace("e1 AS", "e0 AS")}, e1 AS (SELECT msg_id, trim(regexp_replace(h, '{_dialect(fixed.SPACE)}+', ' ', 'g')) AS normalized, {_healed("h")} AS h FROM e0), {_FROM_HEALED},
+    l AS (SELECT msg_id, '' AS source, lower(normalized) AS low FROM e1), {_COUNTED}, {_REPUTATION}, {_DOMAIN_EVIDENCE},
+    u5 AS (SELECT msg_id, u, row_number() OVER (PARTITION BY msg_id ORDER BY -length(u), i) AS pos, {_HOST.replace("(url,", f"({_WITH_SCHEME},")} AS host FROM u3), h AS (SELECT DISTINCT host FROM u5), {_SQUATTED},
+    u6 AS (SELECT u5.*, sq.brand, CASE WHEN n % 11 <> 0 THEN n % 5 END AS mal, n % 4 AS sus FROM u5 LEFT JOIN rep ON rep.url = u5.u LEFT JOIN sq ON sq.host = u5.host),
+    by_url AS (SELECT msg_id, count(*) AS n_urls, max(least(100, CASE WHEN brand IS NOT NULL THEN 60 ELSE 0 END + least(40, coalesce(mal, 0) * 15))) AS url_score, arg_min(brand, pos) FILTER (brand IS NOT NULL) AS squat_brand, max(CASE WHEN mal >= 2 THEN 'malicious' END) AS reputation, arg_min(u, pos) AS url FROM u6 GROUP BY msg_id),
+    by_host AS (SELECT msg_id, max(risk) AS domain_score, bool_or(whois = 'valid' AND age < 30) AS recent, bool_or(whois = 'valid' AND age < 30 AND free = 1) AS free, bool_or(tls IN ('expired', 'self_signed')) AS bad FROM (SELECT DISTINCT msg_id, host FROM u5) d JOIN de USING (host) GROUP BY msg_id),
+    pg AS (SELECT url, min(page_id) AS pn FROM pages WHERE page_id % 6 <> 5 GROUP BY url),
+    f AS (SELECT r.*, coalesce(by_url.n_urls, 0) AS n_urls, by_url.url, by_url.url IS NOT NULL AS has_url, coalesce(by_url.url_score, 0) AS url_score, CAST(coalesce(by_host.domain_score, 0) AS INT) AS domain_score, squat_brand, reputation,
+        CASE WHEN recent THEN 'valid' END AS whois, CASE WHEN recent THEN 0 END AS host_age, CASE WHEN bad THEN 'expired' END AS host_tls, CASE WHEN free THEN 1 ELSE 0 END AS host_free,
+        CASE WHEN by_url.url IS NULL THEN 'skipped' WHEN pg.pn IS NULL THEN 'hostile_timeout' WHEN pg.pn % 6 = 3 THEN 'initiated' ELSE 'completed' END AS sandbox_status, coalesce(pg.pn % 6 = 4 AND {_PAGE_LURE.replace("url", "pg.url")}, false) AS page_asks
+        FROM r LEFT JOIN by_url ON by_url.msg_id = r.msg_id LEFT JOIN by_host ON by_host.msg_id = r.msg_id LEFT JOIN pg ON pg.url = by_url.url), {_TOTAL}"""
+
+
 # --- addresses ----------------------------------------------------------------
 
 
@@ -653,7 +675,7 @@ SQL: dict[str, str] = {
         CAST(contains(text, 'ळ') OR list_has_any(regexp_split_to_array(text, '\\s+'), {_in(fixed.MARATHI_WORDS)}) AS INT) AS marathi FROM h""",
     "redaction": f"""WITH m AS ({MESSAGES}), r AS (SELECT msg_id, regexp_replace(text, '\\b[0-9]{{4}}\\s[0-9]{{4}}\\s[0-9]{{4}}\\b', '{fixed.NATIONAL_ID_MASK}', 'g') AS t FROM m)
         SELECT msg_id, sha256(t) AS masked_hash, CAST(contains(t, '{fixed.NATIONAL_ID_MASK}') AS INT) AS masked, sha256(lower(trim(t, ' \t\n\r'))) AS content_hash FROM r""",
-    "entity_packet": f"""WITH {_ENTITIES} SELECT e4.msg_id, coalesce(urls, '') AS urls, coalesce(domains, '') AS domains, array_to_string(upi, '|') AS upi_ids, array_to_string(phones, '|') AS phone_numbers,
+    "entity_packet": f"""WITH {_HEALED}, {_FROM_HEALED} SELECT e4.msg_id, coalesce(urls, '') AS urls, coalesce(domains, '') AS domains, array_to_string(upi, '|') AS upi_ids, array_to_string(phones, '|') AS phone_numbers,
         array_to_string([c FOR c IN codes IF len([p FOR p IN phones IF contains(p, c)]) = 0], '|') AS otp_candidates, array_to_string(amounts, '|') AS amounts, array_to_string([b FOR b IN {_in(fixed.BANK_NAMES)} IF regexp_matches(up, concat('\\b', b, '\\b'))], '|') AS bank_names FROM e4 LEFT JOIN u4 ON u4.msg_id = e4.msg_id""",
     "host_checks": f"""WITH {_SQUAT}, p AS (SELECT page_id, {_HOST} AS host FROM pages), v AS (SELECT p.*, {_VALID} AS validation FROM p)
         SELECT v.page_id, v.host, CAST(validation = 'valid' AS INT) AS is_valid, CASE WHEN validation = 'valid' THEN 'domain' ELSE 'invalid' END AS domain_type, validation, CAST(sq.brand IS NOT NULL AS INT) AS squat, coalesce(sq.brand, '') AS brand,
@@ -669,6 +691,7 @@ SQL: dict[str, str] = {
     "diagnostics": f"""WITH {_RISK} SELECT msg_id, CASE WHEN final > 60 THEN 'HIGH' WHEN final > 30 THEN 'SUSPICIOUS' ELSE 'LOW' END AS level,
         CASE WHEN NOT has_url THEN 'skipped' WHEN url_score > 50 THEN 'warn' ELSE 'nominal' END AS url_status, CASE WHEN NOT has_url THEN 'skipped' WHEN domain_score > 50 THEN 'warn' ELSE 'nominal' END AS domain_status,
         CAST(coalesce(reputation = 'malicious', false) AS INT) AS reputation_hits, CAST(squat_brand IS NOT NULL AS INT) AS any_typosquat, confidence, {_TRIGGERS} AS triggers FROM o""",
+    "full_scan": f"WITH {_SCANNED} SELECT msg_id, CAST(n_urls AS INT) AS n_urls, final AS risk_score, category AS risk_category, sha256({_narrative_sql('en')}) AS narrative FROM o",
     "ip_safety": f"SELECT event_id, {_ADDRESS} AS ip, concat('00000000000000000000ffff', printf('%08x', {_NUMBER})) AS key, CAST(NOT {_unsafe_sql(_NUMBER)} AS INT) AS safe FROM events",
     "egress_audit": f"""WITH e AS (SELECT event_id, user_id, {_ADDRESS} AS ip, {_unsafe_sql(_NUMBER)} AS unsafe FROM events), p AS (SELECT user_id, arg_min(ip, event_id) AS pin FROM e GROUP BY user_id)
         SELECT CASE WHEN event_id % 17 = 0 THEN 'missing_peer' WHEN event_id % 19 = 0 THEN 'malformed_peer' WHEN unsafe THEN 'unsafe_peer' WHEN ip <> pin THEN 'peer_mismatch' ELSE 'allowed' END AS outcome, count(*) AS n, min(event_id) AS first_event FROM e JOIN p USING (user_id) GROUP BY ALL""",
