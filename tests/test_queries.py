@@ -35,3 +35,21 @@ def plain(df):
 def test_matches_sql(spark, con, name):
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.sql(queries.SQL[name]).df()
     pd.testing.assert_frame_equal(plain(got), plain(want))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_word_errors_match_brute_force(spark, con):
+    turns = con.sql("SELECT concat(conv_id, '-', turn) AS filename, text, replace(text, 'e', '') AS seen, (conv_id + turn) % 7 <> 0 AS ok FROM conversations").fetchall()
+    got = {r.filename: r.wer for r in queries.recognition_words(spark, DIR).collect()}
+    assert len(got) == len(turns)
+    for name, text, seen, ok in turns:
+        want = round(edits(text.split(), seen.split()) / len(text.split()), 6) if ok else None
+        assert got[name] == want or abs(got[name] - want) < 1e-6
