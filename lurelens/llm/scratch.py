@@ -2,34 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..scratch import Scratch, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables under one new folder; a table cuts the lineage and survives the loss of executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]
