@@ -179,6 +179,19 @@ _FROM_HEALED = f"""e2 AS (SELECT msg_id, h, regexp_replace(h, '{_dialect(fixed.N
     e4 AS (SELECT *, {_found("k", fixed.UPI_ID)} AS upi, {_found("k", fixed.PHONE)} AS phones, {_found("k", fixed.CODE)} AS codes, {_found("k", fixed.AMOUNT, 1)} AS amounts FROM e3)"""
 
 
+def threat_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points for urgency and authority words and for each entity of a message."""
+    found = text.with_entities(_messages(spark, sf_dir), F.concat_ws(" ", "text", "url"), "e")
+    return found.select("msg_id", labels.threat_density(F.concat_ws(" ", "text", "url"), F.col("e")).alias("density"))
+
+
+def shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with chat shorthand written out; a word of it is put behind each, so that there is some."""
+    turns = _table(spark, sf_dir, "conversations")
+    told = F.concat_ws(" ", "text", F.element_at(text.words_array(list(fixed.SHORTHAND)), (F.col("turn") % len(fixed.SHORTHAND) + 1).cast("int")))
+    return turns.select("conv_id", "turn", F.sha2(text.expand_shorthand(told), 256).alias("expanded"))
+
+
 # --- hosts, reputation, registration, certificates, pages --------------------
 
 
@@ -482,6 +495,26 @@ _BUILT = f"""{_CORPUS}, both_ AS (SELECT 0 AS src, msg_id AS ord, text, 'message
     un AS (SELECT concat('real_', lpad(CAST(row_number() OVER (ORDER BY src, ord) AS VARCHAR), 6, '0')) AS msg_id, text, source, is_scam FROM first_)"""
 
 
+def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of fifty messages of a class in the order of their ids."""
+    return corpus.group_label(_corpus(spark, sf_dir), "is_scam", ["row_ord"], "group_").select(F.col("row_ord").alias("msg_id"), "is_scam", "split_group")
+
+
+def class_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven messages of each source in a reproducible random order."""
+    return corpus.seeded_sample(_corpus(spark, sf_dir).select("row_ord", "source_dataset"), "source_dataset", 7, "row_ord").select(F.col("row_ord").alias("msg_id"), F.col("source_dataset").alias("source"))
+
+
+def usable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by role whose text is long enough and not the name of a missing value."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 9 == 0, " NaN ").otherwise(F.col("text")))
+    return corpus.drop_null_like(turns, 3).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.integrity(_records(spark, sf_dir), 50.0).withColumn("passed", F.col("passed").cast("int"))
+
+
 def split_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.split_matrix(_records(spark, sf_dir))
 
@@ -633,6 +666,11 @@ _MISSES = """e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS
     f AS (SELECT e.user_id, e.s, min(e.event_id) AS event_id FROM e JOIN r ON r.user_id = e.user_id AND r.s = e.s GROUP BY ALL)"""
 
 
+def scan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id that a scan of each event would have."""
+    return _table(spark, sf_dir, "events").select("event_id", scoring.scan_id(F.col("event_id"), F.col("ts")).alias("scan_id"))
+
+
 def two_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as logits of two heads: five facets and six intents."""
     facets, intents = list(fixed.SOCIAL_WORDS), [*fixed.INTENT_WORDS, fixed.BENIGN]
@@ -648,11 +686,11 @@ _HEADS = "e AS (SELECT vec_id, [x::DOUBLE * 4 FOR x IN embedding] AS v FROM embe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lexicon_risk, risk_by_category, weak_labels, rank_words, language_id, redaction, entity_packet, host_checks, url_evidence,
+        lexicon_risk, risk_by_category, weak_labels, rank_words, language_id, redaction, entity_packet, threat_density, shorthand, host_checks, url_evidence,
         domain_evidence, html_signals, risk_score, narrative, diagnostics, full_scan, ip_safety, egress_audit, preflight, dedup,
-        record_ids, stratified_split, training_corpus, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
+        record_ids, group_labels, class_sample, usable_turns, integrity_report, stratified_split, training_corpus, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
         source_profile, corpus_summary, hinglish_purity, template_overlap, content_flags, threat_funnel, top_sources, block_merge,
-        reading_order, block_statistics, recognition_metrics, recognition_words, cache_lookup, cache_misses, two_heads,
+        reading_order, block_statistics, recognition_metrics, recognition_words, cache_lookup, cache_misses, scan_ids, two_heads,
     )
 }
 
@@ -677,6 +715,19 @@ SQL: dict[str, str] = {
         SELECT msg_id, sha256(t) AS masked_hash, CAST(contains(t, '{fixed.NATIONAL_ID_MASK}') AS INT) AS masked, sha256(lower(trim(t, ' \t\n\r'))) AS content_hash FROM r""",
     "entity_packet": f"""WITH {_HEALED}, {_FROM_HEALED} SELECT e4.msg_id, coalesce(urls, '') AS urls, coalesce(domains, '') AS domains, array_to_string(upi, '|') AS upi_ids, array_to_string(phones, '|') AS phone_numbers,
         array_to_string([c FOR c IN codes IF len([p FOR p IN phones IF contains(p, c)]) = 0], '|') AS otp_candidates, array_to_string(amounts, '|') AS amounts, array_to_string([b FOR b IN {_in(fixed.BANK_NAMES)} IF regexp_matches(up, concat('\\b', b, '\\b'))], '|') AS bank_names FROM e4 LEFT JOIN u4 ON u4.msg_id = e4.msg_id""",
+    "threat_density": f"""WITH {_HEALED}, {_FROM_HEALED}, n AS (SELECT msg_id, count(*) AS n FROM u3 GROUP BY msg_id), low AS (SELECT msg_id, lower(concat_ws(' ', text, url)) AS low FROM m)
+        SELECT e4.msg_id, CAST(2 * {_sum(fixed.RANK_URGENCY)} + 2 * {_sum(fixed.RANK_AUTHORITY)} + 3 * coalesce(n.n, 0) + 3 * len(upi) + 2 * len(phones) + 2 * len(amounts) AS INT) AS density FROM e4 JOIN low ON low.msg_id = e4.msg_id LEFT JOIN n ON n.msg_id = e4.msg_id""",
+    "shorthand": f"""WITH w AS (SELECT conv_id, turn, [x FOR x IN regexp_split_to_array(concat_ws(' ', text, {_in(list(fixed.SHORTHAND))}[turn % {len(fixed.SHORTHAND)} + 1]), '\\s+') IF x <> ''] AS words FROM conversations)
+        SELECT conv_id, turn, sha256(array_to_string([coalesce({_in(list(fixed.SHORTHAND.values()))}[list_position({_in(list(fixed.SHORTHAND))}, lower(x))], x) FOR x IN words], ' ')) AS expanded FROM w""",
+    "group_labels": f"WITH {_CORPUS} SELECT msg_id, is_scam, concat('group_', is_scam, '_', CAST(floor((row_number() OVER (PARTITION BY is_scam ORDER BY msg_id) - 1) / 50) AS BIGINT)) AS split_group FROM corpus",
+    "class_sample": f"WITH {_CORPUS} SELECT msg_id, source FROM corpus QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(concat('42:', msg_id))) <= 7",
+    "usable_turns": """WITH t AS (SELECT role, trim(CASE WHEN turn % 9 = 0 THEN ' NaN ' ELSE text END, ' \t\n\r') AS text FROM conversations)
+        SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM t WHERE length(text) >= 3 AND lower(text) <> 'nan' GROUP BY role""",
+    "integrity_report": f"""WITH {_SPLIT}, k AS (SELECT split, trim({_TEMPLATE}) AS t FROM sp WHERE language IN ('Hindi', 'Hinglish')), x AS (SELECT list(DISTINCT split) AS s FROM sp GROUP BY trim(text, ' \t\n\r')),
+        v AS (SELECT 'synthetic_outside_train' AS "check", 0.0::DOUBLE AS value, 0.0::DOUBLE AS lim UNION ALL SELECT 'unmasked_ids', coalesce(sum(len(regexp_extract_all(text, '\\b[0-9]{{4}}\\s[0-9]{{4}}\\s[0-9]{{4}}\\b'))), 0)::DOUBLE, 0 FROM sp
+        UNION ALL SELECT concat('shared_texts_', pair), shared::DOUBLE, 0 FROM ({_PAIRS})
+        UNION ALL SELECT 'template_percent', CASE WHEN count(*) > 0 THEN round_even(100.0::DOUBLE * count(*) FILTER (t IN (SELECT t FROM k WHERE split = 'train')) / count(*), 2) ELSE 0.0 END, 50 FROM k WHERE split = 'test')
+        SELECT "check", value, lim AS "limit", CAST(value <= lim AS INT) AS passed FROM v""",
     "host_checks": f"""WITH {_SQUAT}, p AS (SELECT page_id, {_HOST} AS host FROM pages), v AS (SELECT p.*, {_VALID} AS validation FROM p)
         SELECT v.page_id, v.host, CAST(validation = 'valid' AS INT) AS is_valid, CASE WHEN validation = 'valid' THEN 'domain' ELSE 'invalid' END AS domain_type, validation, CAST(sq.brand IS NOT NULL AS INT) AS squat, coalesce(sq.brand, '') AS brand,
         CASE stage WHEN 1 THEN concat('Domain contains trusted brand name ''', brand, ''' in suspicious context.') WHEN 2 THEN concat('Domain SLD ''', split_part(v.host, '.', 1), ''' is highly similar to brand ''', brand, ''' (edit distance: ', dist, ').') ELSE 'No typosquatting detected.' END AS squat_reason
@@ -726,6 +777,7 @@ SQL: dict[str, str] = {
     "cache_lookup": """SELECT a.event_id AS msg_id, coalesce(arg_max(b.event_id, (b.ts, b.event_id)), -1) AS hit_id FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_id % 3 <> 0 AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 24 HOUR
         WHERE a.event_id % 3 = 0 GROUP BY a.event_id""",
     "cache_misses": f"WITH RECURSIVE {_MISSES} SELECT e.event_id AS request_id, CASE WHEN f.event_id IS NULL THEN 1 ELSE 0 END AS hit FROM e LEFT JOIN f ON f.event_id = e.event_id",
+    "scan_ids": "SELECT event_id, concat('scam_', year(ts), '_', substr(sha256(CAST(event_id AS VARCHAR)), 1, 12)) AS scan_id FROM events",
     "two_heads": f"""WITH {_HEADS} SELECT vec_id, CAST(list_position(w, list_max(w)) <> {len(_INTENT_NAMES)} AS INT) AS is_scam, {_in(_INTENT_NAMES)}[list_position(w, list_max(w))] AS intent,
         concat_ws('|', {", ".join(f"CASE WHEN 1 / (1 + exp(-v[{i + 1}])) >= {0.6 if f == 'urgency' else 0.5} THEN '{f}' END" for i, f in enumerate(_FACET_NAMES))}) AS triggers FROM h""",
 }
