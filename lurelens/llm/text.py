@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once; numpy's helper arrays are some 60 times as large.
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at once, and bytes whose words are hashed at once; numpy's helper arrays are some 50 times as large as these.
+SLICE_BYTES, CHUNK_BYTES = 2 << 20, 1 << 18
 
 _SEED = 20240607
 _TABLE = np.random.default_rng(_SEED).integers(0, 2**64, 256, dtype=np.uint64)
@@ -114,13 +114,18 @@ class Words:
         return len(self.starts)
 
     def hashes(self, fold: bool = True) -> np.ndarray:
-        """One hash per word; ``fold`` treats A-Z as a-z."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _BYTE_POWERS.get(len(self.bytes))
-        run = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((_FOLDED if fold else _TABLE)[self.bytes] * up, out=run[1:])
-        return mix((run[self.ends] - run[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """One hash per word; ``fold`` treats A-Z as a-z.  Bytes are taken in chunks of whole words, so helper arrays stay small."""
+        table, out, i = _FOLDED if fold else _TABLE, np.empty(len(self.starts), np.uint64), 0
+        while i < len(self.starts):
+            begin = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, begin + CHUNK_BYTES, "right")))
+            a, z = self.starts[i:j] - begin, self.ends[i:j] - begin
+            up, down = _BYTE_POWERS.get(int(z[-1]))
+            run = np.zeros(len(up) + 1, np.uint64)
+            np.cumsum(table[self.bytes[begin : self.ends[j - 1]]] * up, out=run[1:])
+            out[i:j] = mix((run[z] - run[a]) * down[a] + (z - a).astype(np.uint64))
+            i = j
+        return out
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

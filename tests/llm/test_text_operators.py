@@ -48,6 +48,9 @@ def test_hashes_follow_words():
     assert len(h) == len(want)
     assert len(set(zip(want, h.tolist(), strict=True))) == len(set(want)) == len(set(h.tolist()))
     assert grams(h[:2], 2)[0] == grams(h[3:5], 2)[0]
+    rng = random.Random(1)
+    long = [" ".join("".join(rng.choice("aBcé") for _ in range(rng.randrange(1, 9))) for _ in range(60_000)), "x" * 700_000 + " y", "z"]
+    assert Words(pa.array(long)).hashes().tolist() == [int(Words(pa.array([w])).hashes()[0]) for t in long for w in t.split(" ")]
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", "c" * 9, None, "d"])], ["text"])
     assert [s.num_rows for s in slices(batch, limit=3)] == [1, 1, 2]
 
