@@ -32,7 +32,7 @@ from .scratch import Scratch
 from .text import NOT_SPACE, slices
 
 #: Cached words per Python worker; the cache starts anew beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Pieces of one length that are numbered in one task.
 RANK_ROWS = 100_000
 
