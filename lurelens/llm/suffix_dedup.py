@@ -45,9 +45,9 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 from .text import BitTable, Words, grams, mix, slices
 
-LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 20_000, 32
+LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 4096, 32
 #: Suffixes that are compared at once, about; a gram's part is never cut.
-BATCH = 16_384
+BATCH = 8192
 
 _SUFFIX = "gram long, salt int, doc long, no_id boolean, row long, place int, first int, words binary"
 _FOUND = "kind int, no_id boolean, doc long, row long, first int, last int, lead boolean, gram long, salt int, context long, n int, windows binary"
