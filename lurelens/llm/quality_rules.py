@@ -203,7 +203,9 @@ def _judged(docs: DataFrame, carry: tuple[str, ...], least_words: int = 50, cuto
     sizes = scratch.save(sizes, "sizes")
     small = F.coalesce(F.col("_size"), F.lit(0)) < least_rows
     stats = stats.join(sizes, "_group", "left").withColumn("_group", F.when(small, F.concat(F.col("_wide"), F.lit("\x1fsmall groups"))).otherwise(F.col("_group")))
-    fit = robust_fit(stats.filter(~F.col("base_failed")).select("_group", *STATS), scratch, alpha)
+    # Each step reads these few columns again.
+    vectors = scratch.save(stats.filter(~F.col("base_failed")).select("_group", *STATS), "vectors")
+    fit = robust_fit(vectors, scratch, alpha)
     judged = _distance(stats, fit).withColumn("distance2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return judged.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
