@@ -33,6 +33,8 @@ from .text import NOT_SPACE, slices
 
 #: Cached words per Python worker; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
+#: Bytes of text handled at once: each word is an object for a moment.
+SLICE_BYTES = 1 << 19
 #: Pieces of one length that are numbered in one task.
 RANK_ROWS = 100_000
 
@@ -130,7 +132,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 out: list[tuple] = []
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 for doc, data in zip(part.column(0).to_pylist(), ids(texts), strict=True):
