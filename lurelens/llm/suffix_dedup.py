@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 from .text import BitTable, Words, grams, mix, slices
 
-LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 4096, 32
+LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 20_000, 32
 #: Suffixes that are compared at once, about; a gram's part is never cut.
 BATCH = 8192
 
@@ -303,7 +303,7 @@ def _spans(least_words: int):
 
 
 def _across(found: DataFrame) -> DataFrame:
-    """Marks of suffixes that were dealt out: windows are counted over all parts by what each part tells of them."""
+    """Runs of marks of suffixes that were dealt out: windows are counted over all parts by what each part tells of them."""
     first = F.struct("no_id", "doc", "row", F.col("first").alias("place"))
     told = found.filter("kind = 2").select("gram", "salt", "context", "n", first.alias("first"), "last", "windows")
     # The windows of a suffix, from its leftmost: k is the place among them, so last - k words stand before the minimiser.
@@ -314,10 +314,13 @@ def _across(found: DataFrame) -> DataFrame:
     met = told.join(total, ["gram", "before", "window"]).select("gram", "salt", "context", "before", "least")
     island = F.col("before") - F.row_number().over(Window.partitionBy("gram", "salt", "context", "least").orderBy("before"))
     runs = met.withColumn("island", island).groupBy("gram", "salt", "context", "least", "island").agg(F.min("before").alias("low"), F.max("before").alias("high"))
+    # A row for each surroundings, so a suffix meets one; it has at most as many runs as windows.
+    runs = runs.groupBy("gram", "salt", "context").agg(F.collect_list(F.struct("least", "low", "high")).alias("told"))
     members = found.filter("kind = 1").select("gram", "salt", "context", "no_id", "doc", "row", F.col("first").alias("place"))
-    marks = members.join(runs.select("gram", "salt", "context", "least", "low", "high"), ["gram", "salt", "context"])
-    lead = F.struct("no_id", "doc", "row", "place") == F.col("least")
-    return marks.select("no_id", "doc", "row", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"), lead.alias("lead"))
+    marks = members.join(runs, ["gram", "salt", "context"])
+    own = F.struct("no_id", "doc", "row", "place")
+    told = F.transform("told", lambda r: F.struct((F.col("place") - r["high"]).alias("first"), (F.col("place") - r["low"]).alias("last"), (own == r["least"]).alias("lead")))
+    return marks.select("no_id", "doc", "row", told.alias("runs"))
 
 
 def _spans_of_rows(frame: DataFrame, least_words: int, gram: int, hot: int) -> DataFrame:
@@ -337,10 +340,10 @@ def _spans_of_rows(frame: DataFrame, least_words: int, gram: int, hot: int) -> D
     suffixes = frame.select("doc", "row", "text").mapInArrow(_ship(least_words, gram, spark.sparkContext.broadcast(tables)), _SUFFIX)
     found = suffixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_compare(least_words, gram), _FOUND)
     found = scratch.save(found, "found")
-    marks = found.filter("kind = 0").select("no_id", "doc", "row", "first", "last", "lead")
+    marks = found.filter("kind = 0").select("no_id", "doc", "row", F.array(F.struct("first", "last", "lead")).alias("runs"))
     if len(tables) > 1:
         marks = marks.union(_across(found))
-    runs = marks.groupBy(F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "row").agg(F.collect_list(F.struct("first", "last", "lead")).alias("runs"))
+    runs = marks.groupBy(F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return runs.mapInArrow(_spans(least_words), "doc_id long, row long, first_word long, end_word long, is_first boolean")
 
 
