@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import spread
-from . import decontaminate, jaccard_join, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
+from . import conversations, decontaminate, jaccard_join, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
 from .scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages conversations and repairs them."""
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+def _edited(way: str, cost: str, letters: str) -> str:
+    """A way, its cost in eight digits and its audit, with an edit more; null stays null."""
+    return f"(lpad(CAST(CAST(left({way}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({way}, 9) || '{letters}')"
+
+
+def _entered(cost: str, letter: str) -> tuple[str, str]:
+    """The least ways to a user's and to an assistant's turn from the states i0 to i3."""
+    return ", ".join(_edited(f"i{k}", cost, letter) for k in (0, 1, 3)), _edited("i2", cost, letter)
+
+
+#: States before a row, with the turns that may be inserted there.
+_INSERTED = f"""s0 AS i0, s1 AS i1, least(s2, {_edited("s0", "2", "I")}, {_edited("s1", "2", "I")}, {_edited("s3", "2", "I")}) AS i2,
+                least(s3, {_edited("s2", "2", "I")}, {_edited("s0", "4", "II")}, {_edited("s1", "4", "II")}) AS i3"""
+_KEPT, _REROLED = _entered("cut", "K"), _entered("2 + cut", "R")
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +102,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_quality_rules,
         op10_decontamination,
+        op13_conversation_repair,
     )
 }
 
@@ -111,4 +132,52 @@ SQL: dict[str, str] = {
         r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""",
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE
+        t AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+        c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                    lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]))) % 20 AS code
+            FROM conversations, t),
+        d AS (
+            SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM c),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS pos FROM d),
+        f AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS former,
+                NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open
+            FROM o),
+        w AS (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND open THEN 1 ELSE 0 END AS cut FROM f),
+        i AS (SELECT DISTINCT conv_id FROM conversations),
+        r AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS pos, '00000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM i
+            UNION ALL
+            SELECT conv_id, pos, {_edited("i0", "3", "D")},
+                least({_edited("i1", "3", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_edited("i0", "cut", "K")} END),
+                least({_edited("i2", "3", "D")}, CASE WHEN NOT gone AND initial = 'u' THEN least({_KEPT[0]}) END, CASE WHEN NOT gone THEN least({_REROLED[0]}) END),
+                least({_edited("i3", "3", "D")}, CASE WHEN NOT gone AND initial = 'a' THEN {_KEPT[1]} END, CASE WHEN NOT gone THEN {_REROLED[1]} END)
+            FROM (SELECT w.conv_id, w.pos, w.initial, w.gone, w.cut, {_INSERTED} FROM r JOIN w ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.pos = r.pos + 1) x),
+        l AS (SELECT conv_id, max(pos) AS last FROM r GROUP BY conv_id),
+        e AS (
+            SELECT conv_id, least(i0, i3) AS way
+            FROM (SELECT r.conv_id, {_INSERTED} FROM r JOIN l ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.last = r.pos) x),
+        a AS (SELECT conv_id, CAST(left(way, 8) AS BIGINT) AS cost, substr(way, 9) AS audit, length(replace(substr(way, 9), 'D', '')) % 2 AS opening FROM e),
+        j AS (SELECT conv_id, audit, opening, unnest(range(1, length(audit) + 1)) AS k FROM a),
+        g AS (SELECT conv_id, opening, k, audit[k] AS edit, length(replace(left(audit, k), 'I', '')) AS pos, length(replace(left(audit, k), 'D', '')) AS place FROM j),
+        h AS (
+            SELECT g.conv_id, string_agg(
+                CASE edit WHEN 'K' THEN w.role ELSE CASE (place + opening) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE w.text END,
+                chr(10) ORDER BY k) AS text
+            FROM g LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.pos = g.pos WHERE edit <> 'D' GROUP BY g.conv_id),
+        n AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut) AS truncated,
+                count(*) FILTER (former || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM w GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal,
+            cost, audit, sha256(coalesce(h.text, '')) AS repaired_sha256
+        FROM a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
