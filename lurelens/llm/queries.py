@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import spread
-from . import conversations, decontaminate, jaccard_join, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
+from . import conversations, decontaminate, jaccard_join, language_id, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
 from .scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,11 +69,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages conversations and repairs them."""
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
 
 
+#: The table of the CRC-32 checksum as a list, and the checksum of an ASCII string by a column ``crc`` that holds it.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+
+def _crc(text: str) -> str:
+    places = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || {places}, lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])))"
+
+
 def _edited(way: str, cost: str, letters: str) -> str:
     """A way, its cost in eight digits and its audit, with an edit more; null stays null."""
     return f"(lpad(CAST(CAST(left({way}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({way}, 9) || '{letters}')"
@@ -102,6 +115,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_quality_rules,
         op10_decontamination,
+        op11_rank_order_language,
         op13_conversation_repair,
     )
 }
@@ -132,13 +146,30 @@ SQL: dict[str, str] = {
         r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""",
+    "op11_rank_order_language": f"""
+        WITH t AS (SELECT {_CRC_TABLE} AS crc),
+        d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_crc("CAST(doc_id AS VARCHAR)")} % 4 = 2 AS held_out FROM documents, t),
+        w AS (SELECT doc_id, unnest([x FOR x IN string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g'), ' ') IF x <> '']) AS w FROM d),
+        p AS (SELECT doc_id, ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY ALL),
+        s AS (SELECT doc_id, n, unnest(flatten([[substr(p, i, k) FOR i IN range(1, length(p) - k + 2)] FOR k IN range(1, 4)])) AS g FROM p),
+        g AS (SELECT doc_id, g, sum(n) AS n FROM s WHERE g <> ' ' GROUP BY ALL),
+        l AS (SELECT lang, g, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+        f AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS place FROM l QUALIFY place <= 400),
+        r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) AS place FROM g QUALIFY place <= 400),
+        m AS (SELECT doc_id, 400 * count(*) AS most FROM r GROUP BY doc_id),
+        h AS (SELECT doc_id, lang, sum(400 - abs(f.place - r.place)) AS saved FROM r JOIN f USING (g) GROUP BY ALL),
+        c AS (
+            SELECT doc_id, lang, most, CAST(most - coalesce(saved, 0) AS BIGINT) AS distance
+            FROM m JOIN (SELECT DISTINCT lang FROM f) x ON true JOIN (SELECT doc_id FROM d WHERE regexp_matches(text, '\\p{{L}}')) y USING (doc_id) LEFT JOIN h USING (doc_id, lang)),
+        b AS (SELECT doc_id, lang, most, distance FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+        SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - distance / most, 0.0) AS score, distance
+        FROM d LEFT JOIN b USING (doc_id)""",
     "op13_conversation_repair": f"""
         WITH RECURSIVE
-        t AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+        t AS (SELECT {_CRC_TABLE} AS crc),
         c AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-                xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
-                    lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]))) % 20 AS code
+                {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
             FROM conversations, t),
         d AS (
             SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
