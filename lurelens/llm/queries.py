@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import spread
-from . import conversations, decontaminate, jaccard_join, language_id, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
+from . import collocations, conversations, decontaminate, jaccard_join, language_id, language_model, license_scan, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
 from .scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,6 +73,10 @@ def op11_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages conversations and repairs them."""
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
@@ -116,6 +120,7 @@ QUERIES = {
         op9_quality_rules,
         op10_decontamination,
         op11_rank_order_language,
+        op12_collocations,
         op13_conversation_repair,
     )
 }
@@ -164,6 +169,25 @@ SQL: dict[str, str] = {
         b AS (SELECT doc_id, lang, most, distance FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
         SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - distance / most, 0.0) AS score, distance
         FROM d LEFT JOIN b USING (doc_id)""",
+    "op12_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM p),
+        n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, unnest(flatten([[array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 6)])) AS g FROM w),
+        f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, g, a, string_split(g, ' ') AS w FROM f WHERE contains(g, ' ')),
+        k AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
+        s AS (
+            SELECT k.lang, k.g, k.a, k.k, x.a AS l, y.a AS r, n.n, (CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+            FROM k JOIN n ON n.lang = k.lang
+            JOIN f x ON x.lang = k.lang AND x.g = array_to_string(k.w[1:k.k], ' ')
+            JOIN f y ON y.lang = k.lang AND y.g = array_to_string(k.w[k.k + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        i AS (SELECT DISTINCT c.lang, c.g FROM c JOIN c z ON z.lang = c.lang AND len(z.w) > len(c.w) AND 100 * z.a >= 100 * c.a AND contains(' ' || z.g || ' ', ' ' || c.g || ' '))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM b ANTI JOIN i USING (lang, g) QUALIFY rank <= 2000""",
     "op13_conversation_repair": f"""
         WITH RECURSIVE
         t AS (SELECT {_CRC_TABLE} AS crc),
