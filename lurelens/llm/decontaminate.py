@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import ALNUM, BitTable, Words, grams, mix, sequence_names, slices
+from .text import ALNUM, BitTable, Words, grams, mix, quoted, sequence_names, slices
 
 #: Fixed masks over windows of words: 1 looks at a word, 0 ignores it.
 MASKS = ("111111", "11010111", "110010111", "1110100101", "101100011001", "1011010011")
@@ -246,10 +246,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int
         return pa.concat_arrays(out)
 
     # Columns travel in a struct, so that none can clash with the names used here.
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.arrow_udf(name, "long")(F.col(f"`{text_col}`")).alias("_name"))
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_doc"), F.arrow_udf(name, "long")(F.col(quoted(text_col))).alias("_name"))
     # Only rows that may overlap are shuffled, dealt over 16 parts whatever their text.
     parts = 16
     asked = named.filter("_name is not null").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
     told = bad.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     kept = named.filter("_name is null").select("_doc").union(asked.join(told, ["_name", "_part"], "left_anti").select("_doc"))
-    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.col(f"_doc.{quoted(c)}").alias(c) for c in docs.columns))

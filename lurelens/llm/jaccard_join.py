@@ -11,10 +11,16 @@ reached the bound are compared by binary search.
 Lists are merged in hash ranges, each a bounded number of entries.  Which
 shingles are frequent is counted first, over all texts; bit tables of a fixed
 size tell the tasks.  A list longer than ``long_list``, such as that of a passage
-in a large group of copies, is never turned into all its pairs: its members are
-first compared with the member that has most such lists, and of the rest only
-pairs in different components that meet the occurrence bound are made, from a
-count of common long lists within blocks of ``block`` members.
+in a large group of copies, is never turned into all its pairs.  Pairs that
+share a short list are counted there, and long lists only add to what they may
+reach.  Pairs that share long lists alone meet in one where the smaller set holds
+the shingle among its first n - ceil(2 s n / (1 + s)) + 1: fewer would not do for a
+partner that is no smaller.  Only such members ask in a long list, so texts
+that share a passage and are not alike, whose rare shingles come first, ask in
+none.  Members are first compared with the member that has most such lists;
+of the rest, those that ask merge their long lists within blocks of ``block``
+members, and only pairs in different components that meet the occurrence bound
+are made.
 
 Nulls and edge cases: texts with fewer words than a shingle have their whole
 sequence as one; null, empty and blank texts have no shingles, link with
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .text import BitTable, Words, mix, shingle_sets, slices
+from .text import BitTable, Words, mix, quoted, shingle_sets, slices
 
 #: Entries a hash range holds at most, about; entries a task gathers before it hands them on.
 RANGE_ENTRIES, FLUSH_ENTRIES, FLUSH_COUNTS = 400_000, 500_000, 2_000_000
@@ -124,13 +130,16 @@ def _frequent(table: pa.Table) -> pa.Table:
 
 
 def _entries(shingle: int, percent: int, ranges: int, bits: int, tables):
-    """Entries of the short lists, packed by hash range."""
+    """Entries of the short lists, packed by hash range: twice the size of a set, and one more where it asks."""
 
     def pack(sets: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x, _ in sets.values()], np.int64)
         keys = np.concatenate([x for x, _ in sets.values()])
         names = np.repeat(np.fromiter(sets, np.int64, len(sets)), sizes)
-        wholes = np.repeat(np.array([n for _, n in sets.values()], np.int32), sizes)
+        whole = np.repeat(np.array([n for _, n in sets.values()], np.int64), sizes)
+        place_in = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        asks = place_in < whole + (-2 * percent * whole) // (100 + percent) + 1
+        wholes = (2 * whole + asks).astype(np.int32)
         place = _ranged(keys, 64, ranges)
         order = np.argsort(place, kind="stable")
         borders = _runs(place[order])
@@ -162,7 +171,7 @@ def _entries(shingle: int, percent: int, ranges: int, bits: int, tables):
 
 
 def _merge(percent: int, long_list: int):
-    """Within a hash range: pairs of classes with their occurrences in short lists (kind 0), and members of long lists (kind 1: a the list, b the class)."""
+    """Within a hash range: pairs of classes with their occurrences in short lists (kind 0), and members of long lists (kind 1: a the list, b the class, c whether it asks)."""
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -170,7 +179,7 @@ def _merge(percent: int, long_list: int):
         order = np.lexsort((names, keys))
         keys, names, sizes = keys[order], names[order], sizes[order]
         once = np.append(True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]))
-        keys, names, sizes = keys[once], names[once], sizes[once].astype(np.int64)
+        keys, names, sizes, asks = keys[once], names[once], sizes[once].astype(np.int64) // 2, sizes[once] % 2
         borders = _runs(keys)
         length = np.diff(borders)
         of = np.repeat(length, length)
@@ -188,7 +197,7 @@ def _merge(percent: int, long_list: int):
         pairs = pairs[new]
         long = np.flatnonzero(of > long_list)
         kinds = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(long)])
-        cols = [np.append(pairs[:, 0], keys[long].view(np.int64)), np.append(pairs[:, 1], names[long]), np.append(pairs[:, 2], of[long]), np.append(pairs[:, 3], sizes[long]), np.append(counts, np.ones(len(long), np.int64))]
+        cols = [np.append(pairs[:, 0], keys[long].view(np.int64)), np.append(pairs[:, 1], names[long]), np.append(pairs[:, 2], of[long]), np.append(pairs[:, 3], sizes[long]), np.append(counts, asks[long])]
         return pa.Table.from_arrays([pa.array(kinds), *(pa.array(c.astype(np.int64)) for c in cols)], ["kind", "a", "b", "na", "nb", "c"])
 
     return run
@@ -197,7 +206,8 @@ def _merge(percent: int, long_list: int):
 def _members(percent: int):
     """Pairs of a long list (or of two blocks of it) in different components that meet the bound by their common long lists.
 
-    A pair comes out only where its smallest common list is looked at, so it comes out once.
+    The smaller set asks and merges its lists over the members here.  It tells a
+    partner only where the smallest list is looked at in which it asks for both.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -207,23 +217,30 @@ def _members(percent: int):
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.chunk(0)
         offsets = np.asarray(lists.offsets)
-        known, at = np.unique(np.asarray(lists.values)[offsets[0] : offsets[-1]], return_inverse=True)
-        has = np.zeros((len(names), len(known)), np.float32)
-        has[np.repeat(np.arange(len(names)), np.diff(offsets)), at] = 1
-        own = blocks.min()
-        two = bool((blocks != own).any())
+        held = np.asarray(lists.values)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        order = np.argsort(held, kind="stable")
+        known, of = held[order], np.repeat(np.arange(len(names)), np.diff(offsets))[order]
+        two = bool((blocks != blocks.min()).any())
         rest = -(-percent * sizes // 100) - 1
-        found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(blocks == own):
-            good = (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            good &= (blocks != own) if two else (names > names[i])
+        found: list[np.ndarray] = []
+        for i in np.flatnonzero(table.column("asks").to_numpy() > 0):
+            good = (roots != roots[i]) & (sizes >= sizes[i]) & (100 * sizes[i] >= percent * sizes)
+            if two:
+                good &= blocks != blocks[i]
             if not good.any():
                 continue
+            own = np.sort(held[offsets[i] : offsets[i + 1]])
+            low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+            at = np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange((high - low).sum())
+            counts = np.bincount(of[at], minlength=len(names))
+            asked = np.repeat(np.isin(own, table.column("asked")[i].values.to_numpy()), high - low)
+            # Lists come in order, so the first of a partner is the smallest.
+            partner, first = np.unique(of[at][asked], return_index=True)
             least = -(-percent * (sizes + sizes[i]) // (100 + percent)) - np.maximum(rest, rest[i])
-            for j in np.flatnonzero(good)[has[good] @ has[i] >= np.maximum(least[good], 1)]:
-                if known[int((has[i] * has[j]).argmax())] == here:
-                    found.append((min(names[i], names[j]), max(names[i], names[j])))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+            j = partner[(np.repeat(own, high - low)[asked][first] == here) & good[partner] & (counts[partner] >= np.maximum(least[partner], 1))]
+            found.append(np.stack([np.minimum(names[j], names[i]), np.maximum(names[j], names[i])], 1))
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -295,7 +312,7 @@ def _linked(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int
     merged = entries.groupBy("range").applyInArrow(_merge(percent, long_list), "kind int, a long, b long, na long, nb long, c long")
     merged = scratch.save(merged, "merged")
 
-    long = merged.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("class"), F.col("nb").alias("n"))
+    long = merged.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("class"), F.col("nb").alias("n"), F.col("c").alias("asks"))
     lists_of = scratch.save(long.groupBy("class").agg(F.count(F.lit(1)).alias("lists")), "lists")
     pairs = merged.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
@@ -306,14 +323,16 @@ def _linked(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int
     # First the most promising partner of each class, and the hub of each long list.
     sides = pairs.select("a", "b", "c").union(pairs.select("b", "a", "c"))
     best = sides.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    members = long.join(lists_of, "class")
+    # In a list where no member asks, no pair is met that short lists do not hold.
+    asked = scratch.save(long.filter("asks > 0").select("list").distinct(), "asked")
+    members = long.join(asked, "list", "left_semi").join(lists_of, "class")
     hubs = members.groupBy("list").agg(F.max(F.struct("lists", "class", "n")).alias("hub")).select("list", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"))
     alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     spokes = members.join(hubs, "list").filter(alike & (F.col("hub") != F.col("class"))).select(F.col("hub").alias("a"), F.col("class").alias("b"))
     ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     trial = scratch.save(ordered(best.union(spokes)), "trial")
 
-    wanted = scratch.save(sides.select(F.col("a").alias("class")).union(long.select("class")).distinct(), "wanted")
+    wanted = scratch.save(sides.select(F.col("a").alias("class")).union(members.select("class")).distinct(), "wanted")
     table = spark.sparkContext.broadcast(BitTable(wanted, "class", wanted.count()))
     sets = frame.mapInArrow(_fetch(shingle, table), "class long, keys binary")
     sets = scratch.save(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("keys").alias("keys")), "sets")
@@ -328,16 +347,17 @@ def _linked(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int
     named = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = pairs.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").filter(apart).select("a", "b")
-    rooted = members.join(roots, members["class"] == roots["node"], "left").select("list", "class", "n", F.coalesce("root", "class").alias("root"))
+    rooted = members.join(roots, members["class"] == roots["node"], "left").select("list", "class", "n", "asks", F.coalesce("root", "class").alias("root"))
     mixed = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
     rooted = scratch.save(rooted.join(mixed.select("list", "size"), "list"), "rooted")
     # A class has at most as many long lists as its text is long.
-    of_class = rooted.groupBy("class").agg(F.sort_array(F.collect_list("list")).alias("lists"))
+    here = rooted.select("class").distinct()
+    of_class = long.join(here, "class", "left_semi").groupBy("class").agg(F.collect_list("list").alias("lists"), F.collect_list(F.when(F.col("asks") > 0, F.col("list"))).alias("asked"))
     # Lists of more than a block are dealt out as pairs of blocks, each a group of its own.
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
-    dealt = rooted.join(of_class, "class").select("list", "class", "n", "root", "lists", own.alias("block"), F.explode(others).alias("part"))
+    dealt = rooted.join(of_class, "class").select("list", "class", "n", "asks", "root", "lists", "asked", own.alias("block"), F.explode(others).alias("part"))
     across = dealt.groupBy("list", "part").applyInArrow(_members(percent), "a long, b long")
     rest = ordered(rest.union(across)).join(trial, ["a", "b"], "left_anti")
     links = links.union(verified(rest, "more-links"))
@@ -354,21 +374,25 @@ def _linked(docs: DataFrame, shingle: int = 5, percent: int = 75, long_list: int
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; rows without an id stay.
 
-    Where an id is on several rows, only those with equal sets or in one component fall together.
+    Where an id is on several rows, only those with equal sets or in one component fall together;
+    of rows with equal sets that with the least text, then the least hash of all columns, stays.
     """
     scratch = Scratch(docs.sparkSession, "jaccard-kept")
-    linked = _linked(docs, shingle, id_col=id_col, text_col=text_col, **options).filter("doc_id IS NOT NULL")
-    linked = scratch.save(linked.select(F.col("doc_id").alias(id_col), "component_id", F.col("class").alias("_class"), "root"), "linked")
-    kept = linked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col, "root").agg(F.min("_class").alias("_class"))
-    kept = scratch.save(kept.select(id_col, "_class").distinct(), "kept")
-    shared = scratch.save(linked.groupBy(id_col).agg(F.min("_class").alias("low"), F.max("_class").alias("high")).filter("low != high").select(id_col), "shared")
-    unique = docs.filter(F.col(id_col).isNotNull()).join(kept.select(id_col), id_col, "left_semi")
+    # Columns travel inside a struct, so none can clash with the names used here.
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    linked = _linked(own, shingle, **options).filter("doc_id IS NOT NULL")
+    linked = scratch.save(linked.select("doc_id", "component_id", "class", "root"), "linked")
+    kept = linked.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("class").alias("class"))
+    kept = scratch.save(kept.select("doc_id", "class").distinct(), "kept")
+    shared = scratch.save(linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "shared")
+    stay = own.join(kept, "doc_id", "left_semi")
     if shared.isEmpty():
-        unique = unique.dropDuplicates([id_col])
+        unique = stay.select("row")
     else:
         # Only these rows need their class beside their columns.
-        rows = scratch.save(unique.join(shared, id_col, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rows")
-        classes = rows.select("_row", text_col).mapInArrow(_size_and_class(shingle), "_row long, n long, _class long").drop("n")
-        texts = rows.join(classes, "_row").join(kept, [id_col, "_class"], "left_semi").dropDuplicates([id_col, "_class"])
-        unique = unique.join(shared, id_col, "left_anti").dropDuplicates([id_col]).unionByName(texts.select(*docs.columns))
-    return unique.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+        rows = scratch.save(stay.join(shared, "doc_id", "left_semi").withColumn("nr", F.monotonically_increasing_id()), "rows")
+        classes = rows.select("nr", "text").mapInArrow(_size_and_class(shingle), "nr long, n long, class long").drop("n")
+        first = F.min_by("row", F.struct(F.coalesce("text", F.lit("")), F.sha2(F.to_json("row"), 256)))
+        texts = rows.join(classes, "nr").groupBy("doc_id", "class").agg(first.alias("row")).join(kept, ["doc_id", "class"], "left_semi")
+        unique = stay.join(shared, "doc_id", "left_anti").select("row").union(texts.select("row"))
+    return unique.union(own.filter("doc_id IS NULL").select("row")).select("row.*")

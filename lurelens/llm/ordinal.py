@@ -9,8 +9,9 @@ expected grade and the tail probability on which documents are selected.
 Features are the distinct lower-case words of the whole text, and the text's
 shape: word length, repeated words, symbols and lines, each as a hashed level.
 The model is fitted on at most ``sample_rows`` rated documents, those with the
-smallest hash of their id, and on as many of them as have ``sample_features``
-features together; everything else covers all documents.  It has 2**``bits``
+smallest hash of their id; of these each is taken that still fits into
+``sample_features`` features together, and if none does, fitting stops with an
+error.  Everything else covers all documents.  It has 2**``bits``
 weights whatever the input's size.  Rare grades weigh more while weights are
 fitted; the thresholds are then set anew so that the probabilities of reaching
 each grade are, on average over the fitted documents, the shares that reach it.
@@ -31,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scratch import Scratch
 from .text import Words, grams, mix, slices
@@ -87,6 +87,30 @@ class OrdinalModel:
         return np.diff(np.append(0.0, np.cumsum(self.weights[keys], dtype=np.float64))[offsets])
 
 
+def _in_order(free: np.ndarray) -> np.ndarray:
+    """Thresholds from the first and the logarithms of the steps."""
+    return np.cumsum(np.append(free[0], np.exp(free[1:])))
+
+
+def gradient(weights: np.ndarray, free: np.ndarray, keys: np.ndarray, rows: np.ndarray, grades: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood, each row with its ``balance``, and its slopes along weights and free thresholds."""
+    cuts, levels = _in_order(free), len(free) + 1
+    scores = np.bincount(rows, weights[keys], len(grades))
+    upper = np.append(np.ones((len(scores), 1)), _sigmoid(scores[:, None] - cuts), 1)
+    lower = np.append(upper[:, 1:], np.zeros((len(scores), 1)), 1)
+    at = np.arange(len(scores))
+    p, q = upper[at, grades], lower[at, grades]
+    likely = np.maximum(p - q, 1e-9)
+    dp, dq = balance * p * (1 - p) / likely, balance * q * (1 - q) / likely
+    g_score = -(dp - dq) / len(grades)
+    g_cut = np.zeros(levels + 1)
+    np.add.at(g_cut, grades, dp / len(grades))
+    np.add.at(g_cut, grades + 1, -dq / len(grades))
+    tail = np.cumsum(g_cut[1:levels][::-1])[::-1]
+    g_free = np.append(tail[0], tail[1:] * np.exp(free[1:]))
+    return float(-(balance * np.log(likely)).mean()), np.bincount(keys, g_score[rows], len(weights)), g_free
+
+
 def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, penalty: float = PENALTY) -> OrdinalModel:
     """Maximum likelihood with an absolute penalty on the weights, by full-batch adaptive gradient steps.
 
@@ -102,25 +126,9 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int,
     weights = np.zeros(1 << bits)
     free = np.append(start[0], np.log(np.maximum(np.diff(start), 1e-3)))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(free), np.zeros_like(free)]
-    order = lambda p: np.cumsum(np.append(p[0], np.exp(p[1:])))
     balance = np.sqrt(len(grades) / (levels * counts))[grades]
     for t in range(1, rounds + 1 if len(grades) else 1):
-        cuts = order(free)
-        scores = np.bincount(rows, weights[keys], len(grades))
-        upper = np.append(np.ones((len(scores), 1)), _sigmoid(scores[:, None] - cuts), 1)
-        lower = np.append(upper[:, 1:], np.zeros((len(scores), 1)), 1)
-        at = np.arange(len(scores))
-        p, q = upper[at, grades], lower[at, grades]
-        likely = np.maximum(p - q, 1e-9)
-        dp, dq = balance * p * (1 - p) / likely, balance * q * (1 - q) / likely
-        g_score = -(dp - dq) / len(grades)
-        g_cut = np.zeros(levels + 1)
-        np.add.at(g_cut, grades, dp / len(grades))
-        np.add.at(g_cut, grades + 1, -dq / len(grades))
-        g_cut = g_cut[1:levels]
-        tail = np.cumsum(g_cut[::-1])[::-1]
-        g_free = np.append(tail[0], tail[1:] * np.exp(free[1:]))
-        g_weights = np.bincount(keys, g_score[rows], len(weights))
+        _, g_weights, g_free = gradient(weights, free, keys, rows, grades, balance)
         for k, (value, grad) in enumerate(((weights, g_weights), (free, g_free))):
             first, second = state[2 * k], state[2 * k + 1]
             first *= 0.9
@@ -131,7 +139,7 @@ def fit(keys: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int,
             value -= length * first / (1 - 0.9**t)
             if k == 0:
                 value[:] = np.sign(value) * np.maximum(np.abs(value) - length * sparsity, 0)
-    cuts = order(free)
+    cuts = _in_order(free)
     if len(grades):
         cuts = _calibrated(np.bincount(rows, weights[keys], len(grades)), grades, levels)
     return OrdinalModel(weights.astype(np.float32), cuts, bits)
@@ -166,12 +174,20 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, bits: int = BITS, sa
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([keys[a:z].astype("<i4").tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "grade", "keys"])
 
     found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, keys binary")
+    found = found.withColumn("nr", F.monotonically_increasing_id())
     found = Scratch(docs.sparkSession, "ordinal").save(found, "found")
-    # Sizes of at most sample_rows rows, but for repeated ids, which count as one.
-    sizes = found.groupBy("doc_id").agg(F.sum(F.octet_length("keys") / 4).alias("n"))
-    running = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = sizes.withColumn("total", running).filter(F.col("total") <= sample_features).select("doc_id")
-    found = found.join(few, "doc_id", "left_semi").toPandas()
+    # Rows are taken in order of a hash while they fit; one that does not is passed over, and the next may fit.
+    order = [F.xxhash64("doc_id"), "doc_id", "n", F.xxhash64("keys"), "nr"]
+    rows = found.withColumn("n", (F.octet_length("keys") / 4).cast("long")).orderBy(*order).limit(sample_rows).select("nr", "n").toPandas()
+    left, taken = sample_features, []
+    for nr, n in rows.itertuples(index=False):
+        if n <= left:
+            left -= n
+            taken.append((nr,))
+    if len(rows) and not taken:
+        raise ValueError(f"each of {len(rows)} rated documents has more than {sample_features} features; raise sample_features")
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, "nr long"))
+    found = found.join(few, "nr", "left_semi").select("doc_id", "grade", "keys").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     sets = [np.frombuffer(x, "<i4") for x in found["keys"]]
     offsets = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)

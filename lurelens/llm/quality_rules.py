@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .text import quoted
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics and the least standard deviation each is given.
@@ -192,13 +193,14 @@ def _judged(docs: DataFrame, carry: tuple[str, ...], least_words: int = 50, cuto
     """The carried columns as ``_row`` with statistics, ``base_failed``, ``distance2`` and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
     # Only what is needed goes on, under names of its own, so other columns cannot clash.
-    own = docs.select(F.struct(*carry).alias("_row"), F.struct(*group_cols).alias("_by"), F.col(text_col).alias("_text"))
+    by = [F.col(quoted(c)).cast("string").alias(f"by{k}") for k, c in enumerate(group_cols)]
+    own = docs.select(F.struct(*map(quoted, carry)).alias("_row"), F.struct(*by).alias("_by"), F.col(quoted(text_col)).alias("_text"))
     stats = text_statistics(own, "_text").drop("_text")
     n = F.col("n_words")
     stats = stats.withColumn("base_failed", (n < least_words) | (100 * F.col("n_repeat_words") > 50 * n))
-    label = lambda cols: F.concat_ws("\x1f", *(F.coalesce(F.col(f"_by.{c}").cast("string"), F.lit("\x1e")) for c in cols))
+    label = lambda n: F.concat_ws("\x1f", *(F.coalesce(F.col(f"_by.by{k}"), F.lit("\x1e")) for k in range(n)))
     values = {k: F.when(n > 0, v) for k, v in _vector(F.greatest(n, F.lit(1))).items()}
-    stats = scratch.save(stats.withColumns(values).withColumn("_group", label(group_cols)).withColumn("_wide", label(group_cols[:1])).drop("_by"), "stats")
+    stats = scratch.save(stats.withColumns(values).withColumn("_group", label(len(by))).withColumn("_wide", label(1)).drop("_by"), "stats")
     sizes = stats.filter(~F.col("base_failed")).groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
     sizes = scratch.save(sizes, "sizes")
     small = F.coalesce(F.col("_size"), F.lit(0)) < least_rows

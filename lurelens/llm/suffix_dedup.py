@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
-from .text import BitTable, Words, grams, mix, slices
+from .text import BitTable, Words, grams, mix, quoted, slices
 
 LEAST_WORDS, GRAM, HOT, SALTS = 50, 20, 20_000, 32
 #: Suffixes that are compared at once, about; a gram's part is never cut.
@@ -383,14 +383,14 @@ def cut_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int = GRA
     """
     scratch = Scratch(docs.sparkSession, "suffixes-cut")
     # Columns travel in a struct, so that none can clash with the names used here.
-    rows = scratch.save(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
-    text = F.col(f"_doc.`{text_col}`")
-    frame = rows.select(F.col(f"_doc.`{id_col}`").cast("long").alias("doc"), F.col("_row").alias("row"), text.alias("text"))
+    rows = scratch.save(docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    text = F.col(f"_doc.{quoted(text_col)}")
+    frame = rows.select(F.col(f"_doc.{quoted(id_col)}").cast("long").alias("doc"), F.col("_row").alias("row"), text.alias("text"))
     later = _spans_of_rows(frame, least_words, gram, hot).filter("not is_first")
     later = scratch.save(later.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans")), "later")
     cut = F.arrow_udf(_cut, "string")
     met = rows.join(later, "_row", "left").withColumn("_text", cut(text, F.col("_spans")))
-    own = {c: F.col(f"_doc.`{c}`") for c in docs.columns} | {text_col: F.col("_text")}
+    own = {c: F.col(f"_doc.{quoted(c)}") for c in docs.columns} | {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
     return met.select(*(value.alias(c) for c, value in own.items()))

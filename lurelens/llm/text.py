@@ -26,6 +26,11 @@ _FOLDED[65:91] = _TABLE[97:123]
 _BASE, _GRAM_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it whole, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _byte_class(chars: str) -> np.ndarray:
     table = np.zeros(256, bool)
     table[[ord(c) for c in chars]] = True

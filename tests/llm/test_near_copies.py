@@ -92,6 +92,49 @@ def test_keep_one_keeps_each_text_of_an_id(spark):
     assert kept == sorted(["alone", "least", "first", "second", "empty", "same", "near", "no id"])
 
 
+def test_keep_one_carries_columns_of_any_name(spark):
+    rows = [(5, "a b c d e f", 7, 1, "x", "u"), (5, "g h i j k l", 8, 2, "y", "v"), (2, "a b c d e f", 9, 3, "z", "w"), (None, "q", 4, 4, "n", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _class long, `a.b` string, root string")
+    assert sorted(tuple(r)[1:] for r in jaccard_join.keep_one(df).collect()) == sorted(r[1:] for r in rows[1:])
+    # Of rows with equal sets the choice does not depend on their order.
+    same = [(1, t, k, k, str(k), "") for k, t in enumerate(["A b c d e f", "a b c d e f", "a B c d e f"])]
+    found = {tuple(jaccard_join.keep_one(spark.createDataFrame(rows, df.schema).repartition(3, "_row")).collect()[0]) for rows in (same, same[::-1])}
+    assert found == {same[0]}
+
+
+def test_texts_of_a_template_ask_in_no_long_list(spark):
+    """Unlinked texts that share a template make no pairs of each other, so twice the rows are twice the work."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(170)]
+    rows = [(i, " ".join([f"u{i}_{k}" for k in range(rng.randrange(36, 44))] + template), "") for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} {i}", "") for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    asked = []
+    save = jaccard_join.Scratch.save
+
+    def watched(self, frame, name):
+        out = save(self, frame, name)
+        asked.extend([out.count()] if name in ("asked", "rooted", "pairs") else [])
+        return out
+
+    jaccard_join.Scratch.save = watched
+    try:
+        assert linked(df, long_list=16) == brute_components(rows)
+    finally:
+        jaccard_join.Scratch.save = save
+    assert max(asked) < 200
+
+
+def test_passages_in_many_mixes_match_brute_force(spark):
+    """Texts put together from frequent passages alone: every shingle is in a long list."""
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}_{i}" for i in range(14)) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(passages, rng.randrange(5, 11))), "") for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for options in ({"long_list": 3, "block": 16}, {"long_list": 20, "block": 1024}):
+        assert linked(df, **options) == brute_components(rows)
+
+
 def brute_windows(rows, n=50):
     seen = {}
     for d, t in rows:

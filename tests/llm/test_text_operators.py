@@ -252,6 +252,44 @@ def test_classifier_on_held_out_rows(spark):
     assert ordinal.classify(docs.limit(0), rated).collect() == []
 
 
+def test_ordinal_gradient_is_the_slope():
+    rng = np.random.default_rng(3)
+    rows = np.repeat(np.arange(30), rng.integers(1, 6, 30))
+    keys, grades, balance = rng.integers(0, 16, len(rows)), rng.integers(0, 4, 30), rng.random(30) + 0.5
+    point = [rng.normal(size=16), rng.normal(size=3)]
+    likelihood = lambda w, f: ordinal.gradient(w, f, keys, rows, grades, balance)[0]
+    # By hand, from P(grade >= k) = sigmoid(score - threshold k).
+    cuts = [point[1][0], point[1][0] + math.exp(point[1][1]), point[1][0] + math.exp(point[1][1]) + math.exp(point[1][2])]
+    total = 0.0
+    for i in range(30):
+        score = sum(point[0][k] for k, r in zip(keys, rows, strict=True) if r == i)
+        reach = [1, *(1 / (1 + math.exp(c - score)) for c in cuts), 0]
+        total -= balance[i] * math.log(reach[grades[i]] - reach[grades[i] + 1]) / 30
+    assert likelihood(*point) == pytest.approx(total)
+    slopes = ordinal.gradient(*point, keys, rows, grades, balance)[1:]
+    for side in (0, 1):
+        for k in range(len(point[side])):
+            moved = [[x.copy() for x in point] for _ in range(2)]
+            moved[0][side][k] -= 1e-5
+            moved[1][side][k] += 1e-5
+            assert slopes[side][k] == pytest.approx((likelihood(*moved[1]) - likelihood(*moved[0])) / 2e-5, abs=1e-6)
+
+
+def test_ordinal_bounds_never_empty_the_fit(spark):
+    """A document too long for what is left is passed over; repeated ids count row by row; nothing at all is an error."""
+    rng = random.Random(8)
+    text = lambda n, grade: " ".join([f"n{rng.randrange(10**6)}" for _ in range(n)] + ["good" if grade else "bad"] * 3)
+    rows = [(i, text(300 if i % 2 else 8, i % 4 < 2)) for i in range(60)] + [(4, text(8, 1)) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rated = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(60)], "doc_id long, grade int")
+    for bound in (40, 200, 10**6):
+        model = ordinal.train(docs, rated, 2, bits=12, sample_features=bound)
+        assert np.count_nonzero(model.weights) > 0
+    assert np.count_nonzero(ordinal.train(docs, rated, 2, bits=12, sample_rows=5).weights) > 0
+    with pytest.raises(ValueError, match="sample_features"):
+        ordinal.train(docs, rated, 2, bits=12, sample_features=3)
+
+
 def brute_licenses(text):
     low = lowered(text)
     own = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low) if w]
@@ -500,6 +538,29 @@ def test_least_determinant_matches_brute_force(spark):
         assert [got[f"l_{i}_{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([factor[i, j] for i in range(4) for j in range(i + 1)], rel=1e-3, abs=1e-4)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """User columns named like the stages' own, or with dots, come through unchanged."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    line = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    names = ["_row", "_class", "root", "_doc", "_spans", "kept", "a.b", "row", "class", "doc", "n", "_group", "x_word", "lists", "text2", "`q`"]
+    shared, copy = line(60), line(90)
+    texts = [(1, line(80)), (2, copy), (3, copy), (4, f"{line(70)} {shared}"), (5, f"{shared} {line(60)}"), (6, line(100)), (6, line(70)), (None, line(70))]
+    rows = [(i, t, "en", "s0", len(t), *(f"{k}-{x}" for x in range(len(names)))) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x.replace('`', '``')}` string" for x in names)
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, line(20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = Scratch(spark, "named").save(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+    got = sorted(tuple(r)[5:] for r in now.collect())
+    assert got == sorted(r[5:] for r in rows if r[0] != 3)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() >= 7
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
