@@ -37,13 +37,53 @@ def explode_pairs(outputs: DataFrame, script: str) -> DataFrame:
     return good.select("image_id", "block_idx", "b.bbox", "b.text", F.coalesce("b.confidence", F.lit(0.0)).cast("double").alias("confidence"), F.lit(script).alias("script"))
 
 
+def _size_class(length: Column) -> Column:
+    return F.floor(F.log2(length) / 2)
+
+
+def _cell(centre: Column, size_class: Column) -> Column:
+    """The cell of a place, in a grid whose cells are wider than any box of the class."""
+    return F.floor(centre / F.pow(F.lit(4.0), size_class + 1))
+
+
+def _sides(box: str) -> list[tuple[Column, Column]]:
+    """Length and centre of a box along both axes."""
+    return [((F.col(box)[2][k] - F.col(box)[0][k]).cast("double"), (F.col(box)[2][k] + F.col(box)[0][k]) / 2.0) for k in (0, 1)]
+
+
+def _reach(length: Column, centre: Column) -> Column:
+    """Classes and cells in which a partner lies that overlaps by more than half.
+
+    The partner is more than half and less than twice as long, and its centre at
+    most half the longer of both away.
+    """
+
+    def cells(size_class: Column) -> Column:
+        far = F.greatest(length, F.least(2 * length, F.pow(F.lit(4.0), size_class + 1))) / 2
+        return F.transform(F.sequence(_cell(centre - far, size_class), _cell(centre + far, size_class)), lambda c: F.struct(size_class.alias("s"), c.alias("c")))
+
+    return F.flatten(F.transform(F.sequence(_size_class(length / 2), _size_class(length * 2)), cells))
+
+
 def best_partner(hindi: DataFrame, english: DataFrame) -> DataFrame:
-    """For each Hindi block the English block of its image that overlaps most, the first of equals, if by more than half."""
+    """For each Hindi block the English block of its image that overlaps most, the first of equals, if by more than half.
+
+    Only blocks of like size in neighbouring cells of a grid are compared, so the
+    work follows the number of blocks; boxes without an area overlap nothing.
+    """
     h = hindi.select("image_id", F.col("block_idx").alias("hi"), F.col("bbox").alias("hi_box"))
     e = english.select("image_id", F.col("block_idx").alias("en"), F.col("bbox").alias("en_box"))
-    pairs = h.join(e, "image_id").withColumn("overlap", labels.box_overlap(F.col("hi_box"), F.col("en_box"))).filter(F.col("overlap") > 0)
-    best = pairs.groupBy("image_id", "hi").agg(F.max_by(F.struct("en", "overlap"), F.struct("overlap", -F.col("en"))).alias("b"))
-    return best.select("image_id", "hi", "b.en", "b.overlap").filter(F.col("overlap") > fixed.MIN_OVERLAP)
+    placed = []
+    for rows, box in ((h, "hi_box"), (e, "en_box")):
+        (w, x), (t, y) = _sides(box)
+        placed.append(rows.filter((w > 0) & (t > 0)).withColumns({"_w": w, "_x": x, "_h": t, "_y": y}))
+    own = {"_sx": _size_class(F.col("_w")), "_sy": _size_class(F.col("_h"))}
+    h = placed[0].withColumns(own).withColumns({"_cx": _cell(F.col("_x"), F.col("_sx")), "_cy": _cell(F.col("_y"), F.col("_sy"))})
+    e = placed[1].withColumn("_at_x", F.explode(_reach(F.col("_w"), F.col("_x")))).withColumn("_at_y", F.explode(_reach(F.col("_h"), F.col("_y"))))
+    e = e.select("image_id", "en", "en_box", F.col("_at_x.s").alias("_sx"), F.col("_at_x.c").alias("_cx"), F.col("_at_y.s").alias("_sy"), F.col("_at_y.c").alias("_cy"))
+    pairs = h.join(e, ["image_id", "_sx", "_cx", "_sy", "_cy"]).withColumn("overlap", labels.box_overlap(F.col("hi_box"), F.col("en_box")))
+    best = pairs.filter(F.col("overlap") > fixed.MIN_OVERLAP).groupBy("image_id", "hi").agg(F.max_by(F.struct("en", "overlap"), F.struct("overlap", -F.col("en"))).alias("b"))
+    return best.select("image_id", "hi", "b.en", "b.overlap")
 
 
 def merge_scripts(hindi: DataFrame, english: DataFrame) -> DataFrame:
