@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import hosts, text
+from .joins import dealt_join
 
 #: Columns of the registration snapshot.
 WHOIS = "host string, http_status int, created_date string, registry_created_date string, created_normalized string, registry_created_normalized string, estimated_age double, outcome string"
@@ -25,7 +26,7 @@ def url_evidence(urls: DataFrame, reputation: DataFrame) -> DataFrame:
     (``ok`` or an error); for URLs without a row nothing is known: counts are null.
     """
     known = reputation.select(F.col("url_key").alias("_key"), F.struct("malicious", "suspicious", "harmless", "outcome").alias("_rep"))
-    joined = urls.withColumn("_key", text.url_key(F.col("url"))).join(known, "_key", "left")
+    joined = dealt_join(urls.withColumn("_key", text.url_key(F.col("url"))), known, ["_key"])
     failed = F.col("_rep").isNotNull() & (F.coalesce(F.col("_rep.outcome"), F.lit("ok")) != "ok")
     pick = lambda k: F.when(~failed & F.col("_rep").isNotNull(), F.coalesce(F.col(f"_rep.{k}").cast("int"), F.lit(0)))
     out = joined.withColumns({"typosquatting": hosts.typosquat(F.col("domain")), **{k: pick(k) for k in ("malicious", "suspicious", "harmless")}})
@@ -95,7 +96,8 @@ def domain_evidence(urls: DataFrame, whois: DataFrame, certs: DataFrame, as_of:
     """A row per message and distinct host, with age, certificate, risk_score and intelligence_quality.
 
     Snapshots are joined to the distinct hosts, not to the messages, so a host
-    that is in a third of the messages is looked up once.
+    that is in a third of the messages is looked up once; what is known of it
+    meets its messages in parts.
     """
     places = urls.filter((F.col("domain") != "") & ~F.col("domain").isin(fixed.LOCAL_HOSTS)).groupBy("msg_id", "domain").agg(F.min("pos").alias("pos"))
     distinct = places.select("domain").distinct().withColumn("check", hosts.validate_domain(F.col("domain")))
@@ -108,14 +110,14 @@ def domain_evidence(urls: DataFrame, whois: DataFrame, certs: DataFrame, as_of:
         "risk_score": F.least(F.lit(100), age + bad),
         "intelligence_quality": hosts.intelligence_quality(F.col("whois_status"), F.col("tls_status"), F.col("check.is_valid")),
     })
-    return places.join(looked.drop("check"), "domain")
+    return dealt_join(places, looked.drop("check"), ["domain"], "inner")
 
 
 def sandbox_evidence(messages: DataFrame, results: DataFrame) -> DataFrame:
     """Page evidence of each message's first URL: a result, a time-out of weight 40, or skipped without a URL."""
     first = messages.withColumn("_url", F.get("urls", F.lit(0)))
     rows = results.select(F.col("url").alias("_url"), "sandbox_status", "risk_weight", "dom_signals", "final_redirect_url")
-    joined = first.join(rows, "_url", "left")
+    joined = dealt_join(first, rows, ["_url"])
     status = F.when(F.col("_url").isNull(), "skipped").when(F.col("sandbox_status").isNull() | (F.col("sandbox_status") == "failed"), "hostile_timeout").otherwise(F.col("sandbox_status"))
     weight = F.when(status == "hostile_timeout", F.coalesce(F.when(F.col("sandbox_status") == "hostile_timeout", F.col("risk_weight")), F.lit(40))).otherwise(F.lit(0))
     out = joined.select("msg_id", status.alias("sandbox_status"), weight.cast("int").alias("risk_weight"), "dom_signals")
@@ -134,7 +136,7 @@ def preflight(urls: DataFrame, answers: DataFrame) -> DataFrame:
     lists = first.groupBy("hostname").agg(F.array_sort(F.collect_list(F.struct("ord", "ip", "safe"))).alias("_ips"))
     bad = answers.groupBy("hostname").agg(F.max(F.coalesce("outcome", F.lit("ok")) == "timeout").alias("_late"))
     known = bad.join(lists, "hostname", "left")
-    joined = urls.withColumn("_p", hosts.parse_url(F.col("url"))).withColumn("hostname", F.col("_p.hostname")).join(known, "hostname", "left")
+    joined = dealt_join(urls.withColumn("_p", hosts.parse_url(F.col("url"))).withColumn("hostname", F.col("_p.hostname")), known, ["hostname"])
     unsafe = F.get(F.filter("_ips", lambda x: ~x["safe"]), F.lit(0))["ip"]
     reason = (
         F.when(F.col("_p.reason").isNotNull(), F.col("_p.reason"))
@@ -151,7 +153,7 @@ def preflight(urls: DataFrame, answers: DataFrame) -> DataFrame:
 def egress_audit(connections: DataFrame, pins: DataFrame) -> DataFrame:
     """Adds an error code (null: allowed) to connections (host, peer_ip), held against the approved address of each host (host, pinned_ip)."""
     pinned = pins.select("host", "pinned_ip", hosts.ip_key(F.col("pinned_ip")).alias("_pin"))
-    joined = connections.drop("pinned_ip").join(pinned, "host", "left").withColumn("_peer", hosts.ip_key(F.col("peer_ip")))
+    joined = dealt_join(connections.drop("pinned_ip"), pinned, ["host"]).withColumn("_peer", hosts.ip_key(F.col("peer_ip")))
     peer, pin = F.col("_peer"), F.col("_pin")
     error = (
         F.when(F.col("pinned_ip").isNull(), "not_pinned")
