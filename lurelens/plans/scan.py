@@ -43,20 +43,28 @@ def score_messages(messages: DataFrame, intel_tables: Snapshots, as_of: Column)
     return scoring.explain(scoring.score_summary(scoring.score(tracks)))
 
 
-def scan(messages: DataFrame, intel_tables: Snapshots, records: DataFrame | None, as_of: Column, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(responses, reused results, rejected messages) of messages (msg_id, text, input_type, ts).
+def route(messages: DataFrame, records: DataFrame | None, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages to score, reused results, rejected messages) of messages (msg_id, text, ts).
 
-    Earlier results are looked up before anything else, then excluded languages go.
+    Earlier results are looked up before anything else, then excluded languages
+    go; of the rest each message reuses the result of an equal one that came
+    within the time to live before it and is scored itself.
     """
-    keyed = messages.withColumn("hash", cache.cache_key(F.col("text")))
-    if records is None:
-        fresh, reused = keyed, keyed.limit(0).withColumn("hit_id", F.lit(None).cast("string"))
-    else:
-        looked = cache.lookup(keyed, records, ttl_hours)
+    keyed = messages.withColumns({"hash": cache.cache_key(F.col("text")), "scan_id": scoring.scan_id(F.col("msg_id"), F.col("ts"))})
+    fresh, reused = keyed, None
+    if records is not None:
+        looked = Scratch(messages.sparkSession, "route").save(cache.lookup(keyed, records, ttl_hours), "looked")
         fresh, reused = looked.filter("hit_id IS NULL").drop("hit_id"), looked.filter("hit_id IS NOT NULL")
     wanted, rejected = corpus.is_marathi_split(fresh)
-    scored = score_messages(wanted, intel_tables, as_of).withColumn("scan_id", scoring.scan_id(F.col("msg_id"), F.col("ts")))
-    return scoring.to_response(scored), reused, rejected
+    judged = Scratch(messages.sparkSession, "route").save(cache.reuse(wanted, ttl_hours), "judged")
+    again = judged.filter("hit_id IS NOT NULL")
+    return judged.filter("hit_id IS NULL").drop("hit_id"), again if reused is None else reused.unionByName(again), rejected
+
+
+def scan(messages: DataFrame, intel_tables: Snapshots, records: DataFrame | None, as_of: Column, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(responses, reused results, rejected messages) of messages (msg_id, text, input_type, ts)."""
+    wanted, reused, rejected = route(messages, records, ttl_hours)
+    return scoring.to_response(score_messages(wanted, intel_tables, as_of)), reused, rejected
 
 
 def scan_screenshots(hindi: DataFrame, english: DataFrame, images: DataFrame, intel_tables: Snapshots, as_of: Column) -> DataFrame:

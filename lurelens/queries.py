@@ -383,6 +383,37 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("msg_id", F.size("urls").alias("n_urls"), "risk_score", "risk_category", F.sha2("explanations.en", 256).alias("narrative"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages over eight days, some in an excluded language, and a quarter's results of up to 35 hours before."""
+    n = F.col("msg_id")
+    own = _messages(spark, sf_dir).select("msg_id", F.concat(F.concat_ws(" ", "text", "url"), F.when(n % 13 == 5, " आहे").otherwise("")).alias("text"), F.lit("text").alias("input_type"), F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF)) + n * 7919 % 200 * 3600 + n % 60 * 60).alias("ts"))
+    known = own.filter("msg_id % 4 = 1").select(cache.cache_key(F.col("text")).alias("hash"), F.concat(F.lit("before-"), "msg_id").alias("scan_id"), F.timestamp_seconds(F.unix_timestamp("ts") - n % 36 * 3600).alias("created_at"))
+    return own, known
+
+
+def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan with its three outputs: what is scored, what reuses a result (and which), and what is rejected."""
+    own, known = _asked(spark, sf_dir)
+    done, reused, rejected = scan.scan(own, _snapshots(spark, sf_dir), known, F.lit(AS_OF).cast("timestamp"))
+    blank = lambda kind: F.lit(None).cast(kind)
+    scored = done.select("msg_id", F.lit("scored").alias("outcome"), "scan_id", "risk_score", "risk_category")
+    reused = reused.select("msg_id", F.lit("reused").alias("outcome"), F.col("hit_id").alias("scan_id"), blank("int").alias("risk_score"), blank("string").alias("risk_category"))
+    rejected = rejected.select("msg_id", F.col("reason").alias("outcome"), blank("string").alias("scan_id"), blank("int").alias("risk_score"), blank("string").alias("risk_category"))
+    return scored.unionByName(reused).unionByName(rejected)
+
+
+#: Messages with their times, the result that each finds from before, and which of the rest are scored.
+_OUTCOMES = f"""q0 AS (SELECT msg_id, md5(concat(concat_ws(' ', text, url), CASE WHEN msg_id % 13 = 5 THEN ' आहे' ELSE '' END)) AS key, msg_id % 13 = 5 AS other, msg_id * 7919 % 200 * 3600 + msg_id % 60 * 60 AS s FROM m),
+    kn AS (SELECT key, msg_id, s - msg_id % 36 * 3600 AS s FROM q0 WHERE msg_id % 4 = 1),
+    hits AS (SELECT q0.msg_id, arg_max(concat('before-', kn.msg_id), (kn.s, concat('before-', kn.msg_id))) AS hit FROM q0 JOIN kn ON kn.key = q0.key AND kn.s <= q0.s AND kn.s >= q0.s - 86400 GROUP BY q0.msg_id),
+    q1 AS (SELECT * FROM q0 WHERE NOT other AND msg_id NOT IN (SELECT msg_id FROM hits)), qd AS (SELECT DISTINCT key, s FROM q1),
+    nx AS (SELECT a.key, a.s, (SELECT min(b.s) FROM qd b WHERE b.key = a.key AND b.s > a.s + 86400) AS nxt FROM qd a),
+    ch(key, s) AS (SELECT key, min(s) FROM qd GROUP BY key UNION ALL SELECT nx.key, nx.nxt FROM ch JOIN nx ON nx.key = ch.key AND nx.s = ch.s WHERE nx.nxt IS NOT NULL),
+    scored AS (SELECT q1.key, q1.s, min(q1.msg_id) AS msg_id FROM q1 JOIN ch ON ch.key = q1.key AND ch.s = q1.s GROUP BY ALL),
+    out AS (SELECT q0.msg_id, CASE WHEN hits.hit IS NOT NULL THEN 'reused' WHEN other THEN 'excluded_language' WHEN scored.msg_id IS NOT NULL THEN 'scored' ELSE 'reused' END AS outcome, hits.hit,
+        (SELECT arg_max(z.msg_id, z.s) FROM scored z WHERE z.key = q0.key AND z.s <= q0.s) AS own
+        FROM q0 LEFT JOIN hits USING (msg_id) LEFT JOIN scored ON scored.msg_id = q0.msg_id)"""
+_SCAN_NAME = "concat('scam_', year(TIMESTAMP '{0}' + to_seconds({1} * 7919 % 200 * 3600 + {1} % 60 * 60)), '_', substr(sha256(CAST({1} AS VARCHAR)), 1, 12))"
 _WITH_SCHEME = "CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN u ELSE concat('http://', u) END"
 #: All URLs that healed texts hold, with their evidence, and what of it each message's score and explanation ask for.
 _SCANNED = f"""{_HEALED.replace("e1 AS", "e0 AS")}, e1 AS (SELECT msg_id, trim(regexp_replace(h, '{_dialect(fixed.SPACE)}+', ' ', 'g')) AS normalized, {_healed("h")} AS h FROM e0), {_FROM_HEALED},
@@ -687,7 +718,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lexicon_risk, risk_by_category, weak_labels, rank_words, language_id, redaction, entity_packet, threat_density, shorthand, host_checks, url_evidence,
-        domain_evidence, html_signals, risk_score, narrative, diagnostics, full_scan, ip_safety, egress_audit, preflight, dedup,
+        domain_evidence, html_signals, risk_score, narrative, diagnostics, full_scan, scan_outcomes, ip_safety, egress_audit, preflight, dedup,
         record_ids, group_labels, class_sample, usable_turns, integrity_report, stratified_split, training_corpus, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
         source_profile, corpus_summary, hinglish_purity, template_overlap, content_flags, threat_funnel, top_sources, block_merge,
         reading_order, block_statistics, recognition_metrics, recognition_words, cache_lookup, cache_misses, scan_ids, two_heads,
@@ -743,6 +774,8 @@ SQL: dict[str, str] = {
         CASE WHEN NOT has_url THEN 'skipped' WHEN url_score > 50 THEN 'warn' ELSE 'nominal' END AS url_status, CASE WHEN NOT has_url THEN 'skipped' WHEN domain_score > 50 THEN 'warn' ELSE 'nominal' END AS domain_status,
         CAST(coalesce(reputation = 'malicious', false) AS INT) AS reputation_hits, CAST(squat_brand IS NOT NULL AS INT) AS any_typosquat, confidence, {_TRIGGERS} AS triggers FROM o""",
     "full_scan": f"WITH {_SCANNED} SELECT msg_id, CAST(n_urls AS INT) AS n_urls, final AS risk_score, category AS risk_category, sha256({_narrative_sql('en')}) AS narrative FROM o",
+    "scan_outcomes": f"""WITH RECURSIVE {_SCANNED}, {_OUTCOMES} SELECT out.msg_id, outcome, CASE WHEN outcome <> 'excluded_language' THEN coalesce(hit, {_SCAN_NAME.format(AS_OF, "own")}) END AS scan_id,
+        CASE WHEN outcome = 'scored' THEN final END AS risk_score, CASE WHEN outcome = 'scored' THEN category END AS risk_category FROM out JOIN o USING (msg_id)""",
     "ip_safety": f"SELECT event_id, {_ADDRESS} AS ip, concat('00000000000000000000ffff', printf('%08x', {_NUMBER})) AS key, CAST(NOT {_unsafe_sql(_NUMBER)} AS INT) AS safe FROM events",
     "egress_audit": f"""WITH e AS (SELECT event_id, user_id, {_ADDRESS} AS ip, {_unsafe_sql(_NUMBER)} AS unsafe FROM events), p AS (SELECT user_id, arg_min(ip, event_id) AS pin FROM e GROUP BY user_id)
         SELECT CASE WHEN event_id % 17 = 0 THEN 'missing_peer' WHEN event_id % 19 = 0 THEN 'malformed_peer' WHEN unsafe THEN 'unsafe_peer' WHEN ip <> pin THEN 'peer_mismatch' ELSE 'allowed' END AS outcome, count(*) AS n, min(event_id) AS first_event FROM e JOIN p USING (user_id) GROUP BY ALL""",

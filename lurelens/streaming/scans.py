@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import labels, text
+from ..operators import cache
 from ..operators.scoring import weighted_score
 from ..plans import scan
+from .index import RecordIndex
 
 
 def score_stream(messages: DataFrame) -> DataFrame:
@@ -21,32 +23,37 @@ def score_stream(messages: DataFrame) -> DataFrame:
     return result.withColumn("_s", s).withColumns({"risk_score": F.col("_s.risk_score"), "risk_category": F.col("_s.risk_category")}).drop("_s")
 
 
-def scan_stream(messages: DataFrame, tables: scan.Snapshots, path: str, checkpoint: str, as_of: Column | None = None, hours: int = 24) -> StreamingQuery:
+def scan_stream(messages: DataFrame, tables: scan.Snapshots, path: str, checkpoint: str, as_of: Column | None = None, hours: int = 24, lateness_hours: int = 24, trigger: dict | None = None) -> StreamingQuery:
     """The whole scan over a stream of messages (msg_id, text, input_type, ts).
 
-    Each micro-batch looks up the records of earlier ones, leaves excluded
-    languages out, joins the snapshots and is scored and explained.  Under
-    ``path`` it writes ``records`` (of new results, which later batches reuse),
+    Each micro-batch looks up the results of earlier ones and of its own earlier
+    messages, leaves excluded languages out, joins the snapshots and is scored
+    and explained.  Under ``path`` it writes ``records`` (new results),
     ``reused`` and ``rejected``, a folder for each batch that a repeated run
-    writes anew; a batch never reads its own records, so a repeated run has the
-    same results.  One that fails is recorded in ``failures`` and ends the query.
+    writes anew, and ``index``, of which a batch reads only hours and buckets that it
+    can reuse, whatever its number.  One that fails is recorded in ``failures`` and
+    ends the query.  ``trigger`` is that of the writer: ``{"processingTime": "10
+    seconds"}`` goes on, and without one what is there is read and the query ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = [f"{path}/records/batch={k}" for k in range(batch_id) if _there(spark, f"{path}/records/batch={k}/_SUCCESS")]
-        records = spark.read.parquet(*known) if known else None
-        responses, reused, rejected = scan.scan(batch, tables, records, F.current_timestamp() if as_of is None else as_of, hours)
-        scan.to_records(responses, batch).write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
-        reused.select("msg_id", "hash", "ts", "hit_id").write.mode("overwrite").parquet(f"{path}/reused/batch={batch_id}")
-        rejected.select("msg_id", "reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
-
-    return messages.writeStream.foreachBatch(_guarded(write, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _there(spark: SparkSession, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        index = RecordIndex(spark, f"{path}/index", hours, lateness_hours)
+        index.expire(batch_id)
+        batch = batch.persist()
+        try:
+            keyed = batch.select(cache.cache_key(F.col("text")).alias("hash"), "ts")
+            responses, reused, rejected = scan.scan(batch, tables, index.near(keyed, batch_id), F.current_timestamp() if as_of is None else as_of, hours)
+            scan.to_records(responses, batch).write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+            reused.select("msg_id", "hash", "ts", "hit_id").write.mode("overwrite").parquet(f"{path}/reused/batch={batch_id}")
+            rejected.select("msg_id", "reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+            index.add(spark.read.parquet(f"{path}/records/batch={batch_id}"), batch_id)
+            index.mark(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = messages.writeStream.foreachBatch(_guarded(write, path)).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _guarded(write: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:

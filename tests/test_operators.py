@@ -137,6 +137,16 @@ def test_corpus(spark):
     assert corpus.drop_null_like(spark.createDataFrame([("NaN ",), ("good text",)], "text string")).count() == 1
 
 
+def test_scan_reuses_within_a_batch(spark):
+    now = dt.datetime(2026, 6, 13)
+    hour = lambda h: now + dt.timedelta(hours=h)
+    rows = [("a", "dinner at 8?", "text", hour(0)), ("b", "dinner at 8?", "text", hour(5)), ("c", "dinner at 8?", "text", hour(30)), ("d", "हे आहे", "text", hour(1)), ("e", "हे आहे", "text", hour(2)), ("f", "dinner at 8?", "text", hour(31)), ("g", None, "text", hour(1)), ("h", None, "text", hour(2))]
+    done, reused, rejected = scan.scan(spark.createDataFrame(rows, readers.MESSAGES), snapshots(spark), None, F.lit("2026-06-13").cast("timestamp"))
+    named = {r.msg_id: r.scan_id for r in done.collect()}
+    assert set(named) == {"a", "c", "g", "h"} and {r.msg_id for r in rejected.collect()} == {"d", "e"}
+    assert {r.msg_id: r.hit_id for r in reused.collect()} == {"b": named["a"], "f": named["c"]}
+
+
 def test_reuse(spark):
     at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
     rows = [("k", 1, at(0)), ("k", 2, at(20)), ("k", 3, at(30)), ("k", 4, at(50)), ("k", 5, at(54.5)), ("j", 6, at(1))]
