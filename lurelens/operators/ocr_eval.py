@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .quantiles import percentiles
 
 KINDS = ("urls", "phone_numbers", "upi_ids", "amounts")
 
@@ -38,21 +39,28 @@ def url_failures(evaluated: DataFrame) -> DataFrame:
 
 
 def metrics(evaluated: DataFrame) -> DataFrame:
-    """Per folder and over all (folder null): counts, latency, error rates and entity preservation in percent."""
+    """Per folder and over all (folder null): counts, latency, error rates and entity preservation in percent.
+
+    Percentiles are exact; they are found by counted ranges, so a folder with most of the results is in no task whole.
+    """
     ok = F.col("error").isNull()
     time = F.when(ok, F.col("execution_time_ms"))
     kept = lambda k: F.coalesce(F.when(F.sum(f"{k}_expected") > 0, 100 * F.sum(f"{k}_matched") / F.sum(f"{k}_expected")), F.lit(0.0)).alias(f"{k}_pct")
-    # Folders are few; percentiles are exact and kept as counts of distinct values.
     sets = evaluated.rollup("folder").agg(
+        F.grouping("folder").alias("_all"),
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("successful"),
         F.count_if(~ok).alias("failed"),
         F.avg(time).alias("avg_latency_ms"),
-        F.percentile(time, 0.5).alias("median_latency_ms"),
-        F.percentile(time, 0.95).alias("p95_latency_ms"),
         F.count_if(ok & F.col("fallback_used")).alias("fallbacks"),
         F.avg("cer").alias("avg_cer"),
         F.avg("wer").alias("avg_wer"),
         *(kept(k) for k in KINDS),
     )
-    return sets
+    times = evaluated.select("folder", time.alias("_ms")).select(F.explode(F.array(F.struct(F.lit(0).alias("_all"), "folder"), F.struct(F.lit(1).alias("_all"), F.lit(None).cast(evaluated.schema["folder"].dataType).alias("folder")))).alias("g"), "_ms").select("g.*", "_ms")
+    found = percentiles(times, ["_all", "folder"], "_ms", {"median_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    same = (F.col("a._all") == F.col("b._all")) & F.col("a.folder").eqNullSafe(F.col("b.folder"))
+    joined = sets.alias("a").join(found.alias("b"), same, "left")
+    first = ("folder", "total", "successful", "failed", "avg_latency_ms")
+    rest = ("fallbacks", "avg_cer", "avg_wer", *(f"{k}_pct" for k in KINDS))
+    return joined.select(*(F.col(f"a.{c}") for c in first), "median_latency_ms", "p95_latency_ms", *(F.col(f"a.{c}") for c in rest))

@@ -657,22 +657,56 @@ def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "blocks", F.round("min_confidence", 4).alias("min_confidence"), F.round("mean_confidence", 6).alias("mean_confidence"), "characters", F.col("devanagari").cast("int").alias("devanagari"))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as ground truth, read with every e lost and each seventh turn failed."""
-    turns = _table(spark, sf_dir, "conversations").withColumn("filename", F.concat_ws("-", "conv_id", "turn"))
-    n = F.col("conv_id") + F.col("turn")
-    seen = turns.select("filename", F.col("role").alias("folder"), F.replace("text", F.lit("e"), F.lit("")).alias("clean_text"), (n % 50 + 10).cast("double").alias("execution_time_ms"), (n % 3 == 0).alias("fallback_used"), F.when(n % 7 == 0, "unreadable").alias("error"))
-    return ocr_eval.evaluate(seen, turns.select("filename", "text"))
+def _read_without_e(rows: DataFrame) -> DataFrame:
+    """Texts (filename, role, text, n) as ground truth, read with every e lost and each seventh one failed."""
+    n = F.col("n")
+    seen = rows.select("filename", F.col("role").alias("folder"), F.replace("text", F.lit("e"), F.lit("")).alias("clean_text"), (n % 50 + 10).cast("double").alias("execution_time_ms"), (n % 3 == 0).alias("fallback_used"), F.when(n % 7 == 0, "unreadable").alias("error"))
+    return ocr_eval.evaluate(seen, rows.select("filename", "text"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("filename"), "role", "text", (F.col("conv_id") + F.col("turn")).alias("n"))
 
 
 def recognition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ocr_eval.metrics(_evaluated(spark, sf_dir))
+    out = ocr_eval.metrics(_read_without_e(_turns(spark, sf_dir)))
     return out.select(F.coalesce("folder", F.lit("all")).alias("folder"), "total", "successful", "failed", *(F.round(c, 6).alias(c) for c in ("avg_latency_ms", "median_latency_ms", "p95_latency_ms", "avg_cer")), "fallbacks")
 
 
 def recognition_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word error rate of each turn; SQL has no edit distance of word lists."""
-    return _evaluated(spark, sf_dir).select("filename", F.round("wer", 6).alias("wer"), "urls_expected", "urls_matched", "amounts_expected", "amounts_matched")
+    """Word error rate of each turn."""
+    return _read_without_e(_turns(spark, sf_dir)).select("filename", F.round("wer", 6).alias("wer"), "urls_expected", "urls_matched", "amounts_expected", "amounts_matched")
+
+
+def recognition_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean word error rate and the share of entities that survive, of turns behind a phrase and before a link."""
+    phrase = F.get(F.array(*map(F.lit, PHRASES)), (F.col("n") % len(PHRASES)).cast("int"))
+    link = F.concat(F.when(F.col("n") % 2 == 0, " at http://pay").otherwise(" at http://secure"), (F.col("n") % 9).cast("string"), F.lit(".com/x"))
+    own = _turns(spark, sf_dir).withColumn("text", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")), link))
+    out = ocr_eval.metrics(_read_without_e(own))
+    return out.select(F.coalesce("folder", F.lit("all")).alias("folder"), F.round("avg_wer", 6).alias("avg_wer"), *(F.round(f"{k}_pct", 4).alias(f"{k}_pct") for k in ocr_eval.KINDS))
+
+
+def _word_distance(a: str, b: str) -> str:
+    """Edit distance of two lists of words: p is the row of the table for the words of a so far, t the next one as it grows."""
+    places = lambda x: f"[[CAST(i AS BIGINT)] FOR i IN range(1, len({x}) + 1)]"
+    cell = f"least(t[len(t)] + 1, p[j[1] + 1] + 1, p[j[1]] + CASE WHEN {a}[k[1]] = {b}[j[1]] THEN 0 ELSE 1 END)"
+    row = f"list_reduce([k] || {places(b)}, lambda t, j: list_append(t, {cell}))"
+    return f"list_reduce([range(0, len({b}) + 1)] || {places(a)}, lambda p, k: {row})[len({b}) + 1]"
+
+
+#: Word error rates of texts t with the words that were read.
+_WORDS_READ = f"""z AS (SELECT *, [x FOR x IN string_split_regex(text, '[ \t\n\r]+') IF x <> ''] AS a, [x FOR x IN string_split_regex(replace(text, 'e', ''), '[ \t\n\r]+') IF x <> ''] AS b FROM t),
+    wr AS (SELECT *, CASE WHEN n % 7 = 0 OR text IS NULL THEN NULL WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE {_word_distance("a", "b")}::DOUBLE / len(a) END AS wer FROM z)"""
+#: Entities of texts t as they are and as they were read, and how many of each kind survive.
+_SURVIVING = f"""e1 AS (SELECT filename AS msg_id, {_healed("text")} AS h FROM t UNION ALL SELECT concat(filename, ' read'), {_healed("replace(text, 'e', '')")} FROM t), {_FROM_HEALED},
+    ul AS (SELECT msg_id, list(u) AS urls FROM u3 GROUP BY msg_id), en AS (SELECT e4.msg_id, coalesce(urls, []) AS urls, phones AS phone_numbers, upi AS upi_ids, amounts FROM e4 LEFT JOIN ul ON ul.msg_id = e4.msg_id),
+    sv AS (SELECT t.filename, t.role, t.n, {", ".join(f"len(x.{k}) AS {k}_expected, len([v FOR v IN x.{k} IF list_contains(y.{k}, v)]) AS {k}_matched" for k in ocr_eval.KINDS)}
+        FROM t JOIN en x ON x.msg_id = t.filename JOIN en y ON y.msg_id = concat(t.filename, ' read') WHERE n % 7 <> 0)"""
+_TURN_TEXTS = "t AS (SELECT concat(conv_id, '-', turn) AS filename, role, text, conv_id + turn AS n FROM conversations)"
+_PHRASE_OF_TURN = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(PHRASES))
+_PHRASED = f"""t AS (SELECT concat(conv_id, '-', turn) AS filename, role, conv_id + turn AS n, concat(CASE (conv_id + turn) % {len(PHRASES)} {_PHRASE_OF_TURN} END, ' ', coalesce(text, ''),
+        CASE WHEN (conv_id + turn) % 2 = 0 THEN ' at http://pay' ELSE ' at http://secure' END, (conv_id + turn) % 9, '.com/x') AS text FROM conversations)"""
 
 
 # --- reuse of results, two heads ------------------------------------------------------
@@ -721,7 +755,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         domain_evidence, html_signals, risk_score, narrative, diagnostics, full_scan, scan_outcomes, ip_safety, egress_audit, preflight, dedup,
         record_ids, group_labels, class_sample, usable_turns, integrity_report, stratified_split, training_corpus, split_matrix, intent_distribution, facet_rates, privacy_audit, exact_overlaps, benign_defence,
         source_profile, corpus_summary, hinglish_purity, template_overlap, content_flags, threat_funnel, top_sources, block_merge,
-        reading_order, block_statistics, recognition_metrics, recognition_words, cache_lookup, cache_misses, scan_ids, two_heads,
+        reading_order, block_statistics, recognition_metrics, recognition_words, recognition_entities, cache_lookup, cache_misses, scan_ids, two_heads,
     )
 }
 
@@ -807,6 +841,9 @@ SQL: dict[str, str] = {
     "recognition_metrics": """WITH t AS (SELECT role, text, replace(text, 'e', '') AS seen, conv_id + turn AS n FROM conversations), u AS (SELECT *, n % 7 <> 0 AS ok, (n % 50 + 10)::DOUBLE AS ms FROM t)
         SELECT coalesce(role, 'all') AS folder, count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(avg(ms) FILTER (ok), 6) AS avg_latency_ms, round(quantile_cont(ms, 0.5) FILTER (ok), 6) AS median_latency_ms, round(quantile_cont(ms, 0.95) FILTER (ok), 6) AS p95_latency_ms,
         round(avg(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(seen))::DOUBLE / length(text) END) FILTER (ok), 6) AS avg_cer, count(*) FILTER (ok AND n % 3 = 0) AS fallbacks FROM u GROUP BY ROLLUP (role)""",
+    "recognition_words": f"""WITH {_TURN_TEXTS}, {_WORDS_READ}, {_SURVIVING} SELECT wr.filename, round(wer, 6) AS wer, urls_expected, urls_matched, amounts_expected, amounts_matched FROM wr LEFT JOIN sv ON sv.filename = wr.filename""",
+    "recognition_entities": f"""WITH {_PHRASED}, {_WORDS_READ}, {_SURVIVING} SELECT coalesce(wr.role, 'all') AS folder, round(avg(wer), 6) AS avg_wer,
+        {", ".join(f"round(CASE WHEN sum({k}_expected) > 0 THEN 100.0::DOUBLE * sum({k}_matched) / sum({k}_expected) ELSE 0.0 END, 4) AS {k}_pct" for k in ocr_eval.KINDS)} FROM wr LEFT JOIN sv ON sv.filename = wr.filename GROUP BY ROLLUP (wr.role)""",
     "cache_lookup": """SELECT a.event_id AS msg_id, coalesce(arg_max(b.event_id, (b.ts, b.event_id)), -1) AS hit_id FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_id % 3 <> 0 AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 24 HOUR
         WHERE a.event_id % 3 = 0 GROUP BY a.event_id""",
     "cache_misses": f"WITH RECURSIVE {_MISSES} SELECT e.event_id AS request_id, CASE WHEN f.event_id IS NULL THEN 1 ELSE 0 END AS hit FROM e LEFT JOIN f ON f.event_id = e.event_id",
