@@ -38,6 +38,45 @@ def url_evidence(urls: DataFrame, reputation: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(squat | (F.col("reputation") == "malicious"), "hostile").otherwise("clean")).drop("_key", "_rep")
 
 
+def _deletions(word: Column) -> Column:
+    """The word with one character left out, in every place."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
+    return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def _neighbours(word: Column) -> Column:
+    """The word and what is left of it without one or two characters: words at distance 2 or less have one in common."""
+    once = _deletions(word)
+    return F.array_distinct(F.flatten(F.array(F.array(word), once, F.flatten(F.transform(once, _deletions)))))
+
+
+def brand_matches(domains: DataFrame, brands: DataFrame) -> DataFrame:
+    """Hosts that imitate an entry of a table of brands (ord, brand): domain, brand, stage and distance; others are left out.
+
+    The first brand that the first label contains counts, else the first at edit
+    distance 1 or 2, else one that its look-alike skeleton equals.  Nothing is
+    compared with every brand: parts of labels, their neighbours by deletion and
+    their skeletons are joined with those of the brands, whose number and
+    lengths bound what a label has of them.
+    """
+    brands = brands.filter("brand <> ''").groupBy("brand").agg(F.min("ord").alias("ord"))
+    sizes = brands.agg(F.coalesce(F.min(F.length("brand")), F.lit(1)), F.coalesce(F.max(F.length("brand")), F.lit(0))).first()
+    own = domains.select("domain").filter("domain <> ''").distinct().withColumn("label", F.split("domain", r"\.")[0])
+    words = own.select("label").filter("label <> ''").distinct()
+    size = F.length("label")
+    starts = F.sequence(F.lit(1), size)
+    lengths = lambda i: F.transform(F.filter(F.sequence(F.lit(sizes[0]), F.lit(max(sizes))), lambda n: n <= size - i + 1), lambda n: F.substring(F.col("label"), i, n))
+    parts = words.select("label", F.explode(F.array_distinct(F.flatten(F.transform(starts, lengths)))).alias("brand"))
+    inside = parts.filter("brand <> label").join(brands, "brand").select("label", F.lit(0).alias("step"), "ord", "brand", F.lit(None).cast("int").alias("distance"))
+    around = words.filter(size.between(sizes[0] - 2, sizes[1] + 2)).select("label", F.explode(_neighbours(F.col("label"))).alias("near"))
+    met = around.join(brands.select("brand", "ord", F.explode(_neighbours(F.col("brand"))).alias("near")), "near").select("label", "brand", "ord").distinct()
+    near = met.withColumn("distance", F.levenshtein("label", "brand")).filter("distance BETWEEN 1 AND 2").select("label", F.lit(1).alias("step"), "ord", "brand", "distance")
+    like = words.withColumn("brand", text.look_alike_skeleton(F.col("label"))).filter("brand <> label").join(brands, "brand").select("label", F.lit(2).alias("step"), "ord", "brand", F.lit(None).cast("int").alias("distance"))
+    best = inside.union(near).union(like).groupBy("label").agg(F.min(F.struct("step", "ord", "brand", "distance")).alias("m"))
+    stage = F.element_at(F.array(*map(F.lit, ("inside", "near", "like"))), F.col("m.step") + 1)
+    return own.join(best, "label").select("domain", "m.brand", stage.alias("stage"), "m.distance")
+
+
 def domain_age(domains: DataFrame, whois: DataFrame, as_of: Column) -> DataFrame:
     """Adds whois_status, whois_reason, created, age_days and is_recent_domain to rows with domain and ``check``."""
     fields = ("created_date", "registry_created_date", "created_normalized", "registry_created_normalized")

@@ -678,12 +678,16 @@ def recognition_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_without_e(_turns(spark, sf_dir)).select("filename", F.round("wer", 6).alias("wer"), "urls_expected", "urls_matched", "amounts_expected", "amounts_matched")
 
 
-def recognition_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean word error rate and the share of entities that survive, of turns behind a phrase and before a link."""
+def phrased_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns behind a phrase and before a link."""
     phrase = F.get(F.array(*map(F.lit, PHRASES)), (F.col("n") % len(PHRASES)).cast("int"))
     link = F.concat(F.when(F.col("n") % 2 == 0, " at http://pay").otherwise(" at http://secure"), (F.col("n") % 9).cast("string"), F.lit(".com/x"))
-    own = _turns(spark, sf_dir).withColumn("text", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")), link))
-    out = ocr_eval.metrics(_read_without_e(own))
+    return _turns(spark, sf_dir).withColumn("text", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")), link))
+
+
+def recognition_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean word error rate and the share of entities that survive, of phrased turns."""
+    out = ocr_eval.metrics(_read_without_e(phrased_turns(spark, sf_dir)))
     return out.select(F.coalesce("folder", F.lit("all")).alias("folder"), F.round("avg_wer", 6).alias("avg_wer"), *(F.round(f"{k}_pct", 4).alias(f"{k}_pct") for k in ocr_eval.KINDS))
 
 

@@ -7,8 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lurelens import queries
+from lurelens import detail_queries
+from lurelens import queries as main_queries
 
+QUERIES, SQL = main_queries.QUERIES | detail_queries.QUERIES, main_queries.SQL | detail_queries.SQL
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="tables are not there")
 
@@ -31,9 +33,9 @@ def plain(df):
     return text.sort_values(cols).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
-    got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.sql(queries.SQL[name]).df()
+    got, want = QUERIES[name](spark, DIR).toPandas(), con.sql(SQL[name]).df()
     pd.testing.assert_frame_equal(plain(got), plain(want))
 
 
@@ -48,7 +50,7 @@ def edits(a, b):
 
 def test_word_errors_match_brute_force(spark, con):
     turns = con.sql("SELECT concat(conv_id, '-', turn) AS filename, text, replace(text, 'e', '') AS seen, (conv_id + turn) % 7 <> 0 AS ok FROM conversations").fetchall()
-    got = {r.filename: r.wer for r in queries.recognition_words(spark, DIR).collect()}
+    got = {r.filename: r.wer for r in main_queries.recognition_words(spark, DIR).collect()}
     assert len(got) == len(turns)
     for name, text, seen, ok in turns:
         want = round(edits(text.split(), seen.split()) / len(text.split()), 6) if ok else None
