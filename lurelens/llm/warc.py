@@ -9,7 +9,7 @@ them by archive and offset, joins ranges that lie within ``gap`` bytes of each
 other, and reads each joined range once.
 
 Nulls and edge cases: a null payload is empty; a null URL is written as an empty
-one; a null id is carried in the index and never serves as a revisit's target;
+one, and line breaks in one as %0D and %0A; a null id is carried in the index and never serves as a revisit's target;
 of rows that repeat an id with an equal payload one is the response and the
 others revisit that id; very long payloads are held one at a time; an empty table gives
 an empty index; other columns are ignored.
@@ -22,6 +22,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
-from .text import slices
+from .text import BitTable, quoted, slices
 
 #: Payloads from this size on are written once; the others of equal content revisit it.
 REVISIT_BYTES = 1000
+#: Copies of one payload beyond which they are dealt over parts.
+HOT_ROWS = 20_000
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES, TASK_BYTES = 64 << 20, 32 << 10, 8 << 20, 64 << 20
 _DATE = "2020-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
@@ -43,7 +46,7 @@ def _record(url: str, page: int | None, kind: str, digest: str, size: int, refer
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {kind} {digest}')}>",
         "WARC-Date": _DATE,
-        "WARC-Target-URI": " ".join(url.split()),
+        "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Page-ID": "" if page is None else page,
         "X-Payload-Length": size,
@@ -94,22 +97,43 @@ def _write(folder: str, archive_bytes: int):
     return run
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Pages with digest, size, record type and the page that a revisit refers to."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pages with digest, size, record type and the page that a revisit refers to.
+
+    Roles are decided on digests and ids.  A bit table of the digests that occur
+    more than once tells which pages may have a copy: the others are
+    responses as they stand and are not shuffled.  Of those, pages of a digest
+    with more than ``hot_rows`` copies, and more than one in ten thousand of all, so
+    fewer than ten thousand digests, are dealt over parts.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "warc-copies")
+    own = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).alias("url"), F.coalesce(F.col(quoted(html_col)), F.lit("")).alias("html"))
     own = own.withColumns({"payload_digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
-    long = own.filter((F.col("bytes") >= revisit_bytes) & F.col("page_id").isNotNull())
-    shared = long.groupBy("payload_digest").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("copies"), F.countDistinct("page_id").alias("pages"))
-    shared = Scratch(pages.sparkSession, "warc-copies").save(shared.filter("copies > 1"), "shared")
-    marked = own.join(shared, "payload_digest", "left")
-    # Rows that repeat the chosen id: only one can be the response. There are none while ids are unique.
-    repeated = shared.filter("copies > pages").select("payload_digest").withColumn("again", F.lit(True))
-    marked = marked.join(repeated, "payload_digest", "left")
+    long = (F.col("bytes") >= revisit_bytes) & F.col("page_id").isNotNull()
+    sizes = own.filter(long).groupBy("payload_digest").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("copies"), F.countDistinct("page_id").alias("pages"))
+    shared = scratch.save(sizes.filter("copies > 1"), "shared")
+    table = spark.sparkContext.broadcast(BitTable(shared.select(F.xxhash64("payload_digest").alias("key")), "key", shared.count()))
+    may = F.arrow_udf(lambda keys: pa.array(table.value.holds(np.asarray(keys).view(np.uint64))), "boolean")
+    own = own.withColumn("may", may(F.xxhash64("payload_digest")))
+    columns = ("page_id", "url", "payload_digest", "bytes", "record_type", "refers_to", "html")
+    alone = own.filter("NOT may").withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+
+    rows = shared.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = shared.filter(F.col("copies") > max(hot_rows, rows // 10_000)).select("payload_digest", F.ceil(F.col("copies") / hot_rows).cast("int").alias("parts"))
+    hot = F.broadcast(scratch.save(hot, "hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    marked = own.filter("may").join(hot, "payload_digest", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts).cast("int")).drop("parts")
+    known = shared.join(hot, "payload_digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("payload_digest", "part", "chosen", (F.col("copies") > F.col("pages")).alias("again"))
+    marked = marked.join(known, ["payload_digest", "part"], "left")
+    # Rows that repeat an id: only one of those with the chosen one can be the response. There are none while ids are unique.
     first = F.row_number().over(Window.partitionBy("payload_digest", "page_id").orderBy("url"))
-    twice = marked.filter("again").withColumn("turn", first)
-    marked = marked.filter("again is null").withColumn("turn", F.lit(1)).unionByName(twice)
+    again = F.coalesce("again", F.lit(False)) & F.col("page_id").eqNullSafe(F.col("chosen"))
+    twice = marked.filter(again).withColumn("turn", first)
+    marked = marked.filter(~again).withColumn("turn", F.lit(1)).unionByName(twice)
     revisit = (F.col("bytes") >= revisit_bytes) & F.col("chosen").isNotNull() & F.coalesce((F.col("page_id") != F.col("chosen")) | (F.col("turn") > 1), F.lit(True))
-    return marked.select("page_id", "url", "payload_digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("chosen")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
+    marked = marked.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("chosen")), "html": F.when(~revisit, F.col("html"))})
+    return alone.select(*columns).unionByName(marked.select(*columns))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:

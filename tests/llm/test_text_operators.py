@@ -84,6 +84,42 @@ def test_warc(spark):
     assert warc.read_records(spark.createDataFrame([], index.schema), folder).collect() == []
 
 
+def test_warc_copies_of_one_page(spark):
+    """A third of all pages are one error page: its copies are dealt over parts; URLs come back as they were."""
+    page = "<html>not found</html>" * 60
+    rows = [(i, f"u  {i} " if i % 2 else f"a\nb{i}", page if i % 3 == 0 else f"{'x' * 1200}{i}", "d") for i in range(900)]
+    rows += [(5000, None, rows[1][2], "d"), (None, "n", page, "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string").repartition(5)
+    for hot in (50, 20_000):
+        got = warc.classify(pages, hot_rows=hot).collect()
+        assert len(got) == len(rows)
+        kinds = {r.page_id: (r.record_type, r.refers_to, r.html) for r in got}
+        assert all(kinds[i] == ("revisit", 897, None) for i in range(0, 897, 3)) and kinds[897] == ("response", None, page)
+        assert kinds[None] == ("revisit", 897, None) and kinds[1] == ("revisit", 5000, None) and kinds[5000][0] == "response"
+        assert all(kinds[i] == ("response", None, rows[i][2]) for i in range(2, 900, 3))
+    back = {r.page_id: r.url for r in warc.round_trip(pages).collect()}
+    assert back == {i: (u or "").replace("\n", "%0A") for i, u, *_ in rows}
+
+
+def test_packing_deals_rows_without_ids(spark):
+    """Rows without an id, with one id, and equal rows of one length are numbered apart."""
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(None, "one two three") for _ in range(300)] + [(7, "four five six") for _ in range(300)] + [(None, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, 64).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_shards(spark):
     docs = spark.createDataFrame(documents(), DOCS)
     store = sharding.ShardStore(spark, Scratch(spark, "shards-test").path, target_bytes=100_000, fanout=3)
