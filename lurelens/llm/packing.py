@@ -309,7 +309,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, keys: tuple[str, ...] = ("doc_
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises, cuts and packs documents; a row per piece.
 
-    The pieces (five integers each) are written once, so texts are tokenised once.
+    The pieces (six integers each) are written once, so texts are tokenised
+    once; each gets a number of its own, by which rows without an id, or
+    with the same one, are dealt over tasks like others.
     """
-    pieces = Scratch(docs.sparkSession, "packing").save(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
-    return pack(pieces, capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("_nr", F.monotonically_increasing_id())
+    pieces = Scratch(docs.sparkSession, "packing").save(pieces, "pieces")
+    return pack(pieces, capacity, ("doc_id", "piece", "_nr")).drop("_nr")
