@@ -14,9 +14,12 @@ whose rename can replace a file need one writer at a time.  A shard is never
 rewritten in place, and a failed or repeated write leaves at most an unnamed
 folder.
 
-Only the manifest, a row per shard, is handled by the driver; its length is
-bounded by the bytes over the size of an arrival, and after compaction by the
-bytes over the target, not by the number of documents.
+The manifest is a table, a row per shard, that is planned with, filtered and
+extended by Spark.  A tier with more than ``run_files`` shards is cut by a hash of
+their paths into runs of about so many, and only the paths of one run at a time
+pass through the driver, whatever the number of shards; one commit ends the round.
+A reader names the files of its version to Spark, whose scans list their
+files in the driver, so a store is read best after compaction.
 
 Nulls and edge cases: nulls in any column are stored as they are; repeated rows
 stay repeated; a file without rows makes no shard; an empty table makes an
@@ -32,9 +35,9 @@ import math
 import os
 import uuid
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MANIFEST = "path string, rows long, bytes long"
@@ -52,8 +55,8 @@ class Shard:
 class ShardStore:
     """Shards and manifests under one folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fanout: int = 4):
-        self.spark, self.path, self.target_bytes, self.fanout = spark, path.rstrip("/"), target_bytes, fanout
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fanout: int = 4, run_files: int = 4096):
+        self.spark, self.path, self.target_bytes, self.fanout, self.run_files = spark, path.rstrip("/"), target_bytes, fanout, run_files
 
     def _files(self, pattern: str) -> list:
         jvm = self.spark._jvm
@@ -64,19 +67,27 @@ class ShardStore:
         """The newest committed version; 0 before the first."""
         return max((int(f.getPath().getName()[1:]) for f in self._files("versions/v*")), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The shards of a version as a table (path, rows, bytes)."""
         version = self.version() if version is None else version
         if not version:
-            return []
+            return self.spark.createDataFrame([], _MANIFEST)
         name = self.spark.read.text(f"{self.path}/versions/v{version:08d}").first()[0]
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifests/{name}").collect()
-        return sorted((Shard(*r) for r in rows), key=lambda s: s.path)
+        return self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifests/{name}")
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        """The shards of a version, gathered for a look at a small store."""
+        return sorted((Shard(*r) for r in self.manifest(version).collect()), key=lambda s: s.path)
+
+    def _table(self, shards: list[Shard] | DataFrame) -> DataFrame:
+        return shards if isinstance(shards, DataFrame) else self.spark.createDataFrame([(s.path, s.rows, s.bytes) for s in shards], _MANIFEST)
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Makes these shards version base + 1; raises FileExistsError if another writer has made it."""
+    def commit(self, shards: list[Shard] | DataFrame, base: int, written: tuple[str, ...] = ()) -> int:
+        """Makes these shards, and the files of folders just written, version base + 1; raises FileExistsError if another writer has made it."""
         name = uuid.uuid4().hex
-        rows = [(s.path, s.rows, s.bytes) for s in shards]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.json(f"{self.path}/manifests/{name}")
+        self._table(shards).write.json(f"{self.path}/manifests/{name}")
+        for folder in written:
+            self._stored(folder).write.mode("append").json(f"{self.path}/manifests/{name}")
         jvm, final = self.spark._jvm, f"{self.path}/versions/v{base + 1:08d}"
         made, wanted = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.path}/claims/{name}", final))
         store = made.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -90,42 +101,47 @@ class ShardStore:
             raise FileExistsError(f"version {base + 1} exists: {final}")
         return base + 1
 
-    def _stored(self, folder: str, schema) -> list[Shard]:
-        """The files with rows under a folder that has just been written."""
-        frame = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-        files = frame.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n"))
-        return [Shard(folder + unquote(r.file_path).rpartition(folder)[2], r.n, r.file_size) for r in files.collect()]
+    def _stored(self, folder: str) -> DataFrame:
+        """The files with rows under a folder that has just been written; only their ends are read."""
+        files = self.spark.read.parquet(f"{self.path}/{folder}").groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("rows"))
+        place = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+        return files.select(F.concat(F.lit(folder), F.substring_index(place, folder, -1)).alias("path"), "rows", F.col("file_size").alias("bytes"))
 
     def append(self, arrivals: DataFrame, batch_col: str = ARRIVAL) -> int:
         """Stores the files of each value of ``batch_col`` as shards and commits them together."""
         base, folder = self.version(), f"arrivals/{uuid.uuid4().hex[:12]}"
         arrivals.write.partitionBy(batch_col).parquet(f"{self.path}/{folder}")
-        return self.commit([*self.shards(base), *self._stored(folder, arrivals.drop(batch_col).schema)], base)
+        return self.commit(self.manifest(base), base, (folder,))
 
-    def tier(self, shard: Shard) -> int:
+    def tier(self) -> Column:
         """Shards of one tier differ in size by less than ``fanout`` times; those of half the target and more are done."""
-        return -1 if 2 * shard.bytes >= self.target_bytes else int(math.log(max(shard.bytes, 1), self.fanout))
+        return F.when(2 * F.col("bytes") >= self.target_bytes, -1).otherwise(F.floor(F.log(float(self.fanout), F.greatest("bytes", F.lit(1)))).cast("int"))
 
-    def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs of similarly sized shards to merge now, smallest tier first."""
-        tiers: dict[int, list[Shard]] = {}
-        for s in shards:
-            tiers.setdefault(self.tier(s), []).append(s)
-        return [sorted(own, key=lambda s: (s.bytes, s.path)) for k, own in sorted(tiers.items()) if k >= 0 and len(own) >= self.fanout]
+    def plan(self, shards: list[Shard] | DataFrame) -> list[tuple[int, int]]:
+        """The tiers to merge now with their number of shards, smallest first; there are few tiers."""
+        tiers = self._table(shards).groupBy(self.tier().alias("tier")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return sorted((r["tier"], r["n"]) for r in tiers if r["tier"] >= 0 and r["n"] >= self.fanout)
 
     def compact(self) -> int:
-        """One round: merges every tier that is full and commits; returns the number of merges."""
+        """One round: merges every tier that is full, run by run, and commits; returns the number of merges."""
         base = self.version()
-        live = self.shards(base)
-        runs = self.plan(live)
-        for run in runs:
-            merged, retired = f"merged/{uuid.uuid4().hex}", {s.path for s in run}
-            frame = self._packed(run)
-            frame.write.parquet(f"{self.path}/{merged}")
-            live = [s for s in live if s.path not in retired] + self._stored(merged, frame.schema)
-        if runs:
-            self.commit(live, base)
-        return len(runs)
+        live = self.manifest(base)
+        retired, written = F.lit(False), []
+        for tier, n in self.plan(live):
+            runs = max(1, n // self.run_files)
+            of = F.pmod(F.xxhash64("path"), F.lit(runs))
+            done = []
+            for k in range(runs):
+                run = live.filter((self.tier() == tier) & (of == k)).orderBy("bytes", "path").collect()
+                if len(run) < 2:
+                    continue
+                written.append(f"merged/{uuid.uuid4().hex}")
+                self._packed([r["path"] for r in run]).write.parquet(f"{self.path}/{written[-1]}")
+                done.append(k)
+            retired |= (self.tier() == tier) & of.isin(done)
+        if written:
+            self.commit(live.filter(~retired), base, tuple(written))
+        return len(written)
 
     def compact_fully(self) -> int:
         """Rounds until no tier is full; returns the version."""
@@ -133,7 +149,7 @@ class ShardStore:
             pass
         return self.version()
 
-    def _packed(self, run: list[Shard]) -> DataFrame:
+    def _packed(self, paths: list[str]) -> DataFrame:
         """The rows of a run, in partitions of whole files of ``target_bytes`` together, so that no row is shuffled.
 
         Two shards of a run fit a partition.  At most half as many partitions are left in any case, so merging comes to an end.
@@ -141,7 +157,7 @@ class ShardStore:
         own = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         for key, value in (("maxPartitionBytes", self.target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
             own.conf.set(f"spark.sql.files.{key}", str(value))
-        return own.read.parquet(*(f"{self.path}/{s.path}" for s in run)).coalesce(max(1, len(run) // 2))
+        return own.read.parquet(*(f"{self.path}/{p}" for p in paths)).coalesce(max(1, len(paths) // 2))
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """All rows of a version with the columns of ``schema``, ``shard_id`` and ``version``."""

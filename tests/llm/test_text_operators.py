@@ -137,6 +137,21 @@ def test_shards(spark):
         store.commit(store.shards(), last - 1)
 
 
+def test_a_tier_is_merged_in_bounded_runs(spark):
+    """A tier with many shards is cut into runs; no run has many more paths than asked for, and all rows stay."""
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = sharding.ShardStore(spark, Scratch(spark, "shards-runs").path, target_bytes=60_000, fanout=3, run_files=8)
+    store.append(docs.withColumn(sharding.ARRIVAL, (F.col("doc_id") % 48).cast("int")).repartition(1))
+    assert len(store.shards()) == 48
+    runs, packed = [], store._packed
+    store._packed = lambda paths: runs.append(len(paths)) or packed(paths)
+    assert store.compact() == len(runs) > 3 and max(runs) < 24 and store.version() == 2
+    last = store.compact_fully()
+    assert sum(s.rows for s in store.shards()) == 2400 and len(store.shards()) < 24
+    rows = lambda version: sorted(map(tuple, store.read(docs.schema, version).select("doc_id", "text").collect()))
+    assert rows(1) == rows(last) == sorted(map(tuple, docs.collect()))
+
+
 def test_of_two_writers_one_commits(spark):
     from concurrent.futures import ThreadPoolExecutor
 
