@@ -46,7 +46,7 @@ from .text import BitTable, Words, mix, slices
 
 LEAST, TOP, LONGEST, ABSORB_PERCENT = 100, 2000, 5, 100
 #: Words of a shard; n-grams a task unites before it hands them on; keys a task counts at once; keys and n-grams of a range.
-SHARD_WORDS, FLUSH_GRAMS, FLUSH_KEYS, RANGE_KEYS, RANGE_GRAMS = 2_000_000, 1_500_000, 2_000_000, 1_600_000, 1_000_000
+SHARD_WORDS, FLUSH_GRAMS, FLUSH_KEYS, RANGE_KEYS, RANGE_GRAMS = 2_000_000, 1_500_000, 2_000_000, 1_600_000, 4_000_000
 #: Longer n-grams of a prefix are dealt over this share of all ranges.
 SPREAD = 64
 _STOPS = np.zeros(256, bool)
