@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed, queries
 from .functions import labels, text
 from .operators import audit, blocks, corpus, intel, ocr_eval, scoring
+from .plans import scan
 from .queries import AS_OF
 
 
@@ -102,8 +103,28 @@ def brand_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.brand_matches(hosts.union(near), _brands(spark, sf_dir)).select("domain", "brand", "stage", F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
+def _shots(spark: SparkSession, sf_dir: str, script: str) -> DataFrame:
+    """Turns behind a phrase as blocks of a screenshot, line under line; the Hindi recogniser sees each third one differently."""
+    n, shift = F.col("turn"), 0 if script == "en" else 3
+    x, y = F.lit(40 + shift), (n * 40 + 2100 + shift).cast("int")
+    corner = lambda a, b: F.array(a, b)
+    box = F.array(corner(x, y), corner(x + 300, y), corner(x + 300, y + 20), corner(x, y + 20))
+    phrase = F.get(F.array(*map(F.lit, queries.PHRASES)), ((F.col("conv_id") + n) % len(queries.PHRASES)).cast("int"))
+    own = F.concat(F.when((F.lit(script) == "hi") & (n % 3 == 0), "सूचना ").otherwise(""), phrase, F.lit(" pls "), F.coalesce("text", F.lit("")))
+    rows = queries._table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("image_id"), n.cast("int").alias("block_idx"), box.alias("bbox"), own.alias("text"), (F.lit(0.5) + (n % 10) / 20.0).alias("confidence"), F.lit(script).alias("script"))
+
+
+def screenshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screenshots from both recognisers' blocks to a score: merged, cleaned, in reading order, masked and scanned."""
+    hindi, english = _shots(spark, sf_dir, "hi"), _shots(spark, sf_dir, "en")
+    images = english.select("image_id").distinct().withColumn("height", F.lit(20_000))
+    out = scan.scan_screenshots(hindi, english, images, queries._snapshots(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return out.select(F.col("msg_id").alias("image_id"), F.size("urls").alias("n_urls"), "risk_score", "risk_category", F.sha2("normalized_text", 256).alias("text_hash"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (response_details, missed_links, strayed_synthetic, failed_integrity, language_slices, benign_greetings, clean_blocks, block_quality, brand_slugs, brand_table)
+    f.__name__: f for f in (response_details, missed_links, strayed_synthetic, failed_integrity, language_slices, benign_greetings, clean_blocks, block_quality, brand_slugs, brand_table, screenshot_scan)
 }
 
 _IN = queries._in
@@ -120,6 +141,13 @@ _WEIGHT = {
     "domain": (0.0, round(20 / 85, 3), 0.20),
     "sandbox": (0.0, 0.0, 0.15),
 }
+_PHRASE_OF_SHOT = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(queries.PHRASES))
+_SHORT = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SHORTHAND.items() if " " not in k) + " ELSE w END"
+#: Merged blocks of screenshots, those above the least confidence and within the margins, their words written out, line by line, masked.
+_SHOTS = f"""b0 AS (SELECT conv_id, turn, concat(CASE WHEN turn % 3 = 0 THEN 'सूचना ' ELSE '' END, CASE (conv_id + turn) % {len(queries.PHRASES)} {_PHRASE_OF_SHOT} END, ' pls ', coalesce(text, '')) AS text, 0.5::DOUBLE + (turn % 10) / 20.0::DOUBLE AS c FROM conversations),
+    b1 AS (SELECT conv_id, turn, [{_SHORT} FOR w IN string_split_regex(text, '[ \\t\\n\\r]+') IF w <> ''] AS w FROM b0 WHERE c >= {fixed.MIN_CONFIDENCE} AND turn * 40 + 2100 >= 2000 AND turn * 40 + 2123 <= 18000),
+    b2 AS (SELECT conv_id, string_agg(array_to_string(w, ' '), chr(10) ORDER BY turn) AS text FROM b1 GROUP BY conv_id),
+    shots AS (SELECT conv_id AS msg_id, regexp_replace({queries._healed("text")}, '{queries._dialect(fixed.NATIONAL_ID)}', '{fixed.NATIONAL_ID_MASK}', 'g') AS text, CAST(NULL AS VARCHAR) AS url FROM b2)"""
 _DOWN = f"sandbox_status IN ({', '.join(repr(x) for x in fixed.FAILED_SANDBOX)})"
 
 SQL: dict[str, str] = {
@@ -140,6 +168,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT conv_id, CAST(turn AS INT), concat(turn, '%') FROM b WHERE turn % 6 = 3 AND turn > 999 AND y >= h * 0.1 AND y + 12 <= h * 0.9""",
     "block_quality": f"""WITH b AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'सूचना' ELSE {queries._WORD} END AS w, 0.5::DOUBLE + (turn % 10) / 20.0::DOUBLE AS c FROM conversations)
         SELECT conv_id AS image_id, round(0.4::DOUBLE * avg(c) + CASE WHEN conv_id % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END + 0.3::DOUBLE * least(1.0::DOUBLE, sum(length(w)) / 50.0::DOUBLE), 6) AS quality FROM b GROUP BY conv_id""",
+    "screenshot_scan": f"WITH {_SHOTS}, {queries._SCANNED.replace(queries.MESSAGES, 'SELECT * FROM shots')} SELECT o.msg_id AS image_id, CAST(n_urls AS INT) AS n_urls, final AS risk_score, category AS risk_category, sha256(e1.normalized) AS text_hash FROM o JOIN e1 ON e1.msg_id = o.msg_id",
     "brand_slugs": "SELECT s_suppkey, regexp_replace(lower(concat(s_name, ' Bank (Branch ', s_nationkey, ')')), '[ ()]|bank', '', 'g') AS slug FROM supplier",
     "brand_table": f"""WITH v AS (SELECT i, b FROM (VALUES {_BRAND_VALUES}) x(i, b) UNION ALL SELECT n_nationkey + 1000, replace(lower(n_name), ' ', '') FROM nation), nm AS (SELECT replace(lower(n_name), ' ', '') AS s FROM nation),
         d AS (SELECT DISTINCT {queries._HOST} AS host FROM pages UNION SELECT unnest([concat(substr(s, 1, 2), substr(s, 4), '.com'), concat('x', s, 'y.net'), concat('pay-', s, '.org'), concat(translate(s, 'ao', 'eu'), '.in')]) FROM nm), hl AS (SELECT host, split_part(host, '.', 1) AS sld FROM d),
