@@ -172,3 +172,19 @@ MIN_CONFIDENCE, MIN_OVERLAP, LINE_GAP = 0.55, 0.50, 15
 WEIGHTS = {"ML": 0.40, "URL": 0.25, "Domain": 0.20, "Sandbox": 0.15}
 FAILED_SANDBOX = ["hostile_timeout", "failed", "skipped"]
 CATEGORY_HI = {"Safe": "सुरक्षित (Safe)", "Suspicious": "संदिग्ध (Suspicious)", "High Risk": "अत्यंत जोखिम (High Risk)"}
+
+# Sentences of imitation of brands and of checks before a page is opened, with their places to fill.
+SQUAT_INSIDE = "Domain contains trusted brand name '{brand}' in suspicious context."
+SQUAT_NEAR = "Domain SLD '{label}' is highly similar to brand '{brand}' (edit distance: {distance})."
+SQUAT_LIKE = "Domain SLD '{label}' visually mimics brand '{brand}' using homoglyphs."
+SQUAT_NONE = "No typosquatting detected."
+URL_EMPTY = "Empty or invalid URL type"
+URL_NO_SCHEME = "Missing URL scheme"
+URL_BAD_SCHEME = "Disallowed URL scheme: {scheme}"
+URL_NO_HOST = "Missing hostname in URL"
+URL_BAD_PORT = "Malformed port in URL"
+DNS_LATE = "DNS resolution timed out"
+DNS_EMPTY = "DNS resolution returned no IP addresses"
+DNS_FAILED = "DNS resolution failed"
+DNS_UNSAFE = "Hostname resolves to unsafe IP address: {ip}"
+URL_SAFE = "URL is safe for sandbox execution"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import look_alike_skeleton, once, trimmed, words_array
+from .text import filled, look_alike_skeleton, once, trimmed, words_array
 
 _V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
@@ -81,17 +81,16 @@ def typosquat(host: Column) -> Column:
         inside = F.get(F.filter(brands, lambda b: label.contains(b) & (label != b)), F.lit(0))
         near = F.get(F.filter(F.transform(brands, lambda b: F.struct(b.alias("b"), F.levenshtein(label, b).alias("d"))), lambda x: x["d"].between(1, 2)), F.lit(0))
         like = F.get(F.filter(brands, lambda b: (look_alike_skeleton(label) == b) & (label != b)), F.lit(0))
-        text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
         found = F.struct(inside.alias("inside"), near.alias("near"), like.alias("like"))
         return once(
             found,
             lambda f: F.struct(
                 F.coalesce(f["inside"], f["near"]["b"], f["like"]).isNotNull().alias("is_typosquatted"),
                 F.coalesce(f["inside"], f["near"]["b"], f["like"]).alias("target_brand"),
-                F.when(f["inside"].isNotNull(), text("Domain contains trusted brand name '", f["inside"], "' in suspicious context."))
-                .when(f["near"].isNotNull(), text("Domain SLD '", label, "' is highly similar to brand '", f["near"]["b"], "' (edit distance: ", f["near"]["d"].cast("string"), ")."))
-                .when(f["like"].isNotNull(), text("Domain SLD '", label, "' visually mimics brand '", f["like"], "' using homoglyphs."))
-                .otherwise("No typosquatting detected.")
+                F.when(f["inside"].isNotNull(), filled(fixed.SQUAT_INSIDE, brand=f["inside"]))
+                .when(f["near"].isNotNull(), filled(fixed.SQUAT_NEAR, label=label, brand=f["near"]["b"], distance=f["near"]["d"].cast("string")))
+                .when(f["like"].isNotNull(), filled(fixed.SQUAT_LIKE, label=label, brand=f["like"]))
+                .otherwise(fixed.SQUAT_NONE)
                 .alias("reason"),
             ),
         )
@@ -161,11 +160,11 @@ def parse_url(url: Column) -> Column:
     number = port.try_cast("long")
     whole = F.concat(scheme, F.lit("://"), host, F.when((port != "") & (number != 0), F.concat(F.lit(":"), number.cast("string"))).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     reason = (
-        F.when(F.coalesce(url, F.lit("")) == "", "Empty or invalid URL type")
-        .when(scheme == "", "Missing URL scheme")
-        .when(~scheme.isin("http", "https"), F.concat(F.lit("Disallowed URL scheme: "), scheme))
-        .when(host == "", "Missing hostname in URL")
-        .when(bad_port, "Malformed port in URL")
+        F.when(F.coalesce(url, F.lit("")) == "", fixed.URL_EMPTY)
+        .when(scheme == "", fixed.URL_NO_SCHEME)
+        .when(~scheme.isin("http", "https"), filled(fixed.URL_BAD_SCHEME, scheme=scheme))
+        .when(host == "", fixed.URL_NO_HOST)
+        .when(bad_port, fixed.URL_BAD_PORT)
     )
     return once(reason, lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), whole).alias("normalized_url"), F.when(r.isNull(), host).alias("hostname")))
 

@@ -15,6 +15,12 @@ def once(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def filled(sentence: str, **parts: Column) -> Column:
+    """A sentence with columns in the places named in braces."""
+    pieces = sentence.replace("}", "{").split("{")
+    return F.concat(*(parts[x] if x in parts else F.lit(x) for x in pieces))
+
+
 def words_array(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 

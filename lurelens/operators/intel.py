@@ -179,14 +179,14 @@ def preflight(urls: DataFrame, answers: DataFrame) -> DataFrame:
     unsafe = F.get(F.filter("_ips", lambda x: ~x["safe"]), F.lit(0))["ip"]
     reason = (
         F.when(F.col("_p.reason").isNotNull(), F.col("_p.reason"))
-        .when(F.col("_late"), "DNS resolution timed out")
-        .when(F.col("_ips").isNull() & F.col("_late").isNotNull(), "DNS resolution returned no IP addresses")
-        .when(F.col("_ips").isNull(), "DNS resolution failed")
-        .when(unsafe.isNotNull(), F.concat(F.lit("Hostname resolves to unsafe IP address: "), unsafe))
-        .otherwise("URL is safe for sandbox execution")
+        .when(F.col("_late"), fixed.DNS_LATE)
+        .when(F.col("_ips").isNull() & F.col("_late").isNotNull(), fixed.DNS_EMPTY)
+        .when(F.col("_ips").isNull(), fixed.DNS_FAILED)
+        .when(unsafe.isNotNull(), text.filled(fixed.DNS_UNSAFE, ip=unsafe))
+        .otherwise(fixed.URL_SAFE)
     )
     out = joined.withColumns({"reason": reason, "normalized_url": F.col("_p.normalized_url"), "resolved_ips": F.transform("_ips", lambda x: x["ip"])})
-    return out.withColumn("allowed", F.col("reason") == "URL is safe for sandbox execution").drop("_p", "_ips", "_late")
+    return out.withColumn("allowed", F.col("reason") == fixed.URL_SAFE).drop("_p", "_ips", "_late")
 
 
 def egress_audit(connections: DataFrame, pins: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.labels import category
+from ..functions.text import filled
 from ..narrative_texts import EN, FACETS, HI
 
 
@@ -99,11 +100,10 @@ def narrative(language: str, by: str = "") -> Column:
     say = HI if language == "hi" else EN
     facets = F.col("text_track.social_engineering")
     intent = F.col("text_track.detected_intent")
-    fill = lambda template, **parts: F.concat(*_filled(template, parts))
     bullets = [F.when(F.element_at(facets, f) >= 0.5, say[f]) for f in FACETS]
     bullets += [F.when(intent == i, say[i]) for i in fixed.INTENT_WORDS]
     bullets += [
-        F.when(F.col("typosquatted_brand").isNotNull(), fill(say["typosquatting"], brand=F.upper("typosquatted_brand"))),
+        F.when(F.col("typosquatted_brand").isNotNull(), filled(say["typosquatting"], brand=F.upper("typosquatted_brand"))),
         F.when(F.col("any_malicious"), say["virustotal"]),
         F.when(F.col("any_recent"), say["recent_domain"]),
         F.when(F.col("any_free_recent"), say["ssl_free"]),
@@ -112,19 +112,11 @@ def narrative(language: str, by: str = "") -> Column:
     ]
     body = F.array_join(F.array_compact(F.array(*bullets)), "\n")
     body = F.when(body == "", say["none"]).otherwise(body)
-    intro = fill(say["intro"], category=category_name(F.col("risk_category"), language), score=F.col("risk_score").cast("string"))
+    intro = filled(say["intro"], category=category_name(F.col("risk_category"), language), score=F.col("risk_score").cast("string"))
     end = F.when(F.col("risk_category") == "Safe", say["Safe"].format(by=by)).when(F.col("risk_category") == "Suspicious", say["Suspicious"].format(by=by)).otherwise(say["High Risk"].format(by=by))
     return F.concat(intro, F.lit(f"\n\n{say['findings']}\n"), body, F.lit("\n\n"), end)
 
 
-def _filled(template: str, parts: dict[str, Column]) -> list[Column]:
-    """The template cut at its braces, with columns in their place."""
-    out = []
-    for piece in template.replace("}", "{").split("{"):
-        out.append(parts[piece] if piece in parts else F.lit(piece))
-    return out
-
-
 def explain(scored: DataFrame, by: str = "") -> DataFrame:
     """Adds the map of explanations by language."""
     flagged = evidence_flags(scored)

@@ -41,6 +41,12 @@ def _rows(values: list[str]) -> str:
     return ", ".join(f"({i}, '{v}')" for i, v in enumerate(values))
 
 
+def _sentence(sentence: str, **parts: str) -> str:
+    """A sentence with SQL expressions in the places named in braces."""
+    pieces = [parts[x] if x in parts else "'" + x.replace("'", "''") + "'" for x in sentence.replace("}", "{").split("{")]
+    return f"concat({', '.join(pieces)})"
+
+
 #: The same text runs in both engines.
 MESSAGES = f"""SELECT d.doc_id AS msg_id, d.source, d.lang, p.k,
     concat(p.phrase, ' ', coalesce(d.text, '')) AS text, g.url
@@ -799,7 +805,7 @@ SQL: dict[str, str] = {
         SELECT "check", value, lim AS "limit", CAST(value <= lim AS INT) AS passed FROM v""",
     "host_checks": f"""WITH {_SQUAT}, p AS (SELECT page_id, {_HOST} AS host FROM pages), v AS (SELECT p.*, {_VALID} AS validation FROM p)
         SELECT v.page_id, v.host, CAST(validation = 'valid' AS INT) AS is_valid, CASE WHEN validation = 'valid' THEN 'domain' ELSE 'invalid' END AS domain_type, validation, CAST(sq.brand IS NOT NULL AS INT) AS squat, coalesce(sq.brand, '') AS brand,
-        CASE stage WHEN 1 THEN concat('Domain contains trusted brand name ''', brand, ''' in suspicious context.') WHEN 2 THEN concat('Domain SLD ''', split_part(v.host, '.', 1), ''' is highly similar to brand ''', brand, ''' (edit distance: ', dist, ').') ELSE 'No typosquatting detected.' END AS squat_reason
+        CASE stage WHEN 1 THEN {_sentence(fixed.SQUAT_INSIDE, brand="brand")} WHEN 2 THEN {_sentence(fixed.SQUAT_NEAR, label="split_part(v.host, '.', 1)", brand="brand", distance="dist")} ELSE '{fixed.SQUAT_NONE}' END AS squat_reason
         FROM v LEFT JOIN sq ON sq.host = v.host""",
     "url_evidence": f"WITH {_URL_EVIDENCE} SELECT msg_id, url, domain, malicious, reputation, risk_score, CASE WHEN brand IS NOT NULL OR reputation = 'malicious' THEN 'hostile' ELSE 'clean' END AS verdict FROM ue",
     "domain_evidence": f"""WITH {_DOMAIN_EVIDENCE} SELECT p.page_id AS msg_id, de.host AS domain, 'valid' AS validation_status, CAST(age AS INT) AS age_days, whois AS whois_status, tls AS tls_status, free AS is_free_tls, CAST(risk AS INT) AS risk_score, {_CERT} AS intelligence_quality
@@ -818,8 +824,8 @@ SQL: dict[str, str] = {
     "egress_audit": f"""WITH e AS (SELECT event_id, user_id, {_ADDRESS} AS ip, {_unsafe_sql(_NUMBER)} AS unsafe FROM events), p AS (SELECT user_id, arg_min(ip, event_id) AS pin FROM e GROUP BY user_id)
         SELECT CASE WHEN event_id % 17 = 0 THEN 'missing_peer' WHEN event_id % 19 = 0 THEN 'malformed_peer' WHEN unsafe THEN 'unsafe_peer' WHEN ip <> pin THEN 'peer_mismatch' ELSE 'allowed' END AS outcome, count(*) AS n, min(event_id) AS first_event FROM e JOIN p USING (user_id) GROUP BY ALL""",
     "preflight": f"""WITH {_HOST_ROWS}, p AS (SELECT page_id, {_HOST} AS host FROM pages), j AS (SELECT p.page_id, p.host, hn.n, page_id % 10 = 0 AS ftp, concat('93.184.216.', n % 200) AS one, CASE WHEN n % 5 = 0 THEN concat('10.0.0.', n % 200) ELSE concat('93.184.216.', (n + 1) % 200) END AS two FROM p JOIN hn USING (host)),
-        r AS (SELECT *, CASE WHEN ftp THEN 'Disallowed URL scheme: ftp' WHEN n % 9 = 8 THEN 'DNS resolution failed' WHEN n % 9 = 7 THEN 'DNS resolution timed out' WHEN n % 5 = 0 THEN concat('Hostname resolves to unsafe IP address: ', two) ELSE 'URL is safe for sandbox execution' END AS reason FROM j)
-        SELECT page_id, CAST(reason = 'URL is safe for sandbox execution' AS INT) AS allowed, reason, CASE WHEN ftp THEN '' ELSE concat('http://', host, '/p?q=1') END AS normalized_url, CASE WHEN ftp OR n % 9 IN (7, 8) THEN '' ELSE concat(one, '|', two) END AS ips FROM r""",
+        r AS (SELECT *, CASE WHEN ftp THEN {_sentence(fixed.URL_BAD_SCHEME, scheme="'ftp'")} WHEN n % 9 = 8 THEN '{fixed.DNS_FAILED}' WHEN n % 9 = 7 THEN '{fixed.DNS_LATE}' WHEN n % 5 = 0 THEN {_sentence(fixed.DNS_UNSAFE, ip='two')} ELSE '{fixed.URL_SAFE}' END AS reason FROM j)
+        SELECT page_id, CAST(reason = '{fixed.URL_SAFE}' AS INT) AS allowed, reason, CASE WHEN ftp THEN '' ELSE concat('http://', host, '/p?q=1') END AS normalized_url, CASE WHEN ftp OR n % 9 IN (7, 8) THEN '' ELSE concat(one, '|', two) END AS ips FROM r""",
     "dedup": f"WITH {_UNIQUE} SELECT msg_id, is_scam, sha256(lower(text)) AS hash FROM un",
     "record_ids": f"WITH {_UNIQUE} SELECT msg_id, concat('real_', lpad(CAST(row_number() OVER (ORDER BY msg_id) AS VARCHAR), 6, '0')) AS id FROM un",
     "stratified_split": f"WITH {_SPLIT} SELECT msg_id, language, is_scam, split FROM sp",
