@@ -385,7 +385,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kept = linked.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("class").alias("class"))
     kept = scratch.save(kept.select("doc_id", "class").distinct(), "kept")
     shared = scratch.save(linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "shared")
-    stay = own.join(kept, "doc_id", "left_semi")
+    # Only rows that may go, or share an id, are shuffled: a bit table of their ids tells the others apart.
+    asked = scratch.save(linked.filter("doc_id <> component_id").select("doc_id").union(shared).distinct(), "asked-ids")
+    table = docs.sparkSession.sparkContext.broadcast(BitTable(asked, "doc_id", asked.count()))
+    may = F.arrow_udf(lambda ids: pa.array(table.value.holds(np.asarray(ids.fill_null(0)).view(np.uint64))), "boolean")
+    own = own.withColumn("may", F.col("doc_id").isNotNull() & may("doc_id"))
+    stay = own.filter("may").join(kept, "doc_id", "left_semi")
     if shared.isEmpty():
         unique = stay.select("row")
     else:
@@ -395,4 +400,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         first = F.min_by("row", F.struct(F.coalesce("text", F.lit("")), F.sha2(F.to_json("row"), 256)))
         texts = rows.join(classes, "nr").groupBy("doc_id", "class").agg(first.alias("row")).join(kept, ["doc_id", "class"], "left_semi")
         unique = stay.join(shared, "doc_id", "left_anti").select("row").union(texts.select("row"))
-    return unique.union(own.filter("doc_id IS NULL").select("row")).select("row.*")
+    return unique.union(own.filter("NOT may").select("row")).select("row.*")
