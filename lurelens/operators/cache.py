@@ -91,13 +91,16 @@ def misses(requests: DataFrame, hours: int = 24) -> DataFrame:
     # A hash whose seconds all lie within a life has one miss.
     long = starts.filter(F.col("_end") - F.col("_second") > life).select("hash")
     jumps = scratch.save(_next_after(times.join(long, "hash", "left_semi"), life), "jumps-0")
-    reached, k = starts.select("hash", "_second"), 0
+    doubled = []
     while not jumps.isEmpty():
-        reached = reached.union(reached.join(jumps, ["hash", "_second"]).select("hash", F.col("_next").alias("_second")))
+        doubled.append(jumps)
         further = jumps.select("hash", F.col("_second").alias("_next"), F.col("_next").alias("_then"))
-        k += 1
-        reached = scratch.save(reached, f"reached-{k}")
-        jumps = scratch.save(jumps.join(further, ["hash", "_next"]).select("hash", "_second", F.col("_then").alias("_next")), f"jumps-{k}")
+        jumps = scratch.save(jumps.join(further, ["hash", "_next"]).select("hash", "_second", F.col("_then").alias("_next")), f"jumps-{len(doubled)}")
+    # Every place of a chain is a sum of powers of two, so one pass over them reaches all.
+    reached = starts.select("hash", "_second")
+    for jumps in reversed(doubled):
+        both = F.explode(F.array_compact(F.array("_second", "_next")))
+        reached = reached.join(jumps, ["hash", "_second"], "left").select("hash", both.alias("_second"))
     first = F.min(F.struct("ts", "request_id"))
     missed = requests.withColumn("_second", F.unix_timestamp("ts")).groupBy("hash", "_second").agg(first.alias("_f")).join(reached, ["hash", "_second"])
     missed = missed.select("hash", F.col("_f.ts").alias("ts"), F.col("_f.request_id").alias("request_id"), F.lit(True).alias("_miss"))
