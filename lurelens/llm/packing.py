@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 from .text import NOT_SPACE, slices
 
-#: Cached words per Python worker; the cache starts anew beyond it.
+#: Cached words per task; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 #: Bytes of text handled at once: each word is an object for a moment.
 SLICE_BYTES = 1 << 19
@@ -122,6 +122,13 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                     out.append(first[head] + b"".join(map(later.__getitem__, rest)))
             return out
 
+        def forget() -> None:
+            """Gives back what a task has gathered, so that an idle worker holds little beside the next stage."""
+            first.clear()
+            later.clear()
+            pa.default_memory_pool().release_unused()
+
+        ids.forget = forget
         _ENCODERS[path] = ids
     return _ENCODERS[path]
 
@@ -152,6 +159,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                     ends = np.cumsum([0, *cols[3]]).astype(np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends), flat))
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        ids.forget()
 
     return run
 
