@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 
+_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def quick(pattern: str) -> str:
+    """The same pattern for the engine of Spark, which tries it at every character.
+
+    Printable ASCII characters are told from white space by one range instead of
+    all, and a word border is looked for only where what follows it may begin.
+    """
+    # Before a letter or a digit a border is where no such character stands before it.
+    begun = rf"(?<!{fixed.WORD})"
+    for first, edge, rest in ((r"\p{Nd}", begun, r"\p{Nd}"), ("[opvओप]", begun, "(?:otp|"), ("[+0-9]", fixed.EDGE, r"(?:\+91|91|0)?[6-9]")):
+        pattern = pattern.replace(fixed.EDGE + rest, f"(?={first}){edge}{rest}")
+    return pattern.replace(fixed.SPACE, f"[[^!-~]&&{fixed.SPACE}]").replace(fixed.NOT_SPACE, f"[!-~{fixed.NOT_SPACE}]")
+
+
+_GAP, _SEEN = quick(fixed.SPACE), quick(fixed.NOT_SPACE)
+_ID_HINT = rf"\p{{Nd}}{{4}}{_GAP}\p{{Nd}}{{4}}{_GAP}"
+
+
 def once(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -36,12 +56,14 @@ def count_of(text: Column, words: list[str]) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{fixed.SPACE}+|{fixed.SPACE}+$", "")
+    """A text without white space at its ends; only those two characters are looked at if neither is."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(fixed.SPACE), F.btrim(text, F.lit(_SPACES))).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:
     """White space runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(text, rf"{fixed.SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{_GAP}+", " "))
 
 
 def _steps(text: Column, steps) -> Column:
@@ -96,7 +118,7 @@ def url_netlocs(urls: Column) -> Column:
 
 def _distinct(text: Column, hint: str, pattern: str, group: int = 0) -> Column:
     """All distinct matches, sorted; texts without the hint, a cheaper pattern that every match holds, are not searched."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(quick(pattern)), F.lit(group))))
     return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -125,8 +147,13 @@ def bank_names(text: Column, upper: Column | None = None) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    hint = rf"\p{{Nd}}{{4}}{fixed.SPACE}\p{{Nd}}{{4}}{fixed.SPACE}"
-    return F.when(text.rlike(hint), F.regexp_replace(text, fixed.NATIONAL_ID, fixed.NATIONAL_ID_MASK.replace("[", "\\[").replace("]", "\\]"))).otherwise(text)
+    return F.when(text.rlike(_ID_HINT), F.regexp_replace(text, quick(fixed.NATIONAL_ID), fixed.NATIONAL_ID_MASK.replace("[", "\\[").replace("]", "\\]"))).otherwise(text)
+
+
+def national_ids(text: Column) -> Column:
+    """How many national ids there are; texts without the digits of one are not searched."""
+    count = F.regexp_count(text, F.lit(quick(fixed.NATIONAL_ID)))
+    return F.when(text.rlike(_ID_HINT), count).when(text.isNotNull(), 0)
 
 
 def has_devanagari(text: Column) -> Column:
@@ -135,13 +162,13 @@ def has_devanagari(text: Column) -> Column:
 
 def marathi(text: Column) -> Column:
     """Whether the text has the letter that Hindi lacks, or a Marathi-only word, all of which are Devanagari."""
-    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\sऀ-ॿ]", " "), rf"{fixed.SPACE}+")
+    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\sऀ-ॿ]", " "), f"{_GAP}+")
     return text.contains("ळ") | (has_devanagari(text) & F.arrays_overlap(words, words_array(fixed.MARATHI_WORDS)))
 
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation at their ends."""
-    split = F.filter(F.split(F.lower(text), rf"{fixed.SPACE}+"), lambda w: w != "")
+    split = F.filter(F.split(F.lower(text), f"{_GAP}+"), lambda w: w != "")
     return F.transform(split, lambda w: F.btrim(w, F.lit(fixed.TOKEN_EDGE)))
 
 
@@ -171,9 +198,16 @@ def purity(text: Column, own: Column | None = None) -> Column:
 
 def template_key(text: Column) -> Column:
     """Lower-case text with URLs, phones, amounts and numbers masked and punctuation dropped."""
-    out = trimmed(F.lower(text))
-    for pattern, replacement in fixed.TEMPLATE_STEPS:
-        out = F.regexp_replace(out, pattern, replacement)
+    (url, mark), *rest = fixed.TEMPLATE_STEPS
+    # What stands before a dot begins where no such character is before it, as a later start is part of the same match;
+    # from there each dot is met once, and texts without any mark of a URL are not searched.
+    host, end = url.rsplit(rf"|{fixed.NOT_SPACE}+\.", 1)
+    ends = end[: end.index(")") + 1]
+    label = rf"[{_SEEN}&&[^.]]*+\."
+    linear = rf"{quick(host)}|(?<!{_SEEN}){_SEEN}(?:{label}(?!{ends}))*+{label}{ends}{_SEEN}*"
+    out = once(trimmed(F.lower(text)), lambda t: F.when(t.rlike(rf"://|www\.|\.{ends}"), F.regexp_replace(t, linear, mark)).otherwise(t))
+    for pattern, replacement in rest:
+        out = F.regexp_replace(out, quick(pattern), replacement)
     return F.trim(out)
 
 
@@ -182,12 +216,15 @@ def content_hash(text: Column, normalised: bool = True) -> Column:
 
 
 def content_flags(text: Column, flags: dict[str, str] | None = None) -> Column:
-    return F.struct(*(text.rlike(p).alias(k) for k, p in (flags or fixed.FLAGS).items()))
+    """Whether each pattern occurs; of what stands before a dot one character is enough for that, and a payment id has its sign."""
+    found = {k: text.rlike(quick(p).replace(r"[a-zA-Z0-9\-]+\.(?:", r"[a-zA-Z0-9\-]\.(?:")) for k, p in (flags or fixed.FLAGS).items()}
+    signed = {k for k, p in (flags or fixed.FLAGS).items() if p == fixed.UPI_ID}
+    return F.struct(*((text.contains("@") & v if k in signed else v).alias(k) for k, v in found.items()))
 
 
 def expand_shorthand(text: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in fixed.SHORTHAND.items() for x in pair))
-    own = F.filter(F.split(text, rf"{fixed.SPACE}+"), lambda w: w != "")
+    own = F.filter(F.split(text, f"{_GAP}+"), lambda w: w != "")
     return F.array_join(F.transform(own, lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")
 
 
@@ -223,7 +260,7 @@ def word_distance(a: Column, b: Column) -> Column:
 
     There are characters for a million distinct words of a pair.
     """
-    split = lambda x: F.filter(F.split(x, rf"{fixed.SPACE}+"), lambda w: w != "")
+    split = lambda x: F.filter(F.split(x, f"{_GAP}+"), lambda w: w != "")
 
     spell = lambda known, own: F.array_join(F.transform(own, lambda w: character(F.array_position(known, w))), "")
     return once(F.array_distinct(F.concat(split(a), split(b))), lambda known: once(F.struct(spell(known, split(a)).alias("a"), spell(known, split(b)).alias("b")), lambda x: character_distance(x["a"], x["b"])))
@@ -240,7 +277,7 @@ def character_error_rate(truth: Column, seen: Column) -> Column:
 
 
 def word_error_rate(truth: Column, seen: Column) -> Column:
-    count = lambda x: F.size(F.filter(F.split(x, rf"{fixed.SPACE}+"), lambda w: w != ""))
+    count = lambda x: F.size(F.filter(F.split(x, f"{_GAP}+"), lambda w: w != ""))
     return F.when(count(truth) == 0, F.when(count(seen) == 0, 0.0).otherwise(1.0)).otherwise(word_distance(truth, seen) / count(truth))
 
 

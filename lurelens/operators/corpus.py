@@ -110,21 +110,31 @@ def shuffle_key(seed: int, key: Column) -> Column:
 def stratified_split(df: DataFrame, strata: list[str], key: str = "id", seed: int = 42, salts: int = 64) -> DataFrame:
     """Adds split: of each stratum of n rows, int(0.8 n) train, int(0.1 n) val and the rest test, in a random order.
 
-    A stratum can hold a third of all rows, so its rank is taken in ranges of
-    the random key: rows are numbered within a range and shifted by the sizes of the ranges before it.
+    Rows are written once, with their place, so that nothing they hold is computed again
+    and their order is total.  A stratum can hold a third of all rows, so ranks are taken
+    in ranges of the random key: rows are numbered within a range and shifted by the sizes
+    of the ranges before it.  Only keys go through that; it yields the first rows of val and
+    test of each stratum, which tell a row's split by its key, so texts are not shuffled.
     """
-    keyed = df.withColumn("_k", shuffle_key(seed, F.col(key))).withColumn("_range", F.pmod(F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"), F.lit(65536)) * salts / 65536)
-    keyed = keyed.withColumn("_range", F.floor("_range").cast("int"))
+    scratch = Scratch(df.sparkSession, "split")
+    salt = F.pmod(F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"), F.lit(65536)) * salts / 65536
+    keyed = df.withColumn("_k", shuffle_key(seed, F.col(key))).withColumns({"_range": F.floor(salt).cast("int"), "_row": F.monotonically_increasing_id()})
+    keyed = scratch.save(keyed, "keyed")
+    at = F.struct("_k", F.col(key).alias("_key"), "_row")
     sizes = keyed.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("_size"))
     window = Window.partitionBy(*strata)
     before = F.sum("_size").over(window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(*strata, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(window).alias("_n"))
-    numbered = keyed.withColumn("_own", F.row_number().over(Window.partitionBy(*strata, "_range").orderBy("_k", key)) - 1)
+    own = F.row_number().over(Window.partitionBy(*strata, "_range").orderBy("_at")) - 1
+    numbered = keyed.select(*strata, "_range", at.alias("_at")).withColumn("_own", own)
+    same = lambda names: reduce(lambda a, b: a & b, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names))
     rank, n = F.col("_own") + F.col("_before"), F.col("_n")
     train, val = F.floor(n * 0.8), F.floor(n * 0.1)
-    split = F.when(rank < train, "train").when(rank < train + val, "val").otherwise("test")
-    same = reduce(lambda a, b: a & b, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*strata, "_range")))
-    joined = numbered.alias("a").join(sizes.alias("b"), same)
+    ranked = numbered.alias("a").join(sizes.alias("b"), same([*strata, "_range"]))
+    ranked = ranked.filter(rank.isin(train, train + val)).select(*(F.col(f"a.{c}") for c in strata), "_at", (rank == train).alias("_val"), (rank == train + val).alias("_test"))
+    firsts = ranked.groupBy(*strata).agg(F.max(F.when(F.col("_val"), F.col("_at"))).alias("_val"), F.max(F.when(F.col("_test"), F.col("_at"))).alias("_test"))
+    joined = keyed.withColumn("_at", at).alias("a").join(scratch.save(firsts, "firsts").alias("b"), same(strata))
+    split = F.when(F.col("_at") < F.col("_val"), "train").when(F.col("_at") < F.col("_test"), "val").otherwise("test")
     return joined.withColumn("split", split).select(*(F.col(f"a.{c}") for c in df.columns), "split")
 
 

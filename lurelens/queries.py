@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -501,9 +501,10 @@ def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sequential_ids(_unique(spark, sf_dir), ["row_ord"], "real_").select(F.col("row_ord").alias("msg_id"), "id")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """Split records with their strata and the named columns; the split writes them, so no query computes what it does not read."""
     numbered = _unique(spark, sf_dir).withColumn("id", F.col("row_ord").cast("string"))
-    return corpus.stratified_split(corpus.build_records(numbered), ["language", "is_scam"])
+    return corpus.stratified_split(corpus.build_records(numbered).select("id", "language", "is_scam", *columns), ["language", "is_scam"])
 
 
 #: Rows with language and split, from the same hash order.
@@ -549,23 +550,23 @@ def usable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.integrity(_records(spark, sf_dir), 50.0).withColumn("passed", F.col("passed").cast("int"))
+    return audit.integrity(_records(spark, sf_dir, "text", "source_dataset"), 50.0).withColumn("passed", F.col("passed").cast("int"))
 
 
 def split_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.split_matrix(_records(spark, sf_dir))
+    return audit.split_matrix(_records(spark, sf_dir, "source_dataset"))
 
 
 def intent_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.intent_distribution(_records(spark, sf_dir))
+    return audit.intent_distribution(_records(spark, sf_dir, "head2_scam_intent"))
 
 
 def facet_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.facet_rates(_records(spark, sf_dir))
+    return audit.facet_rates(_records(spark, sf_dir, "head1_social_engineering"))
 
 
 def privacy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.privacy(_records(spark, sf_dir))
+    return audit.privacy(_records(spark, sf_dir, "text"))
 
 
 def exact_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,22 +584,22 @@ def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.corpus_summary(_records(spark, sf_dir))
+    return audit.corpus_summary(_records(spark, sf_dir, "head2_scam_intent", F.struct("metadata.has_url").alias("metadata")))
 
 
 def hinglish_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.hinglish_purity(_records(spark, sf_dir))
+    return audit.hinglish_purity(_records(spark, sf_dir, "text"))
 
 
 def template_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of Indic test rows whose masked template is in train."""
-    return audit.template_overlap(_records(spark, sf_dir))
+    return audit.template_overlap(_records(spark, sf_dir, "text"))
 
 
 def content_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of content flags by language."""
     flags = [F.count_if(f"metadata.{k}").alias(k) for k in fixed.FLAGS]
-    return _records(spark, sf_dir).groupBy("language").agg(*flags, F.count(F.lit(1)).alias("n"))
+    return _records(spark, sf_dir, "metadata").groupBy("language").agg(*flags, F.count(F.lit(1)).alias("n"))
 
 
 def threat_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
