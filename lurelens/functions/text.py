@@ -66,18 +66,29 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{_GAP}+", " "))
 
 
-def _steps(text: Column, steps) -> Column:
-    # A round that changes nothing is followed by rounds that change nothing, so all can be written out.
-    for rounds, pairs in steps:
-        for _ in range(rounds):
-            for pattern, replacement in pairs:
-                text = F.regexp_replace(text, pattern, replacement)
+#: For each group of steps a cheaper pattern without which none of its patterns can match.
+_STITCH_HINTS = (r"(?:https?://|www\.)[ \t\n]", r"\n", r"-[ \t]", r"/[ \t]|[ \t]/")
+_HEAL_HINTS = (r":[a-zA-Z0-9\-]|(?:https?://|www\.|/)[ \t]", r"-[ \t]")
+
+
+def _steps(text: Column, steps, hints: tuple[str, ...]) -> Column:
+    """Groups of steps in turn; a text without the hint of a group skips it, and rounds end with the first that changes nothing."""
+
+    def rounds(t: Column, pairs, left: int) -> Column:
+        out = t
+        for pattern, replacement in pairs:
+            out = F.regexp_replace(out, quick(pattern), replacement)
+        return out if left == 1 else once(out, lambda new: F.when(new == t, new).otherwise(rounds(new, pairs, left - 1)))
+
+    for (most, pairs), hint in zip(steps, hints, strict=True):
+        # The body is called at once, so it sees this group's values.
+        text = once(text, lambda t: F.when(t.rlike(hint), rounds(t, pairs, most)).otherwise(t))  # noqa: B023
     return text
 
 
 def stitch_urls(text: Column) -> Column:
     """Joins URLs that were wrapped over lines or split by spaces."""
-    return _steps(text, fixed.STITCH_STEPS)
+    return _steps(text, fixed.STITCH_STEPS, _STITCH_HINTS)
 
 
 def heal_urls(text: Column) -> Column:
@@ -86,7 +97,7 @@ def heal_urls(text: Column) -> Column:
     No step can apply without one of the marks that are looked for first, so most texts skip the chain.
     """
     marks = r"(?i)-[ \t\n]|/[ \t]|[ \t]/|https?://|www\.|:[a-z0-9\-]"
-    return F.when(text.rlike(marks), _steps(stitch_urls(text), fixed.HEAL_STEPS)).otherwise(text)
+    return F.when(text.rlike(marks), _steps(stitch_urls(text), fixed.HEAL_STEPS, _HEAL_HINTS)).otherwise(text)
 
 
 def repair_url(url: Column) -> Column:
@@ -249,10 +260,15 @@ def character_distance(a: Column, b: Column) -> Column:
 
     Distances up to a limit are found in a band of that width along the diagonal,
     so the work follows the length times the distance; only where the limits do
-    not do is the whole table filled.
+    not do is the whole table filled.  Before that, a text that only lacks characters of
+    the other is told in one pass, and is as far from it as it is shorter.
     """
-    within = [F.nullif(F.levenshtein(a, b, limit), F.lit(-1)) for limit in (16, 256, 4096)]
-    return F.coalesce(*within, F.levenshtein(a, b))
+    characters = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    short, long = (F.when(F.length(a) <= F.length(b), x).otherwise(y) for x, y in ((a, b), (b, a)))
+    met = once(characters(short), lambda own: F.aggregate(characters(long), F.lit(0), lambda n, c: F.when(F.get(own, n) == c, n + 1).otherwise(n)))
+    lost = F.when(met == F.length(short), F.length(long) - F.length(short))
+    within = [once(F.levenshtein(a, b, limit), lambda d: F.when(d >= 0, d)) for limit in (16, 32, 64, 128, 256, 512, 1024, 2048, 4096)]
+    return F.coalesce(lost, *within, F.levenshtein(a, b))
 
 
 def word_distance(a: Column, b: Column) -> Column:

@@ -51,3 +51,13 @@ def test_flags_of_long_runs_take_linear_time(spark):
     got = [[k for k in fixed.FLAGS if r["f"][k]] for r in rows.select(text.content_flags(F.col("t")).alias("f")).collect()]
     assert got == [[], ["has_url"], ["has_upi"], ["has_phone", "has_otp"]]
     assert time.time() - began < 20
+
+
+def test_lost_characters_need_no_table(spark):
+    whole = "reader 😀 é\n" * 4000
+    pairs = [(whole, whole.replace("e", "")), (whole.replace("r", ""), whole), ("", "ab"), ("abc", "acb"), ("kitten", "sitting"), ("😀a", "a"), (None, "a")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    began = time.time()
+    got = [r[0] for r in rows.select(text.character_distance(F.col("a"), F.col("b"))).collect()]
+    assert got == [8000, 8000, 2, 2, 3, 1, None]
+    assert time.time() - began < 20
