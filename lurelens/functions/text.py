@@ -66,12 +66,28 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{_GAP}+", " "))
 
 
-#: For each group of steps a cheaper pattern without which none of its patterns can match.
-_STITCH_HINTS = (r"(?:https?://|www\.)[ \t\n]", r"\n", r"-[ \t]", r"/[ \t]|[ \t]/")
-_HEAL_HINTS = (r":[a-zA-Z0-9\-]|(?:https?://|www\.|/)[ \t]", r"-[ \t]")
-
-
-def _steps(text: Column, steps, hints: tuple[str, ...]) -> Column:
+#: For each group of steps substrings, and a pattern, without one of which none of its patterns can match.
+_STITCH_HINTS = (
+    (["// ", "//\t", "//\n", "www. ", "www.\t", "www.\n"], None),
+    (["- ", "-\t", "-\n"], rf"(?::/|[wW]\.){_SEEN}*+[ \t]*+\n"),
+    (["- ", "-\t"], None),
+    (["/ ", "/\t", " /", "\t/"], None),
+)
+_HEAL_HINTS = (
+    (["/ ", "/\t", "www. ", "www.\t"], r":[a-zA-Z0-9\-]++\.[a-zA-Z]{2}"),
+    (["- ", "-\t"], None),
+)
+
+
+def _hinted(text: Column, hints) -> Column:
+    """Whether a text has one of the marks that any of these groups needs."""
+    marks = list(dict.fromkeys(m for own, _ in hints for m in own))
+    patterns = [p for _, p in hints if p]
+    found = any_of(text, marks)
+    return found | text.rlike("|".join(patterns)) if patterns else found
+
+
+def _steps(text: Column, steps, hints) -> Column:
     """Groups of steps in turn; a text without the hint of a group skips it, and rounds end with the first that changes nothing."""
 
     def rounds(t: Column, pairs, left: int) -> Column:
@@ -82,7 +98,7 @@ def _steps(text: Column, steps, hints: tuple[str, ...]) -> Column:
 
     for (most, pairs), hint in zip(steps, hints, strict=True):
         # The body is called at once, so it sees this group's values.
-        text = once(text, lambda t: F.when(t.rlike(hint), rounds(t, pairs, most)).otherwise(t))  # noqa: B023
+        text = once(text, lambda t: F.when(_hinted(t, [hint]), rounds(t, pairs, most)).otherwise(t))  # noqa: B023
     return text
 
 
@@ -94,10 +110,9 @@ def stitch_urls(text: Column) -> Column:
 def heal_urls(text: Column) -> Column:
     """``stitch_urls``, then spaces after colons, protocols, slashes and hyphens of hosts.
 
-    No step can apply without one of the marks that are looked for first, so most texts skip the chain.
+    A text that no group of steps can change at first is not changed by any, so most texts skip the chain.
     """
-    marks = r"(?i)-[ \t\n]|/[ \t]|[ \t]/|https?://|www\.|:[a-z0-9\-]"
-    return F.when(text.rlike(marks), _steps(stitch_urls(text), fixed.HEAL_STEPS, _HEAL_HINTS)).otherwise(text)
+    return F.when(_hinted(text, _STITCH_HINTS + _HEAL_HINTS), _steps(stitch_urls(text), fixed.HEAL_STEPS, _HEAL_HINTS)).otherwise(text)
 
 
 def repair_url(url: Column) -> Column:
@@ -106,9 +121,15 @@ def repair_url(url: Column) -> Column:
     return url
 
 
+#: Without one of these there is no URL.
+_URL_HINT = rf"\.(?iu:{fixed.TLDS})|:/|[wW]\."
+#: A host begins where no character of one stands before it, or where a match has just ended: a later start is part of the same match, and if it has no dot behind it, neither has any later one.
+_QUICK_URL = fixed.URL.replace(r"|[a-zA-Z0-9\-]+\.", r"|(?:(?<![a-zA-Z0-9\-])|\G)[a-zA-Z0-9\-]++\.")
+
+
 def urls_in(healed: Column) -> Column:
     """URLs of a healed text, longest first; one that is part of a longer or earlier one is left out."""
-    found = F.regexp_extract_all(healed, F.lit(fixed.URL), F.lit(0))
+    found = F.when(healed.rlike(_URL_HINT), F.regexp_extract_all(healed, F.lit(_QUICK_URL), F.lit(0))).when(healed.isNotNull(), F.array().cast("array<string>"))
     clean = F.filter(F.transform(found, lambda u: F.regexp_replace(repair_url(u), fixed.URL_TAIL, "")), lambda u: u != "")
     # Negative lengths and positions sort longest first and keep the order of equals.
     ordered = F.array_sort(F.transform(clean, lambda u, i: F.struct((-F.length(u)).alias("n"), i.alias("i"), u.alias("u"))))

@@ -27,13 +27,20 @@ def detect(messages: DataFrame) -> DataFrame:
     return text.with_entities(messages, F.col("text"), normalized="normalized_text").withColumn("urls", F.col("entities.urls"))
 
 
-def score_messages(messages: DataFrame, intel_tables: Snapshots, as_of: Column) -> DataFrame:
+#: What detection finds that no track, score or explanation reads.
+_TEXTS = ("text", "normalized_text", "entities")
+
+
+def score_messages(messages: DataFrame, intel_tables: Snapshots, as_of: Column, texts: bool = True) -> DataFrame:
     """Messages (msg_id, text) with all tracks, score and explanations.
 
     Only the URLs go through the snapshot joins; texts are shuffled once, by msg_id, in the fan-in.
     Four branches read what was detected and the text track, so these are written once in the shared folder.
+    Without ``texts`` the columns of texts and entities are left out there and in the result, for callers that read none of them.
     """
     detected = labels.with_text_result(detect(messages), F.col("normalized_text"))
+    if not texts:
+        detected = detected.drop(*_TEXTS)
     detected = Scratch(messages.sparkSession, "scan").save(detected, "detected")
     urls = intel.explode_urls(detected.select("msg_id", "urls"))
     url_rows = intel.url_evidence(urls, intel_tables.reputation)
@@ -64,7 +71,7 @@ def route(messages: DataFrame, records: DataFrame | None, ttl_hours: int = 24) -
 def scan(messages: DataFrame, intel_tables: Snapshots, records: DataFrame | None, as_of: Column, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(responses, reused results, rejected messages) of messages (msg_id, text, input_type, ts)."""
     wanted, reused, rejected = route(messages, records, ttl_hours)
-    return scoring.to_response(score_messages(wanted, intel_tables, as_of)), reused, rejected
+    return scoring.to_response(score_messages(wanted, intel_tables, as_of, texts=False)), reused, rejected
 
 
 def scan_screenshots(hindi: DataFrame, english: DataFrame, images: DataFrame, intel_tables: Snapshots, as_of: Column) -> DataFrame:

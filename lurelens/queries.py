@@ -385,7 +385,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan from raw messages: healing, entities, all tracks, score."""
     own = _messages(spark, sf_dir).select("msg_id", F.concat_ws(" ", "text", "url").alias("text"))
-    out = scan.score_messages(own, _snapshots(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    out = scan.score_messages(own, _snapshots(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), texts=False)
     return out.select("msg_id", F.size("urls").alias("n_urls"), "risk_score", "risk_category", F.sha2("explanations.en", 256).alias("narrative"))
 
 

@@ -1,5 +1,6 @@
 """Steps whose work must follow the size of their input."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -7,6 +8,9 @@ from pyspark.sql import functions as F
 from lurelens import fixed
 from lurelens.functions import text
 from lurelens.operators import audit, corpus
+from lurelens.plans import scan
+from lurelens.scratch import Scratch
+from test_operators import snapshots
 
 
 def test_split_reads_its_rows_once(spark):
@@ -61,3 +65,47 @@ def test_lost_characters_need_no_table(spark):
     got = [r[0] for r in rows.select(text.character_distance(F.col("a"), F.col("b"))).collect()]
     assert got == [8000, 8000, 2, 2, 3, 1, None]
     assert time.time() - began < 20
+
+
+def _saved(monkeypatch):
+    """The columns of each table that is saved from now on, by name."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name: saved.append((name, frame)) or save(self, frame, name))
+    return saved
+
+
+def test_scoring_keeps_no_texts_unless_asked(spark, monkeypatch):
+    saved = _saved(monkeypatch)
+    rows = spark.createDataFrame([(1, "URGENT kyc http://new.com/a SBI x@okbank"), (2, None)], "msg_id long, text string")
+    lean, full = (scan.score_messages(rows, snapshots(spark), F.lit("2026-06-13").cast("timestamp"), texts=t) for t in (False, True))
+    assert {"text", "normalized_text", "entities"} == set(full.columns) - set(lean.columns)
+    columns = ("msg_id", "urls", "risk_score", "risk_category", "explanations")
+    assert sorted(map(str, lean.select(*columns).collect())) == sorted(map(str, full.select(*columns).collect()))
+    first, second = (f for n, f in saved if n == "detected")
+    # Payment ids and amounts are asked for by nobody, so they are not looked for.
+    assert "text" not in first.columns and "INR|" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert "INR|" in second._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_healing_skips_texts_it_cannot_change(spark):
+    rng = random.Random(19)
+    pieces = ["https://", "HTTP://", "httpſ://", "www.", "WWW.", "a", "b-", "in", ".com", ".in", "com", ".", "/", "/p", "-", " ", "\t", "\n", "\n\n", ":", "x1", "\u0915", "\u212a", ", ", "12:30 ", "host:ab.cd", "\u00a0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    plain = F.col("t")
+    for most, pairs in fixed.STITCH_STEPS + fixed.HEAL_STEPS:
+        for _ in range(most):
+            for pattern, new in pairs:
+                plain = F.regexp_replace(plain, text.quick(pattern), new)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    urls = F.regexp_extract_all("t", F.lit(fixed.URL), F.lit(0))
+    clean = F.filter(F.transform(urls, lambda u: F.regexp_replace(text.repair_url(u), fixed.URL_TAIL, "")), lambda u: u != "")
+    got = df.select("t", text.heal_urls(F.col("t")).alias("healed"), plain.alias("plain"), text.urls_in(F.col("t")).alias("urls"), clean.alias("all")).collect()
+    assert [r for r in got if r.healed != r.plain] == []
+    assert any(r.healed != r.t for r in got) and any(r.urls for r in got)
+    for r in got:
+        best = []
+        for u in sorted(r["all"], key=lambda u: -len(u)):
+            best += [] if any(u in b for b in best) else [u]
+        assert r.urls == best, r.t
+    # A URL at the end and lines before it give healing nothing to do.
+    assert not spark.createDataFrame([("a line\nand https://x.org/a-b",)], "t string").select(text._hinted(F.col("t"), text._STITCH_HINTS + text._HEAL_HINTS)).first()[0]
