@@ -182,10 +182,9 @@ def ingestion_funnel(df: DataFrame, decision: str = "decision") -> DataFrame:
     return counts.select(decision, "n", F.bround(100 * F.col("n") / total, 2).alias("percent"))
 
 
-def is_marathi_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to process, rejected rows with a reason)."""
-    flag = F.coalesce(text.marathi(F.col("text")), F.lit(False))
-    return df.filter(~flag), df.filter(flag).withColumn("reason", F.lit("excluded_language"))
+def is_marathi(value: Column) -> Column:
+    """Whether a text is in the excluded language; one that is missing is not."""
+    return F.coalesce(text.marathi(value), F.lit(False))
 
 
 def preview(df: DataFrame, n: int = 10, order: list[str] = ()) -> DataFrame:

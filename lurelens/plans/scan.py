@@ -56,16 +56,23 @@ def route(messages: DataFrame, records: DataFrame | None, ttl_hours: int = 24) -
     Earlier results are looked up before anything else, then excluded languages
     go; of the rest each message reuses the result of an equal one that came
     within the time to live before it and is scored itself.
+    Messages are written once; what becomes of each is found by their keys, and
+    their texts are read and shuffled again only by those who ask for them.
     """
+    scratch = Scratch(messages.sparkSession, "route")
     keyed = messages.withColumns({"hash": cache.cache_key(F.col("text")), "scan_id": scoring.scan_id(F.col("msg_id"), F.col("ts"))})
-    fresh, reused = keyed, None
+    columns = keyed.columns
+    keyed = scratch.save(keyed.withColumns({"_other": corpus.is_marathi(F.col("text")), "_row": F.monotonically_increasing_id()}), "keyed")
+    fresh, reused = keyed.select("msg_id", "ts", "hash", "scan_id", "_other", "_row"), None
     if records is not None:
-        looked = Scratch(messages.sparkSession, "route").save(cache.lookup(keyed, records, ttl_hours), "looked")
+        looked = scratch.save(cache.lookup(fresh, records, ttl_hours), "looked")
         fresh, reused = looked.filter("hit_id IS NULL").drop("hit_id"), looked.filter("hit_id IS NOT NULL")
-    wanted, rejected = corpus.is_marathi_split(fresh)
-    judged = Scratch(messages.sparkSession, "route").save(cache.reuse(wanted, ttl_hours), "judged")
+    judged = scratch.save(cache.reuse(fresh.filter("NOT _other"), ttl_hours), "judged")
     again = judged.filter("hit_id IS NOT NULL")
-    return judged.filter("hit_id IS NULL").drop("hit_id"), again if reused is None else reused.unionByName(again), rejected
+    reused = again if reused is None else reused.unionByName(again)
+    rest = keyed.drop("msg_id", "ts", "hash", "scan_id", "_other")
+    whole = lambda rows, *more: rows.join(rest, "_row").select(*columns, *more)
+    return whole(judged.filter("hit_id IS NULL")), whole(reused, "hit_id"), whole(fresh.filter("_other"), F.lit("excluded_language").alias("reason"))
 
 
 def scan(messages: DataFrame, intel_tables: Snapshots, records: DataFrame | None, as_of: Column, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:

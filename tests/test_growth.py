@@ -1,5 +1,6 @@
 """Steps whose work must follow the size of their input."""
 
+import datetime as dt
 import random
 import time
 
@@ -10,6 +11,7 @@ from lurelens.functions import text
 from lurelens.operators import audit, corpus
 from lurelens.plans import scan
 from lurelens.scratch import Scratch
+from lurelens.sources import readers
 from test_operators import snapshots
 
 
@@ -109,3 +111,16 @@ def test_healing_skips_texts_it_cannot_change(spark):
         assert r.urls == best, r.t
     # A URL at the end and lines before it give healing nothing to do.
     assert not spark.createDataFrame([("a line\nand https://x.org/a-b",)], "t string").select(text._hinted(F.col("t"), text._STITCH_HINTS + text._HEAL_HINTS)).first()[0]
+
+
+def test_routing_saves_each_text_once(spark, monkeypatch):
+    saved = _saved(monkeypatch)
+    now = dt.datetime(2026, 6, 13)
+    rows = [("a", "one", "text", now), ("b", "one", "text", now + dt.timedelta(hours=1)), ("b", "one", "text", now + dt.timedelta(hours=1)), ("c", "two", "text", now), ("d", "\u0906\u0939\u0947", "text", now), ("e", None, "text", now), ("f", "one", "text", None), ("g", None, "text", None)]
+    records = spark.createDataFrame([("before", "two", now - dt.timedelta(hours=3))], "scan_id string, t string, created_at timestamp").withColumn("hash", F.sha2("t", 256)).drop("t")
+    wanted, reused, rejected = scan.route(spark.createDataFrame(rows, readers.MESSAGES), records)
+    assert sorted((r.msg_id, r.text) for r in wanted.collect()) == [("a", "one"), ("e", None), ("f", "one"), ("g", None)]
+    named = wanted.filter("msg_id = 'a'").first().scan_id
+    assert sorted((r.msg_id, r.text, r.hit_id) for r in reused.collect()) == [("b", "one", named)] * 2 + [("c", "two", "before")]
+    assert [(r.msg_id, r.text, r.reason) for r in rejected.collect()] == [("d", "\u0906\u0939\u0947", "excluded_language")]
+    assert [n for n, f in saved if "text" in f.columns] == ["keyed"]
